@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.llm import simhash
+from lectern.llm import multiset, quality, simhash
 
 
 def queries() -> dict:
-    return {"op5_simhash_near_dedup": simhash.query}
+    return {
+        "op2_quality_rules": quality.query,
+        "op5_simhash_near_dedup": simhash.query,
+        "op10_multiset_fingerprints": multiset.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality.ORACLE}
