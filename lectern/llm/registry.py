@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import multiset, quality, simhash
+from lectern.llm import multiset, quality, simhash, tokenstore
 
 
 def queries() -> dict:
     return {
+        "op1_token_store": tokenstore.query,
         "op2_quality_rules": quality.query,
         "op5_simhash_near_dedup": simhash.query,
         "op10_multiset_fingerprints": multiset.query,
