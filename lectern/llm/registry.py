@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import multiset, quality, simhash, tokenstore
+from lectern.llm import multiset, quality, simhash, substrings, tokenstore
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_store": tokenstore.query,
         "op2_quality_rules": quality.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op9_substring_dedup": substrings.query,
         "op10_multiset_fingerprints": multiset.query,
     }
 
