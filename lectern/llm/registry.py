@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import multiset, quality, simhash, substrings, tokenstore
+from lectern.llm import chat, language, mixing, multiset, quality, simhash, substrings, tokenstore
 
 
 def queries() -> dict:
     return {
         "op1_token_store": tokenstore.query,
         "op2_quality_rules": quality.query,
+        "op3_language_mixture": language.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op6_raking_mixture": mixing.query,
+        "op7_chat_format": chat.query,
         "op9_substring_dedup": substrings.query,
         "op10_multiset_fingerprints": multiset.query,
     }
