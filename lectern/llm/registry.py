@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, language, mixing, multiset, quality, simhash, substrings, tokenstore
+from lectern.llm import chat, language, mixing, multiset, pieces, quality, simhash, substrings, tokenstore
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": simhash.query,
         "op6_raking_mixture": mixing.query,
         "op7_chat_format": chat.query,
+        "op8_sentencepiece_scan": pieces.query,
         "op9_substring_dedup": substrings.query,
         "op10_multiset_fingerprints": multiset.query,
     }
