@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, language, mixing, multiset, pieces, quality, simhash, substrings, tokenstore
+from lectern.llm import chat, language, mixing, multiset, pieces, private, quality, simhash, substrings, tokenstore
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_store": tokenstore.query,
         "op2_quality_rules": quality.query,
         "op3_language_mixture": language.query,
+        "op4_private_spans": private.query,
         "op5_simhash_near_dedup": simhash.query,
         "op6_raking_mixture": mixing.query,
         "op7_chat_format": chat.query,
