@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lectern.llm import chat, language, mixing, multiset, pieces, private, quality, simhash, substrings, tokenstore
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_store": tokenstore.query,
         "op2_quality_rules": quality.query,
         "op3_language_mixture": language.query,
@@ -21,4 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE}
+    found = {"op2_quality_rules": quality.ORACLE}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
