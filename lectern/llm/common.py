@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 #: Fixed value: the characters between words (blank, tab, newline, VT, FF, CR).
 BLANKS = " \t\n\x0b\f\r"
 
-#: Rows in one Arrow batch; bounds a Python worker's memory with long texts.
-ARROW_ROWS = 500
+#: Rows and bytes in one Arrow batch; they bound a Python worker's memory with long texts.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
-def session(docs: DataFrame) -> SparkSession:
+def session(docs: DataFrame, rows: int = ARROW_ROWS) -> SparkSession:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

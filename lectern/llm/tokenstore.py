@@ -29,64 +29,133 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
 #: Fixed value: the pre-tokenisation of this vocabulary, for texts of the SAFE characters alone.
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-SAFE = r"[\t\n\r -~À-ÖØ-öø-ɏ]*\Z"
-CACHE = 400_000
+SAFE = r"\A[\t\n\r -~À-ÖØ-öø-ɏ]*\z"
+#: Runs of white space whose cutting depends on more than the text between two blanks.
+UNSAFE = r"[\t\n\r ]{3}|  |[\t\n\r ]{2}\z"
+CACHE, BATCH = 600_000, 4000
 
 
 class Encoder:
     """The tokenizers library, with pieces that occur again taken from a bounded cache.
 
-    Texts with other characters than SAFE, or with a special token's string, go to the library whole.
+    A batch's texts are cut at their blanks, and every distinct run is cut to pieces once; only
+    pieces that are not in the cache are encoded.  Texts with other characters than SAFE, with
+    white space as in UNSAFE or with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        import os
         import re
-        from array import array
 
+        import numpy as np
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces, self.safe = re.compile(PIECES).findall, re.compile(SAFE).match
+        self.pieces = re.compile(PIECES).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache, self.width = cache, 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, int] = {}
-        self.flat, self.ends, self.kept = array("I"), array("q", [0]), 0
-
-    def _learn(self, lists: list[list[str]]) -> dict[str, int]:
-        """Where each piece's ids are; what the full cache cannot hold is forgotten with the next call."""
-        while len(self.ends) > self.kept + 1:
-            self.ends.pop()
-        del self.flat[self.ends[-1] :]
-        new = list(set().union(*lists).difference(self.known)) if lists else []
-        room, extra = max(0, self.cache - len(self.known)), {}
-        for i, (piece, found) in enumerate(zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)):
-            (self.known if i < room else extra)[piece] = len(self.ends) - 1
-            self.flat.extend(found.ids)
-            self.ends.append(len(self.flat))
-        self.kept = len(self.known)
-        return extra
+        self.flat, self.ends = np.array([], np.uint32), np.array([0], np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many to a call, set apart by line ends, which are pieces by themselves."""
+        import numpy as np
+
+        plain = [p for p in pieces if not p.isspace()]
+        spaces = [p for p in pieces if p.isspace()]
+        step = 2000
+        ids = [np.array(x + [self.line_end], np.uint32) for x in self._library(["\n".join(plain[i : i + step]) for i in range(0, len(plain), step)])]
+        alone = self._library(spaces)
+        joined = np.concatenate([np.array([], np.uint32), *ids])
+        stop = joined == self.line_end
+        sizes = np.diff(np.flatnonzero(stop), prepend=-1) - 1
+        sizes = np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
+        self.known.update(zip([*plain, *spaces], range(len(self.ends) - 1, len(self.ends) - 1 + len(pieces)), strict=True))
+        self.flat = np.concatenate([self.flat, joined[~stop], *[np.array(x, np.uint32) for x in alone]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _indices(self, cut: list[list[str]]):
+        """Cache index of every piece, after learning what is new."""
+        from itertools import chain
+
+        import numpy as np
+
+        wanted = set(chain.from_iterable(cut))
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > self.cache and self.known:
+            self.known.clear()
+            self.flat, self.ends, new = self.flat[:0], self.ends[:1], wanted
+        if new:
+            self._learn(list(new))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+
+    def _gathered(self, starts, sizes, values):
+        """Concatenation of values[start : start + size]."""
+        import numpy as np
+
+        return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def _plain(self, texts):
+        """(ids, counts) of an Arrow array of plain texts."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(texts, " ")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        cut = [self.pieces(" " + r) for r in runs]
+        cut += [self.pieces(runs[i]) for i in at[firsts].tolist()]  # a text's first run has no blank before it
+        at[firsts] = len(runs) + np.arange(len(firsts))
+        index = self._indices(cut)
+        parts = np.fromiter(map(len, cut), np.int64, len(cut))
+        begin, n = self.ends[index], self.ends[index + 1] - self.ends[index]
+        ids = self._gathered(begin, n, self.flat)
+        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(parts))]
+        run_sizes = np.diff(ends)[at]
+        totals = np.append(0, np.cumsum(run_sizes))[np.append(0, np.cumsum(sizes))]
+        return self._gathered(ends[:-1][at], run_sizes, ids), np.diff(totals)
+
+    def encode_flat(self, texts):
+        """(ids of all texts as one uint32 array, number of ids of each) of an Arrow string array without nulls."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.array([], np.uint32), np.array([], np.int64)
+        plain = pc.and_not(pc.match_substring_regex(texts, SAFE), pc.match_substring_regex(texts, UNSAFE))
+        for s in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, s))
+        mask = plain.to_numpy(zero_copy_only=False)
+        if not mask.all():
+            rest = [np.array(x, np.uint32) for x in self._library(texts.filter(pc.invert(plain)).to_pylist())]
+        counts = np.zeros(len(texts), np.int64)
+        ids = np.array([], np.uint32)
+        if mask.any():
+            ids, counts[mask] = self._plain(texts.filter(plain))
+        if not mask.all():
+            parts = np.split(ids, np.cumsum(counts[mask])[:-1]) if mask.any() else []
+            held, others = iter(parts), iter(rest)
+            parts = [next(held) if m else next(others) for m in mask]
+            counts = np.array([len(p) for p in parts], np.int64)
+            ids = np.concatenate(parts)
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list:
         """An array of uint32 ids for each text."""
         import numpy as np
+        import pyarrow as pa
 
-        plain = [bool(self.safe(t)) and not any(s in t for s in self.special) for t in texts]
-        lists = [self.pieces(t) for t, p in zip(texts, plain, strict=True) if p]
-        extra = self._learn(lists)
-        where = self.known.__getitem__ if not extra else lambda p: extra[p] if p in extra else self.known[p]
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
-        rest = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        lists, out = iter(lists), []
-        for p in plain:
-            if not p:
-                out.append(np.array(next(rest).ids, np.uint32))
-                continue
-            pieces = next(lists)
-            which = np.fromiter(map(where, pieces), np.int64, len(pieces))
-            begin, n = ends[which], ends[which + 1] - ends[which]
-            shift = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else begin, n)
-            out.append(flat[shift + np.arange(len(shift))])
-        return out
+        ids, counts = self.encode_flat(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
 
 def shared_encoder(path: str) -> Encoder:
@@ -109,25 +178,33 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids) -> list[int]:
-    """Ends of the chunks of one document's ids; they depend on nothing but the ids of the chunk and before it."""
+def marks(ids):
+    """Places (ends) where the rolling hash of the WINDOW ids before calls for a cut."""
     import numpy as np
 
     h = mixed(ids.astype(np.uint64))
     for step in (1, 2, 4, 8):
         h[step:] = h[step:] + (h[:-step] << np.uint64(step))
-    marks, ends, last = np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0), [], 0
-    for at in (marks + 1).tolist():
+    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def cuts(places: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the document at [begin, end), from its ``marks``.
+
+    As SHORTEST exceeds WINDOW, they depend on nothing but ids of the document.
+    """
+    ends, last = [], begin
+    for at in places:
         while at - last > LONGEST:
             last += LONGEST
             ends.append(last)
         if at - last >= SHORTEST:
             ends.append(at)
             last = at
-    while len(ids) - last > LONGEST:
+    while end - last > LONGEST:
         last += LONGEST
         ends.append(last)
-    return ends if last == len(ids) else [*ends, len(ids)]
+    return ends if last == end else [*ends, end]
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -194,20 +271,25 @@ def _encoded(path: str, end_id: int):
         names = ["key", "ids", "doc_id", "row", "n_tokens", "digests", "sizes"]
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, row, ids in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), encoder.encode(texts), strict=True):
-                ids = np.append(ids, np.uint32(end_id))
-                last, digests, sizes = 0, [], []
-                for at in cuts(ids):
-                    body = ids[last:at].astype(kind).tobytes()
-                    key = hashlib.sha256(body).digest()
+            ids, counts = encoder.encode_flat(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
+            stops = np.cumsum(counts)
+            places = marks(ids)
+            within = np.searchsorted(places, np.append(0, stops), side="right").tolist()
+            places, body = places.tolist(), ids.astype(kind).tobytes()
+            for i, (doc, row, n, stop) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), counts.tolist(), stops.tolist(), strict=True)):
+                last, digests, sizes = stop - n, [], []
+                for at in cuts(places[within[i] : within[i + 1]], last, stop):
+                    part = body[last * encoder.width : at * encoder.width]
+                    key = hashlib.sha256(part).digest()
                     if key not in seen:
                         seen.add(key)
-                        rows.append((key, body, None, None, None, None, None))
+                        rows.append((key, part, None, None, None, None, None))
                     digests.append(key)
                     sizes.append(at - last)
                     last = at
-                rows.append((b"recipe" + struct.pack("<q", row), None, doc, row, len(ids), digests, sizes))
+                rows.append((b"recipe" + struct.pack("<q", row), None, doc, row, n, digests, sizes))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -240,8 +322,8 @@ def _part_roots(pdf):
 
 def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` with the vocabulary file at ``path`` and write a store under ``root``."""
-    spark = session(docs)
-    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
+    spark = session(docs, BATCH)
+    picked = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = picked.mapInArrow(_encoded(path, end_id), _OBJECTS)
     rest = [F.first(c).alias(c) for c in ("ids", "doc_id", "row", "n_tokens", "digests", "sizes")]
     objects = staged(rows.groupBy("key").agg(*rest), f"{root}/objects")
