@@ -66,5 +66,16 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(r, doc_id, text, source): all columns in a struct, so that no name of theirs clashes with ours."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["source"].alias("source"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The columns of ``r`` again, with a new text and its length."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("r")[c].alias(c) for c in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

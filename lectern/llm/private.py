@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import boosting
-from lectern.llm.common import let, session, table
+from lectern.llm.common import let, packed, session, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 EXAMPLES, PRECISION, SEED = 3000, 0.99, 11
@@ -249,7 +249,7 @@ def listed(spans: Column) -> Column:
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``, array<struct<s, k, e>>."""
+    """``docs`` with ``base`` and ``spans``, array<struct<s, k, e>>; columns of these names are replaced."""
     spark = session(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     with_base = docs.withColumn("base", base_spans(text))
@@ -292,11 +292,8 @@ def _reach(spans: Column) -> Column:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; n_chars follows."""
-    rows = found_spans(docs.select(*docs.columns))
-    out = rows.withColumn("text", redacted(F.col("text"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    rows = found_spans(packed(docs)).withColumn("new", redacted(F.coalesce("text", F.lit("")), F.col("spans")))
+    return unpacked(rows, docs.columns, F.when(F.col("text").isNotNull(), F.col("new")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

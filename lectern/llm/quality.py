@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, let, session, staged, table, words
+from lectern.llm.common import BLANKS, let, packed, session, staged, table, unpacked, words
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE = 10, 0.001
@@ -119,14 +119,12 @@ def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> D
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """``docs`` without rejected rows and without their lines above the limits; n_chars follows the text."""
     kept = judged(docs, min_docs, share).where("kept").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), "excess").dropDuplicates(["_doc", "_host"])
-    host = F.coalesce(docs["source"].cast("string"), F.lit(""))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (host == kept["_host"]))
+    rows = packed(docs)
+    host = F.coalesce(rows["source"].cast("string"), F.lit(""))
+    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_doc"]) & (host == kept["_host"]))
     fewer = F.array_join(F.filter(F.split("text", "\n"), lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains("excess", line_key(x))), "\n")
-    text = F.when(F.size("excess") == 0, F.col("text")).otherwise(fewer)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    new = joined.withColumn("new", F.when(F.size("excess") == 0, F.col("text")).otherwise(fewer))
+    return unpacked(new, docs.columns, F.col("new"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
