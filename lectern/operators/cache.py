@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.ranges import range_index
+
 CAP = 500 * 1024 * 1024
 RANGES = 200
 
@@ -16,9 +18,8 @@ def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "
     ranges of time and inside them, so that no task sees all files.
     """
     bounds = files.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
     at = F.unix_micros(F.col(order).cast("timestamp"))
-    ranged = files.withColumn("_r", F.size(F.filter(cuts, lambda b: b <= at)))
+    ranged = files.withColumn("_r", range_index(sorted(set(bounds)), at))
     sums = {r["_r"]: r["s"] for r in ranged.groupBy("_r").agg(F.sum("size").alias("s")).collect()}  # a row a range
     newer, above = {}, 0
     for r in sorted(sums, reverse=True):

@@ -110,3 +110,14 @@ def test_audio(spark):
     assert value(spark, audio.gain(F.lit(-40.0))) == 8.0
     assert value(spark, audio.gain(F.lit(float("-inf")))) == 0.0
     assert value(spark, audio.faded(F.array(F.lit(1000).cast("smallint"), F.lit(1000).cast("smallint"))))[0] == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 37])
+def test_range_index(spark, n):
+    from bisect import bisect_right
+
+    from lectern.functions.ranges import range_index
+
+    bounds = [3 * i for i in range(n)]
+    got = spark.range(-2, 120).select("id", range_index(bounds, F.col("id")).alias("x")).collect()
+    assert all(r["x"] == bisect_right(bounds, r["id"]) for r in got)
