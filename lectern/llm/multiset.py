@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.ranges import range_index
 from lectern.llm.common import BLANKS, session, table
 
 LANES, MAX_RANGES = 64, 512
@@ -105,9 +106,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(MAX_RANGES, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    ranged = rows.withColumn("r", F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col("doc_id"))), F.lit(-1)))
-    ranged = ranged.withColumn("r", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("r")))
+    ranged = rows.withColumn("r", F.when(F.col("doc_id").isNull(), -1).otherwise(range_index(sorted(set(bounds)), F.col("doc_id"))))
     firsts = sorted(ranged.groupBy("r").agg(F.max("doc_id")).collect(), reverse=True)
     if not firsts:
         return rows.select("*", F.lit("").alias("next_text"))

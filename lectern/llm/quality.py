@@ -6,7 +6,7 @@ in; a document's context for a line is its least other line hash.  Copies of one
 their contexts, so a line that only spreads by copying is left to duplicate removal.  A line is
 over the limit if more than max(MIN_DOCS, SHARE of the host's documents) documents hold it and
 over half of those differ in context.  Such lines are removed; a document that loses over half
-of its words, or keeps fewer than MIN_WORDS, is depleted and rejected.
+of its words, or keeps fewer than half of MIN_WORDS, is depleted and rejected.
 
 Cases: a null text has no words and fails; null hosts form one host; a repeated row counts as a
 document of its own and gets the same verdict; an empty table gives no rows; columns of other
@@ -109,7 +109,7 @@ def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> D
     out = joined.select("*", F.size(gone).cast("long").alias("removed_lines"), F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((2 * F.col("removed_words") > F.col("n_words")) | (left < MIN_WORDS))
+    depleted = (F.col("removed_words") > 0) & ((2 * F.col("removed_words") > F.col("n_words")) | (2 * left < MIN_WORDS))
     return out.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), "removed_lines", "removed_words", (~failed & ~depleted).alias("kept"), excess.alias("excess"),
@@ -176,5 +176,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
        removed_lines, removed_words,
        NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words)
-       AND NOT (removed_words > 0 AND (2 * removed_words > n_words OR n_words - removed_words < {MIN_WORDS})) AS kept
+       AND NOT (removed_words > 0 AND (2 * removed_words > n_words OR 2 * (n_words - removed_words) < {MIN_WORDS})) AS kept
 FROM f"""
