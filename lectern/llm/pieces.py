@@ -159,7 +159,10 @@ class Part:
         return self.codec.part.encode(self.text[self.head : self.tail]) if self.tail > self.head else []
 
     def transfer(self) -> list[tuple[int, int, int, int, float]]:
-        """Non-empty entries of the matrix: (entry begin, end, exit begin, end, pieces), relative to the two ends."""
+        """Non-empty entries of the matrix: (entry begin, end, exit begin, end, pieces), relative to the two ends.
+
+        The middle's pieces are common to all paths through the chunk and not counted.
+        """
         out = []
         end = None
         for entry in self.entries():
@@ -174,9 +177,8 @@ class Part:
                     continue
                 if end is None:
                     tail = self._end()
-                    exits = {s: tail[s][0] for s in self._exits(tail)}
-                    end = (exits, len(self.middle()))
-                found = [(s, max(arrived) + end[1] + w) for s, w in end[0].items()]
+                    end = {s: tail[s][0] for s in self._exits(tail)}
+                found = [(s, max(arrived) + w) for s, w in end.items()]
             out.extend((entry[0] - self.left, entry[1] - self.left, s[0] - self.right, s[1] - self.right, w) for s, w in found)
         return out
 
@@ -261,7 +263,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         codec = Codec(path)
         for batch in batches:
             ids = codec.encode(batch.column("text").to_pylist()) if len(batch) else []
-            arrays = [*[batch.column(n) for n in ("row", "doc_id", "text")], pa.array([1] * len(batch), pa.int32()), pa.array(ids, pa.list_(pa.int32()))]
+            arrays = [*[batch.column(n) for n in ("row", "doc_id", "text")], pa.array([1] * len(batch), pa.int32()), listed(ids)]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "text", "n_chunks", "ids"])
 
     def split(batches):
@@ -317,6 +319,25 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     return small.unionByName(large)
 
 
+def listed(lists: list[list[int]]):
+    """Arrow list<int32> array of Python lists."""
+    from itertools import chain
+
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, lists)])
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def id_lists(column) -> list[list[int]]:
+    """Python lists of an Arrow list<int32> column without nulls."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = column.value_lengths().to_numpy(zero_copy_only=False).cumsum().tolist()
+    return [flat[i:j].tolist() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` (with ids array<int>) and their ``decoded`` text."""
 
@@ -325,7 +346,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
         codec = Codec(path)
         for batch in batches:
-            texts = codec.whole.decode([x or [] for x in batch.column("ids").to_pylist()], num_threads=1) if len(batch) else []
+            texts = codec.whole.decode(id_lists(batch.column("ids")), num_threads=1) if len(batch) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     session(rows)
@@ -333,10 +354,30 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, decoded string")
 
 
+def digests(rows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, n_chunks, round_trip) of ``encoded`` rows: digest of the ids as little-endian 32-bit integers."""
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        codec = Codec(path)
+        for batch in batches:
+            lists = id_lists(batch.column("ids"))
+            texts = codec.whole.decode(lists, num_threads=1) if lists else []
+            same = [a == b for a, b in zip(texts, batch.column("text").to_pylist(), strict=True)]
+            sha = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in lists]
+            arrays = [batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(sha, pa.string()), batch.column("n_chunks"), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "n_chunks", "round_trip"])
+
+    session(rows)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, n_chunks int, round_trip boolean")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(MODEL)
-    rows = decoded(encoded(table(spark, sf_dir, "documents"), path), path)
-    listed = F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "n_chunks", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return digests(encoded(table(spark, sf_dir, "documents"), path), path)
