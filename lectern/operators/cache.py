@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.ranges import range_index
+from lectern.functions.ranges import spread
 
 CAP = 500 * 1024 * 1024
-RANGES = 200
 
 
 def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "key") -> DataFrame:
@@ -17,9 +16,9 @@ def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "
     A file goes if it and all newer files exceed the cap.  The running sum is made in two steps, by
     ranges of time and inside them, so that no task sees all files.
     """
-    bounds = files.agg(F.percentile_approx(F.unix_micros(F.col(order).cast("timestamp")), [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []
     at = F.unix_micros(F.col(order).cast("timestamp"))
-    ranged = files.withColumn("_r", range_index(sorted(set(bounds)), at))
+    parts = 3 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = files.withColumn("_r", spread(files, at, parts))
     sums = {r["_r"]: r["s"] for r in ranged.groupBy("_r").agg(F.sum("size").alias("s")).collect()}  # a row a range
     newer, above = {}, 0
     for r in sorted(sums, reverse=True):
@@ -27,9 +26,10 @@ def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "
         above += sums[r]
     if not newer:
         return files.limit(0)
-    base = F.create_map(*[F.lit(x) for pair in newer.items() for x in pair])[F.col("_r")]
+    above_ = files.sparkSession.createDataFrame(list(newer.items()), "_r int, _above long")
     rest = Window.partitionBy("_r").orderBy(order, key).rowsBetween(0, Window.unboundedFollowing)
-    return ranged.withColumn("_rest", F.sum("size").over(rest) + base).where(F.col("_rest") > cap).drop("_r", "_rest")
+    summed = ranged.withColumn("_rest", F.sum("size").over(rest)).join(F.broadcast(above_), "_r")
+    return summed.where(F.col("_rest") + F.col("_above") > cap).select(*files.columns)
 
 
 def total_bytes(files: DataFrame) -> DataFrame:

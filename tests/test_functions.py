@@ -121,3 +121,20 @@ def test_range_index(spark, n):
     bounds = [3 * i for i in range(n)]
     got = spark.range(-2, 120).select("id", range_index(bounds, F.col("id")).alias("x")).collect()
     assert all(r["x"] == bisect_right(bounds, r["id"]) for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 256, 3000])
+def test_spread(spark, parts):
+    import random
+
+    from lectern.functions.ranges import spread
+
+    r = random.Random(1)
+    ids = [int(10 ** r.uniform(0, 15)) for _ in range(3000)] + [-5, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {x["id"]: x["r"] for x in rows.select("id", spread(rows, F.col("id"), parts).alias("r")).collect()}
+    assert got.pop(None) == -1
+    order = [got[i] for i in sorted(got)]
+    assert order == sorted(order) and order[0] >= 0
+    assert max(map(order.count, set(order))) <= max(3000 * 6 / parts, 40)
+    assert spark.range(1).select(spread(rows.limit(0), F.lit(1), 3).alias("r")).first()["r"] == -1
