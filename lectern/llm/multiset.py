@@ -22,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.ranges import range_index
+from lectern.functions.ranges import spread
 from lectern.llm.common import BLANKS, session, table
 
-LANES, MAX_RANGES = 64, 512
+LANES = 64
 _PAIR = (1 << 32) + 1
 _LOW = (1 << 32) - 1
 
@@ -100,22 +100,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the text of the next row by descending doc_id; after the last, the first.
 
     Rows are dealt by ranges of doc_id; every range also gets the rows that follow it, of one doc_id.
-    At most MAX_RANGES bounds and first ids go to the driver.
+    Only a row a range goes to the driver and back; there are three ranges a shuffle partition.
     """
     spark = session(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(MAX_RANGES, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    ranged = rows.withColumn("r", F.when(F.col("doc_id").isNull(), -1).otherwise(range_index(sorted(set(bounds)), F.col("doc_id"))))
-    firsts = sorted(ranged.groupBy("r").agg(F.max("doc_id")).collect(), reverse=True)
+    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("r", spread(rows, F.col("doc_id"), parts))
+    firsts = sorted(ranged.groupBy("r").agg(F.max("doc_id")).collect(), reverse=True)  # a row a range
     if not firsts:
         return rows.select("*", F.lit("").alias("next_text"))
-    guests = None
-    for (host, _), (_, first) in zip(firsts, [*firsts[1:], firsts[0]], strict=True):
-        one = F.struct(F.lit(first).cast("long").alias("id"), F.lit(host).alias("to"))
-        guests = [one] if guests is None else [*guests, one]
-    lists = F.filter(F.array(*guests), lambda g: g["id"].eqNullSafe(F.col("doc_id")))
-    visiting = rows.select("doc_id", "text", F.explode(lists).alias("g")).select("doc_id", "text", F.col("g.to").alias("r"), F.lit(1).alias("guest"))
+    hosts = [(first, host) for (host, _), (_, first) in zip(firsts, [*firsts[1:], firsts[0]], strict=True)]
+    guests = F.broadcast(spark.createDataFrame(hosts, "id long, r int"))
+    visiting = rows.join(guests, rows["doc_id"].eqNullSafe(guests["id"])).select("doc_id", "text", "r", F.lit(1).alias("guest"))
     order = Window.partitionBy("r").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     both = ranged.select("doc_id", "text", "r", F.lit(0).alias("guest")).union(visiting)
     return both.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
