@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
+
 #: Section labels and the header lines that open them, in order of precedence.
 SECTION_HEADERS = [
     ("abstract", r"(?i)^\s*abstract\s*$"),
@@ -127,7 +129,7 @@ def paragraphs(script: Column) -> Column:
         groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s) / n).cast("int") - 1, F.lit(0))), lambda g: F.array_join(F.slice(s, g * n + 1, n), " "))
         return groups
 
-    found = F.transform(F.array(sentences(script)), grouped)[0]
+    found = let(sentences(script), grouped)
     return F.when(blank(script) == "", F.array().cast("array<string>")).when(F.size(held) > 1, held).otherwise(found)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
 from lectern.functions.text import embed_tokens, hash_bucket
 
 
@@ -26,6 +27,6 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_embedding(text: Column, size: int = 48) -> Column:
     """Counts of hashed tokens, scaled to length one; all zeros without tokens."""
     buckets = F.transform(embed_tokens(text), lambda t: hash_bucket(t, size))
-    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double"))
-    scaled = lambda c: F.transform(F.array(norm(c)), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0))))[0]
-    return F.transform(F.transform(F.array(buckets), counts), scaled)[0]
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+    counts = let(buckets, lambda b: F.transform(ids, lambda k: (F.size(b) - F.size(F.array_remove(b, k))).cast("double")))
+    return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))))

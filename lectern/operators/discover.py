@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import contains_fold
+from lectern.functions.binding import let
 from lectern.functions.times import age_days, decay
 
 #: Weights of the rank score.
@@ -19,7 +19,7 @@ def literal_terms(terms: list[str]) -> Column:
 
 def searched(rows: DataFrame, terms: list[str], haystack: Column, order: str, limit: int) -> DataFrame:
     """Rows with any term first, the rest after them, each in ``order``; then the limit."""
-    hit = F.exists(literal_terms(terms), lambda t: F.contains(F.lower(haystack), t)) if terms else F.lit(False)
+    hit = let(F.lower(haystack), lambda h: F.exists(literal_terms(terms), lambda t: F.contains(h, t))) if terms else F.lit(False)
     return rows.withColumn("hit", hit).orderBy(F.col("hit").desc(), order).limit(limit)
 
 
@@ -29,7 +29,7 @@ def enriched_velocity(velocity: Column, citations: Column) -> Column:
 
 def term_hits(text: Column, terms: list[str]) -> Column:
     """Number of terms contained in the text."""
-    return F.size(F.filter(literal_terms(terms), lambda t: contains_fold(text, t)))
+    return let(F.lower(text), lambda x: F.size(F.filter(literal_terms([t.lower() for t in terms]), lambda t: F.contains(x, t))))
 
 
 def rank_score(published: Column, velocity: Column, text: Column, now: Column, terms: list[str], window_days: int, boost: Column | None = None) -> Column:

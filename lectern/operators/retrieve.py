@@ -43,8 +43,8 @@ def top_k(rows: DataFrame, by: str, score: str, order: str, k: int) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def retrieved(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """Best chunks of each paper for its question.
+def scored(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Chunks of each paper with the ``score`` for its question.
 
     ``chunks``: paper, c (orders ties), section, content, embedding.  ``questions``: paper, question, vector.
     A paper's chunks are compared by vectors only if all have one and the question has, too; one
@@ -62,8 +62,12 @@ def retrieved(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     similar = found.select(F.col("c.paper").alias("paper"), F.col("c.c").alias("c"), "similarity")
     filled = sparse.join(similar, ["paper", "c"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     both = dense.unionByName(filled.select(*dense.columns))
-    scored = both.withColumn("score", F.col("similarity") + bonus(F.col("section")))
-    return top_k(scored, "paper", "score", "c", k).drop("vector")
+    return both.withColumn("score", F.col("similarity") + bonus(F.col("section"))).drop("vector")
+
+
+def retrieved(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """The best ``k`` chunks of each paper, with their rank; arguments as for ``scored``."""
+    return top_k(scored(chunks, questions), "paper", "score", "c", k)
 
 
 def answer(title: Column, chunks: Column, question: Column) -> Column:

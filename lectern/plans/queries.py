@@ -320,8 +320,8 @@ def hash_embed_norm(s, d):
 _COS = "list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)))"
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS q, c.vec_id AS c, round({_COS}, 6) AS s FROM e q, e c WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM p) SELECT q, c, rank, round(s, 4) AS similarity FROM r WHERE rank <= 5""")
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS q, c.vec_id AS c, {_COS} AS s FROM e q, e c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, c) AS rank FROM p) SELECT q, c, rank, round(s, 4) AS similarity FROM r WHERE rank <= 5""")
 def dense_cosine_topk(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return dense_topk(e, e.where("vec_id % 20 = 0"), 5)
@@ -335,38 +335,38 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, block: int = 64) ->
     blocks = queries.select("vec_id", "v", (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.lit(queries.count() // block))).alias("b"))
     packed = blocks.groupBy("b").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("v").alias("qv"))).alias("qs"))
     met = rows.join(F.broadcast(packed)) if queries.count() <= 10_000 else rows.join(packed)
-    pairs = met.select(F.col("vec_id").alias("c"), F.explode(F.transform("qs", lambda q: F.struct(q["q"].alias("q"), F.round(vectors.cosine(q["qv"], F.col("v")), 6).alias("s")))).alias("x"))
-    top = retrieve.top_k(pairs.select("c", "x.q", "x.s"), "q", "s", "c", k)
+    pairs = met.select(F.col("vec_id").alias("c"), F.explode(F.transform("qs", lambda q: F.struct(q["q"].alias("q"), vectors.cosine(q["qv"], F.col("v")).alias("s")))).alias("x"))
+    top = retrieve.top_k(pairs.select("c", "x.q", "x.s", F.round("x.s", 6).alias("key")), "q", "key", "c", k)
     return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
 
 
 _TF = r"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 2)) AS token FROM documents) GROUP BY ALL),
 qtf AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 2)) AS token FROM benchmark) GROUP BY ALL),
-sim AS (SELECT q.item_id AS q, c.doc_id AS c, round(sum(q.tf * c.tf) / (any_value(ql.l) * any_value(cl.l)), 6) AS s FROM qtf q JOIN tf c USING (token)
+sim AS (SELECT q.item_id AS q, c.doc_id AS c, sum(q.tf * c.tf) / (any_value(ql.l) * any_value(cl.l)) AS s FROM qtf q JOIN tf c USING (token)
   JOIN (SELECT item_id, sqrt(sum(tf * tf)) AS l FROM qtf GROUP BY 1) ql USING (item_id) JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS l FROM tf GROUP BY 1) cl USING (doc_id) GROUP BY q.item_id, c.doc_id)"""
 
 
 def _similar(s, d):
     q = retrieve.term_counts(table(s, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "q")
     c = retrieve.term_counts(docs(s, d), "doc_id", "text").withColumnRenamed("doc_id", "c")
-    return retrieve.sparse_cosine(q, c).select("q", "c", F.round("similarity", 6).alias("s"))
+    return retrieve.sparse_cosine(q, c).select("q", "c", F.col("similarity").alias("s"))
 
 
-@query(f"WITH {_TF}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM sim) SELECT q, c, rank, round(s, 4) AS similarity FROM r WHERE rank <= 4")
+@query(f"WITH {_TF}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, c) AS rank FROM sim) SELECT q, c, rank, round(s, 4) AS similarity FROM r WHERE rank <= 4")
 def sparse_cosine_topk(s, d):
-    top = retrieve.top_k(_similar(s, d), "q", "s", "c", 4)
+    top = retrieve.top_k(_similar(s, d).withColumn("key", F.round("s", 6)), "q", "key", "c", 4)
     return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
 
 
 _SECTION = "CASE c % 4 WHEN 0 THEN 'abstract' WHEN 1 THEN 'results' WHEN 2 THEN 'methods' ELSE 'background' END"
 
 
-@query(f"WITH {_TF}, b AS (SELECT q, c, round(s + CASE c % 4 WHEN 0 THEN 0.18::DOUBLE WHEN 1 THEN 0.16::DOUBLE WHEN 2 THEN 0.08::DOUBLE ELSE 0::DOUBLE END, 6) AS score FROM sim), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM b) SELECT q, c, rank, round(score, 4) AS score FROM r WHERE rank <= 5")
+@query(f"WITH {_TF}, b AS (SELECT q, c, s + CASE c % 4 WHEN 0 THEN 0.18::DOUBLE WHEN 1 THEN 0.16::DOUBLE WHEN 2 THEN 0.08::DOUBLE ELSE 0::DOUBLE END AS score FROM sim), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, c) AS rank FROM b) SELECT q, c, rank, round(score, 4) AS score FROM r WHERE rank <= 5")
 def section_bonus_topk(s, d):
     kind = F.col("c") % 4
     section = F.when(kind == 0, "abstract").when(kind == 1, "results").when(kind == 2, "methods").otherwise("background")
-    scored = _similar(s, d).withColumn("score", F.round(F.col("s") + retrieve.bonus(section), 6))
-    top = retrieve.top_k(scored, "q", "score", "c", 5)
+    scored = _similar(s, d).withColumn("score", F.col("s") + retrieve.bonus(section)).withColumn("key", F.round("score", 6))
+    top = retrieve.top_k(scored, "q", "key", "c", 5)
     return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
@@ -389,9 +389,9 @@ tb AS (SELECT paper, c, ('0x' || left(sha256(t), 8))::BIGINT % 48 AS b, count(*)
 qb AS (SELECT paper, ('0x' || left(sha256(t), 8))::BIGINT % 48 AS b, count(*) AS n FROM (SELECT id AS paper, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM papers) GROUP BY ALL),
 dn AS (SELECT tb.paper, tb.c, sum(tb.n * qb.n) / (any_value(ql.l) * any_value(cl.l)) AS s FROM tb JOIN qb USING (paper, b)
     JOIN (SELECT paper, sqrt(sum(n * n)) AS l FROM qb GROUP BY 1) ql USING (paper) JOIN (SELECT paper, c, sqrt(sum(n * n)) AS l FROM tb GROUP BY 1, 2) cl USING (paper, c) GROUP BY tb.paper, tb.c),
-sc AS (SELECT l.paper, l.c, round(coalesce(CASE WHEN l.paper % 2 = 0 THEN dn.s ELSE sp.s END, 0) + CASE l.section WHEN 'abstract' THEN 0.18::DOUBLE WHEN 'results' THEN 0.16::DOUBLE ELSE 0::DOUBLE END, 6) AS score
+sc AS (SELECT l.paper, l.c, coalesce(CASE WHEN l.paper % 2 = 0 THEN dn.s ELSE sp.s END, 0) + CASE l.section WHEN 'abstract' THEN 0.18::DOUBLE WHEN 'results' THEN 0.16::DOUBLE ELSE 0::DOUBLE END AS score
     FROM lines l LEFT JOIN sp USING (paper, c) LEFT JOIN dn USING (paper, c)),
-r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY score DESC, c) AS rank FROM sc) SELECT paper, c::BIGINT AS c, rank, round(score, 4) AS score FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY round(score, 6) DESC, c) AS rank FROM sc) SELECT paper, c::BIGINT AS c, rank, round(score, 4) AS score FROM r WHERE rank <= 5""")
 def retrieve_mode_switch(s, d):
     """Odd papers have one chunk without a vector: all their chunks are compared sparsely."""
     lines = _paper_lines(s, d)
@@ -403,8 +403,8 @@ def retrieve_mode_switch(s, d):
 
 
 def _rounded_top(chunks_, asked, k):
-    all_ = retrieve.retrieved(chunks_, asked, 1 << 30).drop("rank").withColumn("score", F.round("score", 6))
-    return retrieve.top_k(all_, "paper", "score", "c", k)
+    scored = retrieve.scored(chunks_, asked).withColumn("key", F.round("score", 6))
+    return retrieve.top_k(scored, "paper", "key", "c", k)
 
 
 @query(rf"""WITH {PAPERS}, {_RETRIEVE}, sc AS (SELECT l.paper, l.c, l.section, l.content, round(coalesce(sp.s, 0) + CASE l.section WHEN 'abstract' THEN 0.18::DOUBLE WHEN 'results' THEN 0.16::DOUBLE ELSE 0::DOUBLE END, 6) AS score FROM lines l LEFT JOIN sp USING (paper, c)),
