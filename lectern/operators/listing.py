@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import audio_url, contains_fold
@@ -63,3 +63,12 @@ def dashboard(episodes: DataFrame, topics: int) -> DataFrame:
         F.count_if(F.col("qa_status") == "verified").alias("verified"),
         F.lit(topics).cast("long").alias("topics"),
     )
+
+
+def running_index(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows`` with ``index`` from 0, running on from group to group; only a row a group meets in one task."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    return rows.withColumn("index", inside).join(offsets, group).withColumn("index", F.col("index") + F.col("_before")).drop("_before")

@@ -34,3 +34,9 @@ def chosen_embedder(openai: Column, preference: Column) -> Column:
 
 def live(llm: Column, tts: Column) -> Column:
     return (llm != "demo") & (tts != "demo")
+
+
+def merged(old: Column, new: Column) -> Column:
+    """Maps merged; the new value of a key wins."""
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return F.map_concat(kept, new)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import audio, text, times, vectors
-from lectern.operators import affinity, cache, chunks, compose, discover, feed, listing, retrieve, sections, status, upsert
+from lectern.operators import affinity, ann, cache, chunks, compose, discover, feed, listing, retrieve, sections, status, upsert
 from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, marked_lines, now, papers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,6 +340,14 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, block: int = 64) ->
     return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
 
 
+@query(None)
+def ann_topk(s, d):
+    e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    fitted = ann.centroids(e)
+    top = ann.search(ann.indexed(e, fitted), e.where("vec_id % 20 = 0"), fitted, 5)
+    return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+
+
 _TF = r"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 2)) AS token FROM documents) GROUP BY ALL),
 qtf AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 2)) AS token FROM benchmark) GROUP BY ALL),
 sim AS (SELECT q.item_id AS q, c.doc_id AS c, sum(q.tf * c.tf) / (any_value(ql.l) * any_value(cl.l)) AS s FROM qtf q JOIN tf c USING (token)
@@ -587,6 +595,20 @@ def palette_groups(s, d):
     return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+@query("SELECT doc_id, lang, (row_number() OVER (ORDER BY lang, doc_id) - 1)::BIGINT AS index FROM documents")
+def palette_index(s, d):
+    return listing.running_index(docs(s, d).select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", F.col("index").cast("long").alias("index"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END AS state, (props->>'$.k')::BIGINT AS k FROM events""")
+def state_merge(s, d):
+    pair = lambda k, v: F.create_map(F.lit(k), v)
+    k = F.get_json_object("props", "$.k")
+    new = F.when(F.col("event_id") % 2 == 0, pair("state", F.lit("new"))).otherwise(pair("other", F.lit("x")))
+    both = status.merged(F.map_concat(pair("state", F.lit("old")), pair("k", k)), new)
+    return table(s, d, "events").select("event_id", both.alias("m")).select("event_id", F.col("m")["state"].alias("state"), F.col("m")["k"].cast("long").alias("k"))
+
+
 @query(rf"""WITH {EPISODES}, t AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM episodes_) SELECT rank, '<item><title>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><link>https://x.test/episodes/' || id || '</link><guid>' || id || '</guid><description>' || replace(replace(replace(topic, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') ||
 '</description><pubDate>' || strftime(strptime(created_at, '%Y-%m-%dT%H:%M:%SZ'), '%a, %d %b %Y %H:%M:%S') || ' +0000</pubDate><enclosure url="https://x.test/episodes/' || id || '/audio" type="audio/wav" length="0" /></item>' AS item FROM t WHERE rank <= 25""")
 def feed_latest25(s, d):
