@@ -23,5 +23,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_quality_rules": quality.ORACLE}
+    found = {"op2_quality_rules": quality.ORACLE, "op7_chat_format": chat.ORACLE, "op9_substring_dedup": substrings.ORACLE}
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -229,3 +229,7 @@ def test_simhash_of_odd(odd):
 def test_linked_chain(n):
     fps = np.array([(1 << 3 * i) - 1 for i in range(n)], np.uint64)
     assert set(simhash.linked(fps, 3).tolist()) == {0}
+
+
+def test_substrings_equal_sql(spark, data, same):
+    same(substrings.query(spark, data), substrings.ORACLE)

@@ -45,10 +45,11 @@ def test_encoder_equals_library(library):
 def test_cuts_depend_on_content_alone():
     r = np.random.default_rng(1)
     body = r.integers(1, 50_000, 30_000).astype(np.uint32)
-    whole = tokenstore.cuts(tokenstore.marks(body).tolist(), 0, len(body))
+    gear = tokenstore.gears(50_000)
+    whole = tokenstore.cuts(tokenstore.marks(body, gear).tolist(), 0, len(body))
     assert whole[-1] == len(body) and max(np.diff([0, *whole])) <= tokenstore.LONGEST
     moved = np.concatenate([r.integers(1, 50_000, 777).astype(np.uint32), body])
-    later = {x - 777 for x in tokenstore.cuts(tokenstore.marks(moved).tolist(), 0, len(moved))}
+    later = {x - 777 for x in tokenstore.cuts(tokenstore.marks(moved, gear).tolist(), 0, len(moved))}
     assert len(set(whole) & later) > len(whole) - 5
     assert tokenstore.cuts([], 0, 10_000) == [4096, 8192, 10_000]
 
@@ -188,3 +189,7 @@ def test_empty_table(frame):
 def test_pieces_query(spark, data, documents):
     got = pieces.query(spark, data)
     assert got.count() == documents.count() and got.where("not round_trip").count() == 0
+
+
+def test_chat_equals_sql(spark, data, same):
+    same(chat.query(spark, data), chat.ORACLE)
