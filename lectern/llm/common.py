@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let as let
+
 #: Fixed value: the characters between words (blank, tab, newline, VT, FF, CR).
 BLANKS = " \t\n\x0b\f\r"
 
@@ -16,10 +18,10 @@ BLANKS = " \t\n\x0b\f\r"
 ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
-def session(docs: DataFrame, rows: int = ARROW_ROWS) -> SparkSession:
+def session(docs: DataFrame, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> SparkSession:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 
@@ -55,11 +57,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, also inside lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """Array of the runs of non-blank characters; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -28,11 +28,13 @@ from lectern.llm.common import release, session, shared_dir, staged, table
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
 #: Fixed value: the pre-tokenisation of this vocabulary, for texts of the SAFE characters alone.
-PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-SAFE = r"\A[\t\n\r -~À-ÖØ-öø-ɏ]*\z"
-#: Runs of white space whose cutting depends on more than the text between two blanks.
+#: BREAK, which no such text has, is a piece of its own and ends white space.
+BREAK = "\0"
+PIECES = r"\0|'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w\0]|_)+|\s+(?![^\s\0])|\s+"
+SAFE = r"\t\n\r -~À-ÖØ-öø-ɏ"
+#: What else sends a text to the library whole: white space whose cutting depends on more than the text between two blanks.
 UNSAFE = r"[\t\n\r ]{3}|  |[\t\n\r ]{2}\z"
-CACHE, BATCH = 600_000, 4000
+CACHE, BATCH, BATCH_BYTES = 500_000, 2000, 6 << 20
 
 
 class Encoder:
@@ -57,7 +59,7 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache, self.width = cache, 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {BREAK: -1}
         self.flat, self.ends = np.array([], np.uint32), np.array([0], np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -67,9 +69,9 @@ class Encoder:
         """Encode new pieces, many to a call, set apart by line ends, which are pieces by themselves."""
         import numpy as np
 
-        plain = [p for p in pieces if not p.isspace()]
         spaces = [p for p in pieces if p.isspace()]
-        step = 2000
+        plain = [p for p in pieces if not p.isspace()] if spaces else pieces
+        step = 200
         ids = [np.array(x + [self.line_end], np.uint32) for x in self._library(["\n".join(plain[i : i + step]) for i in range(0, len(plain), step)])]
         alone = self._library(spaces)
         joined = np.concatenate([np.array([], np.uint32), *ids])
@@ -80,45 +82,62 @@ class Encoder:
         self.flat = np.concatenate([self.flat, joined[~stop], *[np.array(x, np.uint32) for x in alone]])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
-    def _indices(self, cut: list[list[str]]):
-        """Cache index of every piece, after learning what is new."""
-        from itertools import chain
+    def _indices(self, pieces: list[str]):
+        """Cache index of every piece, after learning what is new; -1 for BREAK."""
+        from itertools import repeat
 
         import numpy as np
 
-        wanted = set(chain.from_iterable(cut))
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > self.cache and self.known:
-            self.known.clear()
-            self.flat, self.ends, new = self.flat[:0], self.ends[:1], wanted
+        out = np.fromiter(map(self.known.get, pieces, repeat(-2)), np.int32, len(pieces))
+        miss = np.flatnonzero(out == -2)
+        missing = [pieces[i] for i in miss.tolist()]
+        new = list(dict.fromkeys(missing))
+        self.extra = new if len(self.known) + len(new) > self.cache else ()
         if new:
-            self._learn(list(new))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+            self._learn(new)
+            out[miss] = np.fromiter(map(self.known.__getitem__, missing), np.int32, len(missing))
+        return out
+
+    def _forget(self) -> None:
+        """Take the pieces that the full cache has no room for out again."""
+        for p in self.extra:
+            del self.known[p]
+        keep = len(self.ends) - len(self.extra)
+        self.flat, self.ends = self.flat[: self.ends[keep - 1]], self.ends[:keep]
 
     def _gathered(self, starts, sizes, values):
         """Concatenation of values[start : start + size]."""
         import numpy as np
 
-        return values[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return values[at]
 
     def _plain(self, texts):
         """(ids, counts) of an Arrow array of plain texts."""
+        import gc
+
         import numpy as np
         import pyarrow.compute as pc
 
+        gc.disable()  # the lists of pieces hold no cycles, and are long
         lists = pc.split_pattern(texts, " ")
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         firsts = np.cumsum(sizes) - sizes
-        cut = [self.pieces(" " + r) for r in runs]
-        cut += [self.pieces(runs[i]) for i in at[firsts].tolist()]  # a text's first run has no blank before it
+        heads = [runs[i] for i in at[firsts].tolist()]  # a text's first run has no blank before it
         at[firsts] = len(runs) + np.arange(len(firsts))
-        index = self._indices(cut)
-        parts = np.fromiter(map(len, cut), np.int64, len(cut))
+        joined = f"{BREAK} ".join(["", *runs]) + BREAK + BREAK.join(heads) + BREAK
+        index = self._indices(self.pieces(joined[1:]))
+        stop = index < 0
+        index = index[~stop]
+        parts = np.diff(np.flatnonzero(stop), prepend=-1) - 1
         begin, n = self.ends[index], self.ends[index + 1] - self.ends[index]
         ids = self._gathered(begin, n, self.flat)
+        self._forget()
+        gc.enable()
         ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(parts))]
         run_sizes = np.diff(ends)[at]
         totals = np.append(0, np.cumsum(run_sizes))[np.append(0, np.cumsum(sizes))]
@@ -126,14 +145,15 @@ class Encoder:
 
     def encode_flat(self, texts):
         """(ids of all texts as one uint32 array, number of ids of each) of an Arrow string array without nulls."""
+        import re
+
         import numpy as np
         import pyarrow.compute as pc
 
         if not len(texts):
             return np.array([], np.uint32), np.array([], np.int64)
-        plain = pc.and_not(pc.match_substring_regex(texts, SAFE), pc.match_substring_regex(texts, UNSAFE))
-        for s in self.special:
-            plain = pc.and_not(plain, pc.match_substring(texts, s))
+        odd = "|".join([f"[^{SAFE}]", UNSAFE, *map(re.escape, self.special)])
+        plain = pc.invert(pc.match_substring_regex(texts, odd))
         mask = plain.to_numpy(zero_copy_only=False)
         if not mask.all():
             rest = [np.array(x, np.uint32) for x in self._library(texts.filter(pc.invert(plain)).to_pylist())]
@@ -168,24 +188,24 @@ def shared_encoder(path: str) -> Encoder:
     return held[path]
 
 
-def mixed(x):
-    """Finaliser of splitmix64 on an unsigned 64-bit array."""
+def gears(size: int):
+    """Random-looking 32-bit values of the ids, by the finaliser of splitmix64."""
     import numpy as np
 
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = np.arange(size, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def marks(ids):
+def marks(ids, gear):
     """Places (ends) where the rolling hash of the WINDOW ids before calls for a cut."""
     import numpy as np
 
-    h = mixed(ids.astype(np.uint64))
+    h = gear[ids]
     for step in (1, 2, 4, 8):
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
-    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1
+        h[step:] += h[:-step] << np.uint32(step)
+    return np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
 
 
 def cuts(places: list[int], begin: int, end: int) -> list[int]:
@@ -266,6 +286,7 @@ def _encoded(path: str, end_id: int):
         import pyarrow as pa
 
         encoder, seen = shared_encoder(path), set()
+        gear = gears(max(end_id + 1, encoder.library.get_vocab_size()))
         kind = "<u2" if encoder.width == 2 else "<u4"
         types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
         names = ["key", "ids", "doc_id", "row", "n_tokens", "digests", "sizes"]
@@ -275,7 +296,7 @@ def _encoded(path: str, end_id: int):
             ids = np.insert(ids, np.cumsum(counts), end_id)
             counts = counts + 1
             stops = np.cumsum(counts)
-            places = marks(ids)
+            places = marks(ids, gear)
             within = np.searchsorted(places, np.append(0, stops), side="right").tolist()
             places, body = places.tolist(), ids.astype(kind).tobytes()
             for i, (doc, row, n, stop) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), counts.tolist(), stops.tolist(), strict=True)):
@@ -322,11 +343,10 @@ def _part_roots(pdf):
 
 def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` with the vocabulary file at ``path`` and write a store under ``root``."""
-    spark = session(docs, BATCH)
+    spark = session(docs, BATCH, BATCH_BYTES)
     picked = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = picked.mapInArrow(_encoded(path, end_id), _OBJECTS)
-    rest = [F.first(c).alias(c) for c in ("ids", "doc_id", "row", "n_tokens", "digests", "sizes")]
-    objects = staged(rows.groupBy("key").agg(*rest), f"{root}/objects")
+    objects = staged(rows.repartition("key").dropDuplicates(["key"]), f"{root}/objects")
     release(spark)
     recipes = objects.where("row is not null").select("doc_id", "row", "n_tokens", "digests", "sizes")
     ordered = recipes.repartitionByRange(F.col("doc_id"), F.col("row")).sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
