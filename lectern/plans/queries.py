@@ -12,6 +12,8 @@ from lectern.operators import affinity, ann, cache, chunks, compose, discover, f
 from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, marked_lines, now, papers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Query vectors that are sent to every task; more are shuffled.
+MOST_BROADCAST = 10_000
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -124,7 +126,7 @@ def topics_parse(s, d):
 @query(rf"""WITH {PAPERS} SELECT id, printf('%.3f', velocity / 7) AS shown, greatest(1, floor(citations::DOUBLE / 60 + 0.5))::BIGINT AS minutes, replace(url_encode(title), '%20', '+') AS encoded FROM papers WHERE regexp_matches(title, '^[A-Za-z0-9 .,]*$')""")
 def score_display(s, d):
     p = papers(s, d).where(F.col("title").rlike("^[A-Za-z0-9 .,]*$"))
-    return p.select("id", text.score_display(F.col("velocity") / 7).alias("shown"), text.minutes(F.col("citations")).cast("long").alias("minutes"), F.url_encode(F.regexp_replace("title", ",", "%2C")).alias("x"), F.url_encode("title").alias("encoded")).drop("x")
+    return p.select("id", text.score_display(F.col("velocity") / 7).alias("shown"), text.minutes(F.col("citations")).cast("long").alias("minutes"), F.url_encode("title").alias("encoded"))
 
 
 @query(None)
@@ -332,9 +334,10 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, block: int = 64) ->
 
     Queries go round in blocks: every row meets a block as one array, and each partition keeps k rows a query.
     """
-    blocks = queries.select("vec_id", "v", (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) % F.greatest(F.lit(1), F.lit(queries.count() // block))).alias("b"))
+    asked = queries.count()
+    blocks = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, asked // block))).alias("b"))
     packed = blocks.groupBy("b").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("v").alias("qv"))).alias("qs"))
-    met = rows.join(F.broadcast(packed)) if queries.count() <= 10_000 else rows.join(packed)
+    met = rows.join(F.broadcast(packed)) if asked <= MOST_BROADCAST else rows.join(packed)
     pairs = met.select(F.col("vec_id").alias("c"), F.explode(F.transform("qs", lambda q: F.struct(q["q"].alias("q"), vectors.cosine(q["qv"], F.col("v")).alias("s")))).alias("x"))
     top = retrieve.top_k(pairs.select("c", "x.q", "x.s", F.round("x.s", 6).alias("key")), "q", "key", "c", k)
     return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
@@ -366,9 +369,6 @@ def sparse_cosine_topk(s, d):
     return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
 
 
-_SECTION = "CASE c % 4 WHEN 0 THEN 'abstract' WHEN 1 THEN 'results' WHEN 2 THEN 'methods' ELSE 'background' END"
-
-
 @query(f"WITH {_TF}, b AS (SELECT q, c, s + CASE c % 4 WHEN 0 THEN 0.18::DOUBLE WHEN 1 THEN 0.16::DOUBLE WHEN 2 THEN 0.08::DOUBLE ELSE 0::DOUBLE END AS score FROM sim), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, c) AS rank FROM b) SELECT q, c, rank, round(score, 4) AS score FROM r WHERE rank <= 5")
 def section_bonus_topk(s, d):
     kind = F.col("c") % 4
@@ -430,10 +430,6 @@ def extractive_answer(s, d):
 
 # ---- grounding and text ---------------------------------------------------
 
-_QA = rf"""qa AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 4)) AS src FROM documents),
-sw AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 4)) AS mine, lead(doc_id) OVER (ORDER BY doc_id) AS nxt FROM documents)"""
-
-
 @query(rf"""WITH o AS (SELECT a.doc_id, len(list_intersect(x, y)) / greatest(len(x), 1)::DOUBLE AS o FROM
  (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 4)) AS x FROM documents) a JOIN
  (SELECT doc_id - 1 AS doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 4)) AS y FROM documents) b USING (doc_id))
@@ -446,9 +442,6 @@ def qa_overlap(s, d):
     return compose.grounded(scripts, source, "doc_id").select("doc_id", F.round("overlap", 4).alias("overlap"), "qa_status")
 
 
-_PICK = "string_split({}, '.')[1]"
-
-
 def _sentence(x: str) -> str:
     return _STRIP.format(f"string_split({_STRIP.format(x)}, '.')[1]") + " || '.'"
 
