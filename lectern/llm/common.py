@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.binding import let as let
+from lectern.functions.binding import let  # noqa: F401  for the other modules
 
 #: Fixed value: the characters between words (blank, tab, newline, VT, FF, CR).
 BLANKS = " \t\n\x0b\f\r"
