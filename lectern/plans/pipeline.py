@@ -49,28 +49,43 @@ def ranked(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Colum
     return discover.ranked(found, score, "ord", run.episodes)
 
 
-def episodes(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Column) -> DataFrame:
-    """Episodes of a run."""
+def run_tables(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Column) -> dict[str, DataFrame]:
+    """Papers, chunks and episodes of a run, in the schemas of the store.  Ids are hashes of keys."""
     top = ranked(candidates, scores, run, now)
-    parts = top.select(F.col("arxiv_id").alias("paper"), F.explode("sections").alias("section", "body"))
+    paper_id = F.sha2("arxiv_id", 256)
+    parts = top.select(paper_id.alias("paper"), F.explode("sections").alias("section", "body"))
     made = chunks.chunked(parts, "paper", "body", "section")
     vector = hash_embedding(F.col("content")) if run.use_vectors else F.array().cast("array<double>")
     held = made.withColumn("embedding", vector).withColumn("c", F.concat_ws("#", "section", F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
-    asked = top.select(F.col("arxiv_id").alias("paper"), F.concat_ws(" ", "title", "abstract").alias("question")).withColumn("vector", hash_embedding(F.col("question")))
+    asked = top.select(paper_id.alias("paper"), F.concat_ws(" ", "title", "abstract").alias("question")).withColumn("vector", hash_embedding(F.col("question")))
     best = retrieve.retrieved(held.select("paper", "c", "section", "content", "embedding"), asked, run.chunk_limit)
     picked = compose.last_content(best, "paper")
-    rows = top.join(picked, top["arxiv_id"] == picked["paper"], "left")
+    rows = top.withColumn("paper", paper_id).join(picked, "paper", "left")
     topics = F.array(*map(F.lit, run.topics)) if run.topics else F.array().cast("array<string>")
     none = F.create_map().cast("map<string,string>")
     script = compose.script(F.col("title"), F.col("abstract"), F.coalesce("retrieved", none), F.col("sections"), topics)
-    scripts = rows.select("arxiv_id", "title", "categories", "score", script.alias("script"))
-    checked = compose.grounded(scripts.select(F.col("arxiv_id").alias("paper"), "script"), made.select("paper", "content"), "paper")
-    out = scripts.join(checked, scripts["arxiv_id"] == checked["paper"])
-    return out.select(
-        F.sha2(F.concat_ws("#", "arxiv_id", now.cast("string")), 256).alias("id"), "arxiv_id", F.concat("title", F.lit(": Audio Brief")).alias("title"),
+    scripts = rows.select("paper", "title", "categories", "score", script.alias("script"))
+    checked = compose.grounded(scripts.select("paper", "script"), made.select("paper", "content"), "paper")
+    at = now.cast("string")
+    made_episodes = scripts.join(checked, "paper").select(
+        F.sha2(F.concat_ws("#", "paper", at), 256).alias("id"), F.col("paper").alias("paper_id"), F.concat("title", F.lit(": Audio Brief")).alias("title"),
         text.description(F.col("script")).alias("description"), text.topic_of(topics, F.col("categories")).alias("topic"), F.round("score", 4).alias("score"),
-        "script", "qa_status", "qa_notes", text.duration_secs(F.col("script")).alias("duration_secs"), F.lit("template").alias("writer"), now.cast("string").alias("created_at"),
+        "script", "qa_status", "qa_notes", text.duration_secs(F.col("script")).alias("duration_secs"), F.lit("demo").alias("tts_provider"), at.alias("created_at"),
+    )
+    optional = lambda name, kind, default: (F.col(name) if name in top.columns else default).cast(kind).alias(name)
+    papers = top.select(
+        paper_id.alias("id"), "arxiv_id", "title", optional("authors", "array<string>", F.array().cast("array<string>")), "abstract", "categories", optional("published_at", "string", F.col("published")),
+        optional("pdf_url", "string", F.lit("")), F.col("citation_count").cast("int").alias("citation_count"), F.round("score", 4).alias("score"),
     )
+    stored = held.select("id", F.col("paper").alias("paper_id"), "section", "chunk_index", "content", "token_count", "embedding")
+    return {"papers": papers, "chunks": stored, "episodes": made_episodes}
+
+
+def episodes(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Column) -> DataFrame:
+    """Episodes of a run, with the key of their paper."""
+    made = run_tables(candidates, scores, run, now)
+    keys = made["papers"].select(F.col("id").alias("paper_id"), "arxiv_id")
+    return made["episodes"].join(keys, "paper_id")
 
 
 def episodes_from_tables(spark: SparkSession, d: str) -> DataFrame:
