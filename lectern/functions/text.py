@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -174,3 +176,9 @@ def topic_of(topics: Column, categories: Column, default: str = "general AI") ->
 def pdf_link(links: Column, fallback: Column) -> Column:
     """href of the first link titled pdf, else the entry's own address."""
     return F.coalesce(F.get(F.filter(links, lambda x: x["title"] == "pdf"), F.lit(0))["href"], fallback)
+
+
+def filled(template: str, **values: Column) -> Column:
+    """``template`` with the names in braces replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])

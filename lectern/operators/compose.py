@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import first_sentence, words
+from lectern.functions.text import filled, first_sentence, words
 
 VERIFIED_FROM = 0.3
 #: Notes of the grounding check.
@@ -41,17 +41,23 @@ def section_pick(name: str, retrieved: Column, given: Column, abstract: Column)
     return first_sentence(F.coalesce(F.try_element_at(retrieved, F.lit(name)), F.try_element_at(given, F.lit(name)), abstract))
 
 
+#: Fixed value: the template script.
+SCRIPT = (
+    "If you care about {focus}, today's paper is interesting because {hook} "
+    "The paper, titled {title}, focuses on a practical bottleneck in modern AI systems. {introduction} "
+    "The main takeaway is that {results} "
+    "Under the hood, the authors use a relatively simple idea: {methods} "
+    "What makes it worth watching next is the broader implication. {conclusion} "
+    "For a daily podcast format, that means the work is both technically credible and easy to map to where the field may move next."
+)
+#: What stands for topics where there are none.
+NO_FOCUS, NO_AUDIENCE = "your tracked research topics", "general AI research"
+
+
 def script(title: Column, abstract: Column, retrieved: Column, given: Column, topics: Column) -> Column:
-    pick = lambda name: section_pick(name, retrieved, given, abstract)
-    focus = F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, 3), ", ")).otherwise("your tracked research topics")
-    return F.concat(
-        F.lit("If you care about "), focus, F.lit(", today's paper is interesting because "), first_sentence(abstract),
-        F.lit(" The paper, titled "), title, F.lit(", focuses on a practical bottleneck in modern AI systems. "), pick("introduction"),
-        F.lit(" The main takeaway is that "), pick("results"),
-        F.lit(" Under the hood, the authors use a relatively simple idea: "), pick("methods"),
-        F.lit(" What makes it worth watching next is the broader implication. "), pick("conclusion"),
-        F.lit(" For a daily podcast format, that means the work is both technically credible and easy to map to where the field may move next."),
-    )
+    picks = {name: section_pick(name, retrieved, given, abstract) for name in ("introduction", "results", "methods", "conclusion")}
+    focus = F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, 3), ", ")).otherwise(NO_FOCUS)
+    return filled(SCRIPT, focus=focus, hook=first_sentence(abstract), title=title, **picks)
 
 
 def last_content(chunks: DataFrame, key: str) -> DataFrame:
@@ -60,12 +66,23 @@ def last_content(chunks: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "content"))).alias("retrieved"))
 
 
+#: Fixed value: the prompt for a language model.
+PROMPT = """PAPER: {title}
+AUTHORS: {authors}
+CATEGORIES: {categories}
+AUDIENCE TOPICS: {topics}
+
+PAPER ABSTRACT:
+{abstract}
+
+RETRIEVED PAPER SECTIONS:
+{chunks}
+
+Write the 6-9 minute narration now. 800-1200 words. Pure spoken prose."""
+
+
 def prompt(title: Column, authors: Column, categories: Column, topics: Column, abstract: Column, chunks: Column) -> Column:
     """Prompt from at most five topics and fourteen ordered chunks (array<struct<section, content>>)."""
-    line = F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, 5), ", ")).otherwise("general AI research")
+    line = F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, 5), ", ")).otherwise(NO_AUDIENCE)
     body = F.array_join(F.transform(F.slice(chunks, 1, 14), lambda c: F.concat(F.lit("["), c["section"], F.lit("]\n"), c["content"])), "\n\n")
-    return F.concat(
-        F.lit("PAPER: "), title, F.lit("\nAUTHORS: "), F.array_join(authors, ", "), F.lit("\nCATEGORIES: "), F.array_join(categories, ", "),
-        F.lit("\nAUDIENCE TOPICS: "), line, F.lit("\n\nPAPER ABSTRACT:\n"), abstract, F.lit("\n\nRETRIEVED PAPER SECTIONS:\n"), body,
-        F.lit("\n\nWrite the 6-9 minute narration now. 800-1200 words. Pure spoken prose."),
-    )
+    return filled(PROMPT, title=title, authors=F.array_join(authors, ", "), categories=F.array_join(categories, ", "), topics=line, abstract=abstract, chunks=body)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import first_sentence, sparse_tokens, strip
+from lectern.functions.text import filled, first_sentence, sparse_tokens, strip
 from lectern.functions.vectors import cosine
 
 #: Bonus of each section; others have none.
@@ -70,10 +70,16 @@ def retrieved(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     return top_k(scored(chunks, questions), "paper", "score", "c", k)
 
 
+#: The sentences of an answer.
+LEAD = "Based on {title}, the clearest answer is that {sentence}"
+LATER = "In the {section} section, the paper adds that {sentence}"
+CLOSE = "This response is grounded in the paper sections most related to: {question}."
+NOTHING = "The paper {title} does not have indexed chunks yet."
+
+
 def answer(title: Column, chunks: Column, question: Column) -> Column:
     """Text from ordered ``chunks``, array<struct<section, content>>."""
-    lead = F.concat(F.lit("Based on "), title, F.lit(", the clearest answer is that "), first_sentence(F.get(chunks, F.lit(0))["content"]))
-    later = F.transform(F.slice(chunks, 2, 1 << 30), lambda c: F.concat(F.lit("In the "), c["section"], F.lit(" section, the paper adds that "), first_sentence(c["content"])))
-    close = F.concat(F.lit("This response is grounded in the paper sections most related to: "), strip(question), F.lit("."))
-    none = F.concat(F.lit("The paper "), title, F.lit(" does not have indexed chunks yet."))
-    return F.when(F.size(chunks) > 0, F.concat(lead, F.lit(" "), F.array_join(later, " "), F.lit(" "), close)).otherwise(none)
+    lead = filled(LEAD, title=title, sentence=first_sentence(F.get(chunks, F.lit(0))["content"]))
+    later = F.transform(F.slice(chunks, 2, 1 << 30), lambda c: filled(LATER, section=c["section"], sentence=first_sentence(c["content"])))
+    whole = F.concat_ws(" ", lead, F.array_join(later, " "), filled(CLOSE, question=strip(question)))
+    return F.when(F.size(chunks) > 0, whole).otherwise(filled(NOTHING, title=title))
