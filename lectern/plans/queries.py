@@ -129,9 +129,15 @@ def score_display(s, d):
     return p.select("id", text.score_display(F.col("velocity") / 7).alias("shown"), text.minutes(F.col("citations")).cast("long").alias("minutes"), F.url_encode("title").alias("encoded"))
 
 
-@query(None)
+@query(
+    rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n{{2,}}'), lambda p: {_STRIP.format("p")}), lambda p: p <> '') AS held,
+  list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS sent FROM documents),
+g AS (SELECT *, CASE WHEN len(sent) <= 4 THEN greatest(len(sent), 1) ELSE greatest(3, ceil(len(sent) / 4.0)) END::INT AS k FROM s),
+p AS (SELECT doc_id, CASE WHEN len(held) > 1 THEN held ELSE list_transform(range(greatest(ceil(len(sent) / k::DOUBLE)::INT, 1)), lambda i: array_to_string(sent[i * k + 1 : (i + 1) * k], ' ')) END AS ps FROM g)
+SELECT doc_id, (unnest(range(len(ps))))::BIGINT AS n, unnest(ps) AS paragraph FROM p"""
+)
 def paragraph_groups(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("n", "paragraph"))
+    return docs(s, d).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("n", "paragraph")).withColumn("n", F.col("n").cast("long"))
 
 
 @query(r"""SELECT doc_id, ln, CASE WHEN regexp_matches(t, '(?i)^\s*references\s*$') THEN '' WHEN regexp_matches(t, '(?i)^\s*(\d+\.?\s*)?(results?|findings?)\s*$') THEN 'results' WHEN regexp_matches(t, '(?i)^\s*(1\.?\s*)?introduction\s*$') THEN 'introduction' END AS label
