@@ -195,9 +195,10 @@ def test_raking_equals_brute_force(spark):
             w = w * g.reshape([-1 if a == axis else 1 for a in range(3)]) / sums
     cells = spark.createDataFrame([(f"s{i}", f"l{j}", k, int(n[i, j, k])) for i, j, k in np.ndindex(*n.shape)], "source string, lang string, topic int, n long")
     frames = {m: spark.createDataFrame([(v, float(x)) for v, x in zip(values, g, strict=True)], f"value {kind}, share double") for m, values, kind, g in zip(mixing.MARGINS, (["s0", "s1", "s2"], ["l0", "l1"], [0, 1, 2, 3]), ("string", "string", "int"), goals, strict=True)}
-    got = {(x["source"], x["lang"], x["topic"]): x["w"] for x in mixing.fitted(cells, frames).collect()}
-    for i, j, k in np.ndindex(*n.shape):
-        assert got[f"s{i}", f"l{j}", k] == pytest.approx(w[i, j, k], rel=1e-3)
+    for most in (0, mixing.MOST_CELLS):
+        got = {(x["source"], x["lang"], x["topic"]): x["w"] for x in mixing.fitted(cells, frames, most=most).collect()}
+        for i, j, k in np.ndindex(*n.shape):
+            assert got[f"s{i}", f"l{j}", k] == pytest.approx(w[i, j, k], rel=1e-3)
     prob = mixing.calibrated(mixing.fitted(cells, frames), 0.6).collect()
     assert sum(x["n"] * x["probability"] for x in prob) == pytest.approx(0.6 * n.sum()) and max(x["probability"] for x in prob) <= 1
 
