@@ -1,0 +1,64 @@
+"""Near copies of the pipeline against brute force over five-word shingles."""
+
+import random
+
+import corpus_pipeline
+from lectern.llm import nearcopies
+
+from .test_duplicates import roots
+
+
+def brute_set(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_survivors(rows):
+    """Ids that stay, for rows without null or repeated ids."""
+    sets = {d: brute_set(t) for d, t in rows}
+    close = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return sorted(set(roots(sorted(sets), close).values()))
+
+
+def edited_rows():
+    r = random.Random(5)
+    prose = lambda n: [f"w{r.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for g in range(12):
+        base = prose(r.choice([60, 150, 400]))
+        for k in range(r.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(r.randint(0, len(w) // 60)):
+                w[r.randrange(len(w))] = f"edit{g}x{k}x{r.random()}"
+            rows.append((100 * g + k, " ".join(w)))
+    chain = prose(200)
+    return rows + [(5000 + i, " ".join(chain[12 * i :] + prose(12 * i))) for i in range(8)]
+
+
+def test_near_copies_at_eight_tenths(spark, frame, data):
+    rows = edited_rows()
+    assert len(brute_survivors(rows)) < len(rows) - 10
+    got = corpus_pipeline.near_duplicates(spark, frame(rows), data)
+    assert got.columns == frame([]).columns and sorted(r["doc_id"] for r in got.collect()) == brute_survivors(rows)
+
+
+def test_near_copies_of_table(spark, data, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents, data).collect()) == brute_survivors(rows)
+
+
+def test_ids_do_not_decide(frame):
+    rows = frame([(None, "one text with no id at all"), (None, "and quite another text without any"), (1, "a third text of id one"), (1, "a fourth one under the same id"), (1, "a third text of id one"), (2, None), (3, "")])
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in nearcopies.survivors(rows).collect())
+    assert got == [(0, "and quite another text without any"), (0, "one text with no id at all"), (1, "a fourth one under the same id"), (1, "a third text of id one"), (2, "")]
+
+
+def test_odd_near_copies(frame, odd):
+    got = [r["doc_id"] for r in nearcopies.survivors(odd).collect()]
+    assert sorted(got, key=str) == sorted([None, 1, 4, 5, 6, 7, 9, 10, 11], key=str)  # 2 and 3 have no words, as 1; 8 repeats 7
+    assert nearcopies.survivors(frame([])).count() == 0
+
+
+def test_jaccard_bound():
+    a = nearcopies.shingles(" ".join(f"v{i}" for i in range(104)))
+    assert len(a) == 100 and nearcopies.jaccard(a, a[:80]) == 0.8 and nearcopies.jaccard(a, a[:79]) < 0.8
