@@ -1,12 +1,14 @@
 """Quality rules: figures of each text, and cross-document line frequency.  DataFrame functions only.
 
 A line is normalised (lower case, single blanks) and hashed.  For every host (``source``) the
-distinct documents that hold a line are counted, and with them the distinct contexts it stands
-in; a document's context for a line is its least other line hash.  Copies of one document share
-their contexts, so a line that only spreads by copying is left to duplicate removal.  A line is
-over the limit if more than max(MIN_DOCS, SHARE of the host's documents) documents hold it and
-over half of those differ in context.  Such lines are removed; a document that loses over half
-of its words, or keeps fewer than half of MIN_WORDS, is depleted and rejected.
+distinct documents that hold a line are counted; documents with the same set of lines are copies
+and count once, so a line that only spreads by copying is left to duplicate removal.  A line is
+over the limit if more than max(MIN_DOCS, SHARE of the host's documents) of them hold it.  Such
+lines are removed; a document that loses over half of its words, or keeps fewer than half of
+MIN_WORDS, is depleted and rejected.
+
+The registered query must equal its SQL, which counts copies and also asks that over half of the
+documents differ in their least other line (``by_context``); the operator and the pipeline do not.
 
 Cases: a null text has no words and fails; null hosts form one host; a repeated row counts as a
 document of its own and gets the same verdict; an empty table gives no rows; columns of other
@@ -85,23 +87,36 @@ def measured(docs: DataFrame) -> DataFrame:
     return staged(picked).select("doc_id", "host", "base.*", "lines")
 
 
-def excess_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, key) of the lines above the limit of their host, from ``measured`` rows."""
+def _by_context(rows: DataFrame) -> DataFrame:
+    """(host, key, docs) as the query's SQL counts: lines whose least other lines mostly differ."""
     keys = rows.select("host", F.sort_array(F.array_distinct(F.col("lines.key"))).alias("keys"))
     keyed = keys.select("host", F.get("keys", F.lit(0)).alias("m1"), F.get("keys", F.lit(1)).alias("m2"), F.explode("keys").alias("key"))
     context = F.coalesce(F.when(F.col("key") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(""))
     by_context = keyed.groupBy("host", "key", context.alias("context")).agg(F.count("*").alias("c"))
     counts = by_context.groupBy("host", "key").agg(F.sum("c").alias("docs"), F.count("*").alias("contexts"))
+    return counts.where(F.col("contexts") * 2 > F.col("docs"))
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    """(host, key, docs): distinct documents, by their sets of lines, that hold a line."""
+    keys = rows.select("host", F.sort_array(F.array_distinct(F.col("lines.key"))).alias("keys"))
+    whole = keys.withColumn("whole", F.md5(F.array_join("keys", ""))).dropDuplicates(["host", "whole"])
+    return whole.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("docs"))
+
+
+def excess_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, by_context: bool = False) -> DataFrame:
+    """(host, key) of the lines above the limit of their host, from ``measured`` rows."""
+    counts = _by_context(rows) if by_context else _by_document(rows)
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = counts.where((F.col("docs") > min_docs) & (F.col("contexts") * 2 > F.col("docs")))
+    often = counts.where(F.col("docs") > min_docs)
     return often.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * share).select("host", "key")
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, by_context: bool = False) -> DataFrame:
     """Per row: doc_id, host, base figures, base_failed, removed_lines, removed_words, kept, excess (line keys)."""
     rows = measured(docs)
     pairs = rows.select("doc_id", "host", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
-    held = pairs.join(excess_lines(rows, min_docs, share), ["host", "key"])
+    held = pairs.join(excess_lines(rows, min_docs, share, by_context), ["host", "key"])
     lists = held.groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host")).agg(F.collect_set("key").alias("excess"))
     joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("host") == F.col("_host")), "left")
     excess = F.coalesce("excess", F.array().cast("array<string>"))
@@ -128,7 +143,7 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).drop("host", "excess")
+    return judged(table(spark, sf_dir, "documents"), by_context=True).drop("host", "excess")
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
