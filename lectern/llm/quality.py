@@ -1,18 +1,14 @@
 """Quality rules: figures of each text, and cross-document line frequency.  DataFrame functions only.
 
 A line is normalised (lower case, single blanks) and hashed.  For every host (``source``) the
-distinct documents that hold a line are counted; documents with the same set of lines are copies
-and count once, so a line that only spreads by copying is left to duplicate removal.  A line is
-over the limit if more than max(MIN_DOCS, SHARE of the host's documents) of them hold it.  Such
-lines are removed; a document that loses over half of its words, or keeps fewer than half of
+distinct documents that hold a line are counted; equal texts are copies and count once.  A line is
+over the limit if more than max(MIN_DOCS, SHARE of the host's distinct documents) of them hold it.
+Such lines are removed; a document that loses over half of its words, or keeps fewer than half of
 MIN_WORDS, is depleted and rejected.
 
-The registered query must equal its SQL, which counts copies and also asks that over half of the
-documents differ in their least other line (``by_context``); the operator and the pipeline do not.
-
-Cases: a null text has no words and fails; null hosts form one host; a repeated row counts as a
-document of its own and gets the same verdict; an empty table gives no rows; columns of other
-names in the input are kept apart and never clash.
+Cases: a null text has no words and fails; null hosts form one host; rows of equal text count
+once and get one verdict, rows of one doc_id and different texts each their own; an empty table
+gives no rows; columns of other names in the input are kept apart and never clash.
 """
 
 from __future__ import annotations
@@ -24,6 +20,8 @@ from lectern.llm.common import BLANKS, let, packed, session, staged, table, unpa
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE = 10, 0.001
+#: Most lines that are broadcast: those with more than one in HOT of all (row, line) pairs.
+HOT = 100_000
 
 
 def repeated_words(ws: Column) -> Column:
@@ -65,8 +63,8 @@ def _figures(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """64-bit hash, in hex, of the normalised line."""
-    return F.substring(F.md5(F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " "))), 1, 16)
+    """64-bit hash of the normalised line."""
+    return F.xxhash64(F.lower(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")))
 
 
 def _lines(text: Column) -> Column:
@@ -75,81 +73,90 @@ def _lines(text: Column) -> Column:
     return F.transform(held, lambda x: F.struct(line_key(x).alias("key"), F.size(words(x)).alias("n")))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Staged: doc_id, host, the base figures and the keys and lengths of the lines."""
-    session(docs)
-    picked = docs.select(
-        "doc_id",
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-        _figures(F.col("text")).alias("base"),
-        _lines(F.col("text")).alias("lines"),
-    )
-    return staged(picked).select("doc_id", "host", "base.*", "lines")
-
-
-def _by_context(rows: DataFrame) -> DataFrame:
-    """(host, key, docs) as the query's SQL counts: lines whose least other lines mostly differ."""
-    keys = rows.select("host", F.sort_array(F.array_distinct(F.col("lines.key"))).alias("keys"))
-    keyed = keys.select("host", F.get("keys", F.lit(0)).alias("m1"), F.get("keys", F.lit(1)).alias("m2"), F.explode("keys").alias("key"))
-    context = F.coalesce(F.when(F.col("key") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(""))
-    by_context = keyed.groupBy("host", "key", context.alias("context")).agg(F.count("*").alias("c"))
-    counts = by_context.groupBy("host", "key").agg(F.sum("c").alias("docs"), F.count("*").alias("contexts"))
-    return counts.where(F.col("contexts") * 2 > F.col("docs"))
-
+def _identity(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    """doc_id, host and whole: rows that agree in all three get the same verdict."""
+    host = F.coalesce(source.cast("string"), F.lit(""))
+    return [doc_id.alias("doc_id"), host.alias("host"), F.md5(F.coalesce(text.cast("string"), F.lit(""))).alias("whole")]
 
-def _by_document(rows: DataFrame) -> DataFrame:
-    """(host, key, docs): distinct documents, by their sets of lines, that hold a line."""
-    keys = rows.select("host", F.sort_array(F.array_distinct(F.col("lines.key"))).alias("keys"))
-    whole = keys.withColumn("whole", F.md5(F.array_join("keys", ""))).dropDuplicates(["host", "whole"])
-    return whole.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("docs"))
 
-
-def excess_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, by_context: bool = False) -> DataFrame:
-    """(host, key) of the lines above the limit of their host, from ``measured`` rows."""
-    counts = _by_context(rows) if by_context else _by_document(rows)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = counts.where(F.col("docs") > min_docs)
-    return often.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * share).select("host", "key")
-
-
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, by_context: bool = False) -> DataFrame:
-    """Per row: doc_id, host, base figures, base_failed, removed_lines, removed_words, kept, excess (line keys)."""
+def measured(docs: DataFrame) -> DataFrame:
+    """Staged: doc_id, host, whole (the text's hash), the base figures and the keys and lengths of the lines."""
+    session(docs)
+    text = F.col("text").cast("string")
+    picked = docs.select(*_identity(F.col("doc_id"), F.col("source"), text), _figures(text).alias("base"), _lines(text).alias("lines"))
+    return staged(picked).select("doc_id", "host", "whole", "base.*", "lines")
+
+
+def excess_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """(host, key, docs, pairs) of the lines above the limit of their host, from ``measured`` rows.
+
+    ``docs`` are distinct documents, ``pairs`` the rows that hold the line.
+    """
+    once = rows.groupBy("host", "whole").agg(F.first(F.array_distinct(F.col("lines.key"))).alias("keys"), F.count("*").alias("copies"))
+    keyed = once.select("host", "copies", F.explode(F.concat(F.array(F.lit(None).cast("long")), "keys")).alias("key"))  # a null key counts the documents themselves
+    counts = keyed.groupBy("host", "key").agg(F.count("*").alias("docs"), F.sum("copies").alias("pairs")).where(F.col("key").isNull() | (F.col("docs") > min_docs))
+    counts = staged(counts)
+    hosts = counts.where("key is null").select("host", F.col("docs").alias("host_docs"))
+    often = counts.where("key is not null").join(hosts, "host")
+    return often.where(F.col("docs") > F.col("host_docs") * share).select("host", "key", "docs", "pairs")
+
+
+def _held(rows: DataFrame, excess: DataFrame) -> DataFrame:
+    """(doc_id, host, whole, excess): the line keys of each document that are among ``excess``.
+
+    A line is hot if more than one in HOT of the pairs (row, line above the limit) are its own.
+    Fewer than HOT lines can be hot, whatever the input's size, so these are broadcast; no other
+    line has more than that share of the pairs, so the rest meets in a shuffle without hot keys.
+    """
+    total = excess.agg(F.sum("pairs")).first()[0] or 0
+    hot = F.col("pairs") * HOT > total
+    pairs = rows.select("doc_id", "host", "whole", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
+    marked = pairs.join(F.broadcast(excess.where(hot).select("host", "key", F.lit(True).alias("hot"))), ["host", "key"], "left")
+    found = marked.where("hot").drop("hot").unionByName(marked.where("hot is null").drop("hot").join(excess.where(~hot).select("host", "key"), ["host", "key"]))
+    return found.groupBy("doc_id", "host", "whole").agg(F.collect_set("key").alias("excess"))
+
+
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """Per row: doc_id, host, whole, base figures, base_failed, removed_lines, removed_words, kept, excess (line keys)."""
     rows = measured(docs)
-    pairs = rows.select("doc_id", "host", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
-    held = pairs.join(excess_lines(rows, min_docs, share, by_context), ["host", "key"])
-    lists = held.groupBy(F.col("doc_id").alias("_doc"), F.col("host").alias("_host")).agg(F.collect_set("key").alias("excess"))
-    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("host") == F.col("_host")), "left")
-    excess = F.coalesce("excess", F.array().cast("array<string>"))
+    lists = _held(rows, staged(excess_lines(rows, min_docs, share))).select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("whole").alias("_whole"), "excess")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("host") == F.col("_host")) & (F.col("whole") == F.col("_whole"))
+    joined = rows.join(lists, same, "left")
+    excess = F.coalesce("excess", F.array().cast("array<bigint>"))
     gone = F.filter("lines", lambda x: F.array_contains(excess, x["key"]))
     out = joined.select("*", F.size(gone).cast("long").alias("removed_lines"), F.aggregate(gone, F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((2 * F.col("removed_words") > F.col("n_words")) | (2 * left < MIN_WORDS))
     return out.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "host", "whole", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), "removed_lines", "removed_words", (~failed & ~depleted).alias("kept"), excess.alias("excess"),
     )
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """``docs`` without rejected rows and without their lines above the limits; n_chars follows the text."""
-    kept = judged(docs, min_docs, share).where("kept").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), "excess").dropDuplicates(["_doc", "_host"])
+    """``docs`` without rejected rows and without their lines above the limits; n_chars follows the text.
+
+    Verdicts come back to rows by doc_id, host and text, so that of rows with one doc_id each has its own.
+    """
+    verdicts = judged(docs, min_docs, share).where("kept").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("whole").alias("_whole"), "excess")
+    kept = verdicts.dropDuplicates(["_doc", "_host", "_whole"])
     rows = packed(docs)
-    host = F.coalesce(rows["source"].cast("string"), F.lit(""))
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_doc"]) & (host == kept["_host"]))
+    doc, host, whole = _identity(rows["doc_id"], rows["source"], rows["text"])
+    joined = rows.select("r", "text", doc, host, whole).join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("host") == F.col("_host")) & (F.col("whole") == F.col("_whole")))
     fewer = F.array_join(F.filter(F.split("text", "\n"), lambda x: (F.btrim(x, F.lit(BLANKS)) == "") | ~F.array_contains("excess", line_key(x))), "\n")
     new = joined.withColumn("new", F.when(F.size("excess") == 0, F.col("text")).otherwise(fewer))
     return unpacked(new, docs.columns, F.col("new"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), by_context=True).drop("host", "excess")
+    return judged(table(spark, sf_dir, "documents")).drop("host", "whole", "excess")
 
 
 _W = r"'[^\x20\x09-\x0D]+'"
 ORACLE = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, md5(coalesce(text, '')) AS whole,
          regexp_extract_all(coalesce(text, ''), {_W}) AS ws
   FROM documents),
 tri AS (
@@ -160,24 +167,18 @@ rep AS (
   SELECT rid, count(DISTINCT p) AS n FROM (
     SELECT rid, i + unnest([0, 1, 2]) AS p FROM tri WHERE times > 1) GROUP BY rid),
 raw AS (
-  SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM d),
+  SELECT rid, host, whole, unnest(string_split(text, chr(10))) AS line FROM d),
 ln AS (
-  SELECT rid, host, line, len(regexp_extract_all(line, {_W})) AS n,
-         substr(md5(lower(array_to_string(regexp_extract_all(line, {_W}), ' '))), 1, 16) AS key
+  SELECT rid, host, whole, line, len(regexp_extract_all(line, {_W})) AS n,
+         lower(array_to_string(regexp_extract_all(line, {_W}), ' ')) AS key
   FROM raw WHERE regexp_matches(line, {_W})),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY rid),
-uniq AS (SELECT DISTINCT rid, host, key FROM ln),
-least2 AS (
-  SELECT rid, min(key) AS m1, (list_sort(list(key)))[2] AS m2 FROM uniq GROUP BY rid),
-ctx AS (
-  SELECT u.host, u.key, coalesce(CASE WHEN u.key = m1 THEN m2 ELSE m1 END, '') AS context
-  FROM uniq u JOIN least2 USING (rid)),
-often AS (
-  SELECT host, key, count(*) AS docs, count(DISTINCT context) AS contexts FROM ctx GROUP BY host, key),
-hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
+once AS (SELECT DISTINCT host, key, whole FROM ln),
+often AS (SELECT host, key, count(*) AS docs FROM once GROUP BY host, key),
+hosts AS (SELECT host, count(DISTINCT whole) AS host_docs FROM d GROUP BY host),
 bad AS (
   SELECT host, key FROM often JOIN hosts USING (host)
-  WHERE docs > {MIN_DOCS} AND docs > host_docs * {SHARE}::DOUBLE AND contexts * 2 > docs),
+  WHERE docs > {MIN_DOCS} AND docs > host_docs * {SHARE}::DOUBLE),
 gone AS (
   SELECT rid, count(*) AS removed_lines, sum(n) AS removed_words
   FROM ln JOIN bad USING (host, key) GROUP BY rid),

@@ -60,6 +60,50 @@ def test_quality_verdicts(frame):
     assert notice.strip() not in one["text"] and one["n_chars"] == len(one["text"]) and one["excess"] == 2 and one["r"] == "q"
 
 
+def test_shared_lines_go_however_many_there_are(frame):
+    """Templates of 1 to 20 lines, several draws of each: every shared line is removed from every page."""
+    rows, hosts = [], {}
+    for shared in (1, 2, 4, 8, 12, 20):
+        for draw in range(3):
+            r = random.Random(1000 * shared + draw)
+            template = [f"{prose(r, 5)} template" for _ in range(shared)]
+            for i in range(30):
+                own = [prose(r, 40) for _ in range(6)]
+                rows.append((len(rows), "\n".join([*template[: shared // 2], *own, *template[shared // 2 :]]), "en", f"h{shared}.{draw}"))
+            hosts[f"h{shared}.{draw}"] = shared
+    got = quality.judged(frame(rows)).collect()
+    assert len(got) == len(rows) and all(x["removed_lines"] == hosts[x["host"]] and x["kept"] for x in got)
+
+
+def test_lines_that_spread_by_copies_stay(frame):
+    r = random.Random(4)
+    notice, page = prose(r, 12), "\n".join(prose(r, 20) for _ in range(6))
+    rows = [(i, f"{notice}\n{page}") for i in range(500)] + [(1000 + i, f"{notice}\n{prose(r, 90)}") for i in range(quality.MIN_DOCS - 1)]
+    assert {x["removed_lines"] for x in quality.judged(frame(rows)).collect()} == {0}
+    rows.append((2000, f"{notice}\n{prose(r, 90)}"))
+    got = quality.judged(frame(rows)).collect()
+    assert {x["removed_lines"] for x in got} == {1} and all(x["kept"] for x in got)
+
+
+def test_hot_and_other_lines_are_joined_alike(frame, monkeypatch):
+    r = random.Random(6)
+    lines = [prose(r, 6) for _ in range(9)]
+    rows = [(i, "\n".join([lines[0], *r.sample(lines[1:], 4), prose(r, 80)])) for i in range(60)]
+    results = []
+    for hot in (0, 5, quality.HOT):
+        monkeypatch.setattr(quality, "HOT", hot)
+        results.append(sorted((x["doc_id"], sorted(x["excess"])) for x in quality.judged(frame(rows)).collect()))
+    assert results[0] == results[1] == results[2] and all(len(x) == 5 for _, x in results[0])
+
+
+def test_rows_of_one_id_have_their_own_verdicts(frame):
+    r = random.Random(8)
+    good, other = prose(r, 80), prose(r, 90)
+    rows = [(1, good), (1, "too short"), (None, other), (None, "x"), (None, other), (2, good)]
+    clean = quality.cleaned(frame(rows))
+    assert sorted((str(x["doc_id"]), x["text"]) for x in clean.collect()) == sorted([("1", good), ("None", other), ("None", other), ("2", good)])  # a repeated row stays a row
+
+
 def test_quality_cases(odd, frame):
     assert quality.judged(odd).count() == len(ODD)
     assert quality.judged(frame([])).count() == 0 and quality.cleaned(frame([])).count() == 0
