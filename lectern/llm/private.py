@@ -32,7 +32,7 @@ from lectern.llm import boosting
 from lectern.llm.common import let, session, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
-EXAMPLES, PRECISION, SEED = 4800, 0.99, 11
+EXAMPLES, PRECISION, SEED = 9600, 0.99, 11
 _BLOCK = 64
 #: Number of features of a candidate.
 WIDTH = 40
