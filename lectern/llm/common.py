@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,20 +17,32 @@ BLANKS = " \t\n\x0b\f\r"
 ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
+#: Most keys whose rows ``hot_join`` broadcasts.
+HOT = 100_000
+
+
 def session(docs: DataFrame, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> SparkSession:
+    """The session, with bounds of Arrow batches; a session that sets its own tighter ones keeps them."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    for name, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not held or int(held) <= 0 or int(held) > bound:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set (tests)."""
+    """A new path in the cluster's shared folder.
+
+    Where none is set, a session of one machine (``local``) uses its warehouse; any other is an
+    error, as executors would each write to a disk of their own.
+    """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="lectern-")
-        context.setCheckpointDir(base)
+        if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lectern-files"
     return f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
@@ -57,6 +68,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join on keys that are unique in ``right``, whose ``n`` is the number of rows of ``left`` under a key.
+
+    A key is hot if it holds more than one in HOT of all ``total`` rows of ``left``.  Fewer than HOT
+    keys can be hot, whatever the input's size, and theirs are the rows that are broadcast.  No
+    other key has more than that share, so the rest meets in a shuffle that no key dominates.
+    """
+    hot, values = F.col("n") * HOT > total, [c for c in right.columns if c not in (*keys, "n")]
+    few = right.where(hot).select(*keys, F.struct(F.lit(True).alias("_"), *values).alias("_hot"))
+    marked = left.join(F.broadcast(few), keys, "left")
+    met = marked.where("_hot is not null").select(*left.columns, *[F.col("_hot")[c].alias(c) for c in values])
+    rest = marked.where("_hot is null").drop("_hot").join(right.where(~hot).drop("n"), keys)
+    return met.unionByName(rest.select(*left.columns, *values))
+
+
 def words(text: Column) -> Column:
     """Array of the runs of non-blank characters; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BLANKS, let, packed, session, staged, table, unpacked, words
+from lectern.llm.common import BLANKS, hot_join, let, packed, session, staged, table, unpacked, words
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE = 10, 0.001
-#: Most lines that are broadcast: those with more than one in HOT of all (row, line) pairs.
-HOT = 100_000
 
 
 def repeated_words(ws: Column) -> Column:
@@ -102,17 +100,10 @@ def excess_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE
 
 
 def _held(rows: DataFrame, excess: DataFrame) -> DataFrame:
-    """(doc_id, host, whole, excess): the line keys of each document that are among ``excess``.
-
-    A line is hot if more than one in HOT of the pairs (row, line above the limit) are its own.
-    Fewer than HOT lines can be hot, whatever the input's size, so these are broadcast; no other
-    line has more than that share of the pairs, so the rest meets in a shuffle without hot keys.
-    """
+    """(doc_id, host, whole, excess): the line keys of each document that are among ``excess``."""
     total = excess.agg(F.sum("pairs")).first()[0] or 0
-    hot = F.col("pairs") * HOT > total
     pairs = rows.select("doc_id", "host", "whole", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
-    marked = pairs.join(F.broadcast(excess.where(hot).select("host", "key", F.lit(True).alias("hot"))), ["host", "key"], "left")
-    found = marked.where("hot").drop("hot").unionByName(marked.where("hot is null").drop("hot").join(excess.where(~hot).select("host", "key"), ["host", "key"]))
+    found = hot_join(pairs, excess.select("host", "key", F.col("pairs").alias("n")), ["host", "key"], total)
     return found.groupBy("doc_id", "host", "whole").agg(F.collect_set("key").alias("excess"))
 
 

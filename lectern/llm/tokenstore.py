@@ -1,13 +1,14 @@
 """Content-addressed store of token ids.
 
-Texts are encoded, a rolling hash of the last WINDOW ids cuts each document's ids into chunks, and
+Whole texts are encoded by the library, with any of its vocabularies; a rolling hash of the last WINDOW ids cuts each document's ids into chunks, and
 every distinct chunk is stored once under the SHA-256 of its bytes.  Layout of a store:
 
 * ``objects``: ``key`` (digest), ``ids`` (little-endian unsigned integers of ``width`` bytes).
 * ``recipes``: in ascending doc_id order, one row a document: ``part``, ``doc_id``, ``row``,
-  ``local`` (ids before it in its part), ``n_tokens``, ``digests`` and ``sizes`` of its chunks, and
-  ``root``, the root of the Merkle tree over the digests.
-* ``manifest``: one row a part: ``width``, ``start``, ``n_docs``, ``n_tokens``, ``root`` over its documents' roots.
+  ``local`` (ids before it in its part), ``page`` (PAGE documents of a part each), ``n_tokens``,
+  ``digests`` and ``sizes`` of its chunks, and ``root``, the root of the Merkle tree over the digests.
+* ``manifest``: one row a part: ``width``, ``start``, ``n_docs``, ``n_tokens`` and ``root`` over its pages'
+  roots, each of which is over its documents' roots.  No task holds more roots than a page has, or a part's pages.
 
 Reading back verifies each object against its key and each recipe against its root and the part's
 root; a mismatch or a missing chunk fails the job.  Checksums of documents are joined from
@@ -23,163 +24,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import release, session, shared_dir, staged, table
+from lectern.llm.common import hot_join, release, session, shared_dir, staged, table
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
-#: Fixed value: the pre-tokenisation of this vocabulary, for texts of the SAFE characters alone.
-#: BREAK, which no such text has, is a piece of its own and ends white space.
-BREAK = "\0"
-PIECES = r"\0|'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w\0]|_)+|\s+(?![^\s\0])|\s+"
-SAFE = r"\t\n\r -~À-ÖØ-öø-ɏ"
-#: What else sends a text to the library whole: white space whose cutting depends on more than the text between two blanks.
-UNSAFE = r"[\t\n\r ]{3}|  |[\t\n\r ]{2}\z"
-CACHE, BATCH, BATCH_BYTES = 500_000, 2000, 6 << 20
+#: Documents in a page of a part: their roots make a tree, and the pages' roots make the part's.
+PAGE = 1 << 16
+#: Rows and bytes of an Arrow batch, and bytes given to the library at once.
+BATCH, BATCH_BYTES, CALL_BYTES = 2000, 6 << 20, 1 << 20
 
 
 class Encoder:
-    """The tokenizers library, with pieces that occur again taken from a bounded cache.
+    """The tokenizers library on whole texts; equal texts of one batch are encoded once."""
 
-    A batch's texts are cut at their blanks, and every distinct run is cut to pieces once; only
-    pieces that are not in the cache are encoded.  Texts with other characters than SAFE, with
-    white space as in UNSAFE or with a special token's string go to the library whole.
-    """
-
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         import os
-        import re
-
-        import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = re.compile(PIECES).findall
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache, self.width = cache, 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, int] = {BREAK: -1}
-        self.flat, self.ends = np.array([], np.uint32), np.array([0], np.int64)
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many to a call, set apart by line ends, which are pieces by themselves."""
-        import numpy as np
-
-        spaces = [p for p in pieces if p.isspace()]
-        plain = [p for p in pieces if not p.isspace()] if spaces else pieces
-        step = 200
-        ids = [np.array(x + [self.line_end], np.uint32) for x in self._library(["\n".join(plain[i : i + step]) for i in range(0, len(plain), step)])]
-        alone = self._library(spaces)
-        joined = np.concatenate([np.array([], np.uint32), *ids])
-        stop = joined == self.line_end
-        sizes = np.diff(np.flatnonzero(stop), prepend=-1) - 1
-        sizes = np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
-        self.known.update(zip([*plain, *spaces], range(len(self.ends) - 1, len(self.ends) - 1 + len(pieces)), strict=True))
-        self.flat = np.concatenate([self.flat, joined[~stop], *[np.array(x, np.uint32) for x in alone]])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-
-    def _indices(self, pieces: list[str]):
-        """Cache index of every piece, after learning what is new; -1 for BREAK."""
-        from itertools import repeat
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+
+    def _calls(self, texts: list[str]):
+        """Slices of ``texts`` of about CALL_BYTES, which bound what the library holds besides ids."""
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CALL_BYTES:
+                yield texts[at : i + 1]
+                at, size = i + 1, 0
+        if at < len(texts):
+            yield texts[at:]
 
+    def encode(self, texts: list[str]) -> list:
+        """An array of uint32 ids for each text."""
         import numpy as np
 
-        out = np.fromiter(map(self.known.get, pieces, repeat(-2)), np.int32, len(pieces))
-        miss = np.flatnonzero(out == -2)
-        missing = [pieces[i] for i in miss.tolist()]
-        new = list(dict.fromkeys(missing))
-        self.extra = new if len(self.known) + len(new) > self.cache else ()
-        if new:
-            self._learn(new)
-            out[miss] = np.fromiter(map(self.known.__getitem__, missing), np.int32, len(missing))
-        return out
-
-    def _forget(self) -> None:
-        """Take the pieces that the full cache has no room for out again."""
-        for p in self.extra:
-            del self.known[p]
-        keep = len(self.ends) - len(self.extra)
-        self.flat, self.ends = self.flat[: self.ends[keep - 1]], self.ends[:keep]
-
-    def _gathered(self, starts, sizes, values):
-        """Concatenation of values[start : start + size]."""
-        import numpy as np
-
-        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        at += np.arange(len(at))
-        return values[at]
-
-    def _plain(self, texts):
-        """(ids, counts) of an Arrow array of plain texts."""
-        import gc
-
-        import numpy as np
-        import pyarrow.compute as pc
-
-        gc.disable()  # the lists of pieces hold no cycles, and are long
-        lists = pc.split_pattern(texts, " ")
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        heads = [runs[i] for i in at[firsts].tolist()]  # a text's first run has no blank before it
-        at[firsts] = len(runs) + np.arange(len(firsts))
-        joined = f"{BREAK} ".join(["", *runs]) + BREAK + BREAK.join(heads) + BREAK
-        index = self._indices(self.pieces(joined[1:]))
-        stop = index < 0
-        index = index[~stop]
-        parts = np.diff(np.flatnonzero(stop), prepend=-1) - 1
-        begin, n = self.ends[index], self.ends[index + 1] - self.ends[index]
-        ids = self._gathered(begin, n, self.flat)
-        self._forget()
-        gc.enable()
-        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(parts))]
-        run_sizes = np.diff(ends)[at]
-        totals = np.append(0, np.cumsum(run_sizes))[np.append(0, np.cumsum(sizes))]
-        return self._gathered(ends[:-1][at], run_sizes, ids), np.diff(totals)
+        return [np.array(e.ids, np.uint32) for part in self._calls(texts) for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode_flat(self, texts):
         """(ids of all texts as one uint32 array, number of ids of each) of an Arrow string array without nulls."""
-        import re
-
         import numpy as np
-        import pyarrow.compute as pc
-
-        if not len(texts):
-            return np.array([], np.uint32), np.array([], np.int64)
-        odd = "|".join([f"[^{SAFE}]", UNSAFE, *map(re.escape, self.special)])
-        plain = pc.invert(pc.match_substring_regex(texts, odd))
-        mask = plain.to_numpy(zero_copy_only=False)
-        if not mask.all():
-            rest = [np.array(x, np.uint32) for x in self._library(texts.filter(pc.invert(plain)).to_pylist())]
-        counts = np.zeros(len(texts), np.int64)
-        ids = np.array([], np.uint32)
-        if mask.any():
-            ids, counts[mask] = self._plain(texts.filter(plain))
-        if not mask.all():
-            parts = np.split(ids, np.cumsum(counts[mask])[:-1]) if mask.any() else []
-            held, others = iter(parts), iter(rest)
-            parts = [next(held) if m else next(others) for m in mask]
-            counts = np.array([len(p) for p in parts], np.int64)
-            ids = np.concatenate(parts)
-        return ids, counts
 
-    def encode(self, texts: list[str]) -> list:
-        """An array of uint32 ids for each text."""
-        import numpy as np
-        import pyarrow as pa
-
-        ids, counts = self.encode_flat(pa.array(texts, pa.string()))
-        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
+        coded = texts.dictionary_encode()
+        lists = self.encode(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy(zero_copy_only=False).tolist()
+        ids = np.concatenate([np.array([], np.uint32), *[lists[i] for i in at]])
+        return ids, np.array([len(lists[i]) for i in at], np.int64)
 
 
 def shared_encoder(path: str) -> Encoder:
-    """One encoder a Python worker: the tasks it runs one after the other share its cache."""
+    """One encoder a Python worker: the tasks it runs one after the other share it."""
     import sys
 
     held = sys.__dict__.setdefault("_lectern_encoders", {})
@@ -274,7 +170,7 @@ def advanced(crcs, zeros, operators):
 
 
 _OBJECTS = "key binary, ids binary, doc_id long, row long, n_tokens long, digests array<binary>, sizes array<int>"
-_RECIPES = "part int, doc_id long, row long, local long, n_tokens long, digests array<binary>, sizes array<int>, root binary"
+_RECIPES = "part int, doc_id long, row long, local long, page int, n_tokens long, digests array<binary>, sizes array<int>, root binary"
 
 
 def _encoded(path: str, end_id: int):
@@ -318,27 +214,34 @@ def _encoded(path: str, end_id: int):
 
 
 def _numbered(batches):
-    """Running count of ids inside a part, and the root of each recipe."""
+    """Running count of ids inside a part, the page, and the root of each recipe."""
     import pyarrow as pa
 
-    total = 0
+    total = seen = 0
     for batch in batches:
         local = []
         for n in batch.column("n_tokens").to_pylist():
             local.append(total)
             total += n
         roots = [merkle(d) for d in batch.column("digests").to_pylist()]
+        pages = [i // PAGE for i in range(seen, seen + len(local))]
+        seen += len(local)
         cols = {n: batch.column(n) for n in ("part", "doc_id", "row", "n_tokens", "digests", "sizes")}
-        cols |= {"local": pa.array(local, pa.int64()), "root": pa.array(roots, pa.binary())}
+        cols |= {"local": pa.array(local, pa.int64()), "page": pa.array(pages, pa.int32()), "root": pa.array(roots, pa.binary())}
         names = [f.split()[0] for f in _RECIPES.split(", ")]
         yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
 
-def _part_roots(pdf):
-    import pandas as pd
+def _tree(keys: list[str], order: str):
+    """For applyInPandas: ``keys`` and the root over a group's roots, in order."""
+
+    def run(pdf):
+        import pandas as pd
 
-    pdf = pdf.sort_values("local")
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "root": [merkle(list(pdf["root"]))]})
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "root": [merkle(list(pdf["root"]))]})
+
+    return run
 
 
 def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID) -> None:
@@ -361,8 +264,9 @@ def write_store(docs: DataFrame, root: str, path: str, end_id: int = END_ID) ->
 
 
 def _rooted(recipes: DataFrame) -> DataFrame:
-    """(part, root): each part is one ordered range of recipes, as large as a shuffle partition."""
-    return recipes.select("part", "local", "root").groupBy("part").applyInPandas(_part_roots, "part int, root binary")
+    """(part, root): the tree over the pages of a part, each a tree over its documents."""
+    pages = recipes.select("part", "page", "local", "root").groupBy("part", "page").applyInPandas(_tree(["part", "page"], "local"), "part int, page int, root binary")
+    return pages.groupBy("part").applyInPandas(_tree(["part"], "page"), "part int, root binary")
 
 
 def read_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -451,8 +355,10 @@ def verified(spark: SparkSession, root: str) -> DataFrame:
     summed = objects.mapInArrow(check_objects, "key binary, crc long, n int")
     wide = recipes.mapInArrow(check_recipes, "part int, doc_id long, row long, local long, digests array<binary>, after array<long>").join(F.broadcast(manifest.select("part", "start")), "part")
     refs = wide.select("doc_id", "row", (F.col("start") + F.col("local")).alias("start"), F.explode(F.arrays_zip("digests", "after")).alias("x"))
-    joined = refs.select("doc_id", "row", "start", F.col("x.digests").alias("key"), "x.after").join(summed, "key", "left")
-    present = joined.withColumn("n", F.coalesce("n", F.raise_error(F.lit("a chunk is missing")))).withColumn("crc", F.coalesce("crc", F.lit(0)))
+    refs = staged(refs.select("doc_id", "row", "start", F.col("x.digests").alias("key"), "x.after"))
+    uses = refs.groupBy("key").agg(F.count("*").alias("n"))
+    named = uses.join(summed.withColumnRenamed("n", "size"), "key", "left").withColumn("size", F.coalesce("size", F.raise_error(F.lit("a chunk is missing"))))
+    present = hot_join(refs, named, ["key"], refs.count()).withColumnRenamed("size", "n")
     parts = present.select("doc_id", "row", "start", "n", "crc", "after").mapInArrow(shift, "doc_id long, row long, start long, n int, crc long")
     return parts.groupBy("doc_id", "row", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_chunks"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import boosting, language, mixing, private, quality
+from lectern.llm import boosting, common, language, mixing, private, quality
 
 from .conftest import ODD
 
@@ -90,8 +90,8 @@ def test_hot_and_other_lines_are_joined_alike(frame, monkeypatch):
     lines = [prose(r, 6) for _ in range(9)]
     rows = [(i, "\n".join([lines[0], *r.sample(lines[1:], 4), prose(r, 80)])) for i in range(60)]
     results = []
-    for hot in (0, 5, quality.HOT):
-        monkeypatch.setattr(quality, "HOT", hot)
+    for hot in (0, 5, common.HOT):
+        monkeypatch.setattr(common, "HOT", hot)
         results.append(sorted((x["doc_id"], sorted(x["excess"])) for x in quality.judged(frame(rows)).collect()))
     assert results[0] == results[1] == results[2] and all(len(x) == 5 for _, x in results[0])
 

@@ -5,10 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers as vocabularies
-from lectern.llm import chat, pieces, tokenstore
+from lectern.llm import chat, common, pieces, tokenstore
 from lectern.llm.common import shared_dir
 
 from .conftest import ODD
@@ -32,14 +33,41 @@ def expected_store(rows, library):
     return out
 
 
-def test_encoder_equals_library(library):
+def test_encoder_equals_library(library, monkeypatch):
     r = random.Random(3)
     signs = ["a", "b", "'s", "'", "it's", " ", "  ", "\n", "\t", "\r\n", "1", "23", "é", "ß", "_", "!!", "the ", "The", "<|endoftext|>", "日本", "²", "x\x1cy", "\0", "😀", "Ω", "ÿ", "×"]
-    for cache in (10, tokenstore.CACHE):
-        encoder = tokenstore.Encoder(BPE, cache)
-        for _ in range(300):
+    encoder = tokenstore.Encoder(BPE)
+    for size in (5, tokenstore.CALL_BYTES):
+        monkeypatch.setattr(tokenstore, "CALL_BYTES", size)
+        for _ in range(100):
             texts = ["".join(r.choice(signs if r.random() < 0.5 else signs[:14]) for _ in range(r.randint(0, 12))) for _ in range(6)]
-            assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+            texts += texts[:2]
+            expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in encoder.encode(texts)] == expected
+            ids, counts = encoder.encode_flat(pa.array(texts, pa.string()))
+            assert (ids.tolist(), counts.tolist()) == (sum(expected, []), list(map(len, expected)))
+
+
+def test_store_of_another_vocabulary(spark, odd):
+    """The store takes its ids from the vocabulary file that it is given, whatever its pre-tokenisation."""
+    from tokenizers import Tokenizer
+
+    path, root = vocabularies.path("word_bpe_49k.json"), shared_dir(spark)
+    tokenstore.write_store(odd, root, path)
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.verified(spark, root).collect())
+    assert sorted(x[1] for x in got) == sorted(x[2] for x in expected_store(ODD, Tokenizer.from_file(path)))
+    assert sorted(x[2] for x in got) == sorted(x[3] for x in expected_store(ODD, Tokenizer.from_file(path)))
+
+
+def test_store_in_many_pages_with_hot_chunks(spark, library, monkeypatch):
+    rows = [(i, None if i % 3 else f"row {i % 7} " * (i % 50)) for i in range(600)]
+    for page, hot in ((7, 3), (tokenstore.PAGE, common.HOT)):
+        monkeypatch.setattr(tokenstore, "PAGE", page)
+        monkeypatch.setattr(common, "HOT", hot)
+        root = shared_dir(spark)
+        tokenstore.write_store(spark.createDataFrame(rows, "doc_id long, text string"), root, BPE)
+        got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenstore.verified(spark, root).collect())
+        assert got == expected_store(rows, library)
 
 
 def test_cuts_depend_on_content_alone():
