@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers as vocabularies
 from lectern.llm import boosting, common, language, mixing, private, quality
 
 from .conftest import ODD
@@ -228,41 +229,126 @@ def test_boosting(spark):
     assert boosting.threshold(np.array([0.9]), np.array([0]), 0.99) > 1
 
 
+SP = vocabularies.path(mixing.MODEL)
+
+
+def brute_raking(n, goals, axes, sweeps=3000):
+    """Weights of the array ``n`` by plain sweeps; ``axes`` lists which axes stay in each margin."""
+    w = n.copy()
+    for _ in range(sweeps):
+        for goal, keep in zip(goals, axes, strict=True):
+            sums = w.sum(axis=tuple(a for a in range(w.ndim) if a not in keep), keepdims=True)
+            w = w * np.divide(goal.reshape(sums.shape), sums, out=np.zeros_like(sums), where=sums > 0)
+    return w
+
+
+def brute_factor(rates, n, keep):
+    """The factor at which sum(n * min(1, factor * rate)) is keep * sum(n), by bisection."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (n * np.minimum(1, mid * rates)).sum() < keep * n.sum() else (low, mid)
+    return high
+
+
 def test_raking_equals_brute_force(spark):
     r = np.random.default_rng(5)
     n = r.integers(1, 50, (3, 2, 4)).astype(float)
-    goals = [r.dirichlet(np.ones(k)) for k in n.shape]
-    w = n.copy()
-    for _ in range(200):
-        for axis, g in enumerate(goals):
-            sums = w.sum(axis=tuple(a for a in range(3) if a != axis), keepdims=True)
-            w = w * g.reshape([-1 if a == axis else 1 for a in range(3)]) / sums
-    cells = spark.createDataFrame([(f"s{i}", f"l{j}", k, int(n[i, j, k])) for i, j, k in np.ndindex(*n.shape)], "source string, lang string, topic int, n long")
-    frames = {m: spark.createDataFrame([(v, float(x)) for v, x in zip(values, g, strict=True)], f"value {kind}, share double") for m, values, kind, g in zip(mixing.MARGINS, (["s0", "s1", "s2"], ["l0", "l1"], [0, 1, 2, 3]), ("string", "string", "int"), goals, strict=True)}
-    for most in (0, mixing.MOST_CELLS):
-        got = {(x["source"], x["lang"], x["topic"]): x["w"] for x in mixing.fitted(cells, frames, most=most).collect()}
-        for i, j, k in np.ndindex(*n.shape):
-            assert got[f"s{i}", f"l{j}", k] == pytest.approx(w[i, j, k], rel=1e-3)
-    prob = mixing.calibrated(mixing.fitted(cells, frames), 0.6).collect()
+    source, topic = r.dirichlet(np.ones(3)), r.dirichlet(np.ones(8)).reshape(2, 4)
+    w = brute_raking(n, [source, topic.sum(axis=1), topic], [(0,), (1,), (1, 2)])
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"l{j}/{k}", int(n[i, j, k])) for i, j, k in np.ndindex(*n.shape)], "source string, lang string, topic string, n long")
+    frame_ = lambda pairs: spark.createDataFrame([(v, float(x)) for v, x in pairs], "value string, share double")
+    frames = {"source": frame_((f"s{i}", x) for i, x in enumerate(source)), "lang": frame_((f"l{j}", x) for j, x in enumerate(topic.sum(axis=1))), "topic": frame_((f"l{j}/{k}", topic[j, k]) for j, k in np.ndindex(2, 4))}
+    found, gap = mixing.fitted(cells, frames)
+    got = {(x["source"], x["topic"]): x["w"] for x in found.collect()}
+    assert gap <= mixing.ENOUGH and len(got) == n.size
+    for i, j, k in np.ndindex(*n.shape):
+        assert got[f"s{i}", f"l{j}/{k}"] == pytest.approx(w[i, j, k], rel=1e-3)
+    prob = mixing.calibrated(found, 0.6).collect()
     assert sum(x["n"] * x["probability"] for x in prob) == pytest.approx(0.6 * n.sum()) and max(x["probability"] for x in prob) <= 1
 
 
-def test_mixture_query(spark, data):
+def test_targets_that_cannot_hold(spark):
+    cells = spark.createDataFrame([("a", "x", "x/0", 10), ("b", "y", "y/0", 10)], "source string, lang string, topic string, n long")
+    share = lambda *pairs: spark.createDataFrame(list(pairs), "value string, share double")
+    targets = {"source": share(("a", 0.9), ("b", 0.1)), "lang": share(("x", 0.1), ("y", 0.9)), "topic": share(("x/0", 0.1), ("y/0", 0.9))}
+    with pytest.raises(ValueError, match="off by 0.8"):
+        mixing.fitted(cells, targets, sweeps=20)
+    assert mixing.fitted(cells, targets, sweeps=20, strict=False)[1] == pytest.approx(0.8)
+
+
+def test_topics_follow_the_texts(spark):
+    """Texts of three vocabularies (and common words) fall into clusters that each hold one vocabulary."""
+    r = random.Random(2)
+    own = [[f"term{s}{i}x" for i in range(60)] for s in "abc"]
+    common_words = [f"common{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choice(own[i % 3] if r.random() < 0.6 else common_words) for _ in range(80)), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, terms = mixing.topic_model(docs), mixing.Terms()
+    found = [(mixing.nearest(terms.counts(t), model["en"]), i % 3) for i, t, _ in rows]
+    by = {}
+    for topic, label in found:
+        by.setdefault(topic, []).append(label)
+    pure = sum(max(labels.count(k) for k in range(3)) for labels in by.values())
+    assert len(by) >= 3 and pure >= 0.95 * len(rows)
+    assert mixing.topic_model(docs)["en"][1].tolist() == model["en"][1].tolist()
+
+
+def test_mixture_query_equals_brute_force(spark, data, documents):
+    """Tokens from the library, cells in arrays, plain sweeps, a factor by bisection, draws row by row."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=SP)
+    docs = {r["doc_id"]: r for r in documents.collect()}
     rows = mixing.query(spark, data).toPandas()
-    total = (rows.n_words * rows.rate).sum()
-    for t in range(mixing.TOPICS):
-        assert (rows.n_words * rows.rate)[rows.topic == t].sum() / total == pytest.approx(1 / mixing.TOPICS, abs=1e-3)
-    assert (rows.n_words * rows.probability).sum() / rows.n_words.sum() == pytest.approx(mixing.KEEP, abs=1e-6)
-    assert rows.sampled.mean() == pytest.approx(rows.probability.mean(), abs=0.12)
+    assert len(rows) == len(docs)
+    assert all(n == len(library.encode(docs[d]["text"] or "")) for d, n in zip(rows.doc_id, rows.n_tokens, strict=True))
+    assert all((s, lg) == (docs[d]["source"] or "", docs[d]["lang"] or "") for d, s, lg in zip(rows.doc_id, rows.source, rows.lang, strict=True))
+    model, terms = mixing.topic_model(documents), mixing.Terms()
+    assert all(t == f"{lg}/{mixing.nearest(terms.counts(docs[d]['text']), model.get(lg))}" for d, t, lg in zip(rows.doc_id, rows.topic, rows.lang, strict=True))
+
+    sources, langs, topics = sorted(set(rows.source)), sorted(set(rows.lang)), sorted(set(rows.topic))
+    n = np.zeros((len(sources), len(topics)))
+    for s, t, k in zip(rows.source, rows.topic, rows.n_tokens, strict=True):
+        n[sources.index(s), topics.index(t)] += k
+    power = lambda x, p: np.where(x > 0, x, 0) ** p * (x > 0) / (x[x > 0] ** p).sum()
+    of = np.array([langs.index(t.split("/")[0]) for t in topics])
+    lang_share = power(np.bincount(of, n.sum(axis=0)), 0.7)
+    held = n.sum(axis=0) > 0
+    topic_share = np.where(held, lang_share[of] / np.bincount(of, held)[of], 0)
+    w, gaps = n.copy(), []
+    while True:
+        w = w * (power(n.sum(axis=1), 0.7) / w.sum(axis=1))[:, None]
+        gaps.append(max(np.abs(w.sum(axis=0) - topic_share).max(), np.abs(np.bincount(of, w.sum(axis=0)) - lang_share).max()))
+        if gaps[-1] <= 1e-6 or (len(gaps) > 10 and gaps[-1] > 0.9 * gaps[-11]):
+            break
+        for at, goal in ((of, lang_share), (np.arange(len(topics)), topic_share)):
+            sums = np.bincount(at, w.sum(axis=0), len(goal))
+            w = w * np.divide(goal, sums, out=np.zeros_like(sums), where=sums > 0)[at]
+    rates = np.divide(w * n.sum(), n, out=np.zeros_like(n), where=n > 0)
+    factor = brute_factor(rates, n, mixing.KEEP)
+    expected = [min(1, factor * rates[sources.index(s), topics.index(t)]) if n[sources.index(s), topics.index(t)] else mixing.KEEP for s, t in zip(rows.source, rows.topic, strict=True)]
+    assert rows.probability.tolist() == pytest.approx(expected, rel=1e-3)
+    draw = documents.select("doc_id", (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", F.md5(F.coalesce("text", F.lit("")))), 11) * F.lit(2.0**-53)).alias("u")).collect()
+    u = {r["doc_id"]: r["u"] for r in draw}
+    assert rows.sampled.tolist() == [u[d] < p for d, p in zip(rows.doc_id, rows.probability, strict=True)]
+    assert rows.gap.tolist() == pytest.approx([gaps[-1]] * len(rows), rel=1e-6)  # few documents: not all of the default targets can hold
+    assert (rows.n_tokens * rows.probability).sum() / rows.n_tokens.sum() == pytest.approx(mixing.KEEP, abs=1e-4)
 
 
 def test_mixture_cases(odd, frame):
-    rows = mixing.mixed(odd).collect()
+    rows = mixing.mixed(odd, SP).collect()
     assert len(rows) == len(ODD) and all(0 < r["probability"] <= 1 for r in rows)
     assert len({r["sampled"] for r in rows if r["doc_id"] == 8}) == 1
-    assert mixing.mixed(frame([])).count() == 0 and mixing.sample(frame([])).count() == 0
-    assert {r["probability"] for r in mixing.mixed(frame([(1, None), (2, "")])).collect()} == {mixing.KEEP}
-    assert mixing.sample(odd).columns == odd.columns
+    assert mixing.mixed(frame([]), SP).count() == 0 and mixing.sample(frame([]), SP).count() == 0
+    assert {r["probability"] for r in mixing.mixed(frame([(1, None), (2, "")]), SP).collect()} == {mixing.KEEP}
+    assert mixing.sample(odd, SP).columns == odd.columns
+
+
+def test_sample_tells_rows_of_one_id_apart(frame):
+    rows = [(None, f"text number {i} of the rows without an id") for i in range(60)] + [(5, f"another {i}") for i in range(60)]
+    kept = mixing.sample(frame(rows), SP, 0.5).collect()
+    assert 30 <= len(kept) <= 90 and len({r["text"] for r in kept}) == len(kept)
 
 
 def test_stages_alone(spark, odd, frame, data):
