@@ -3,14 +3,19 @@
 The public model merges pairs; its result is the one sequence of pieces in which every adjacent
 pair stands together (encoding the two pieces' text gives the two pieces).  That makes encoding
 a best-path problem over states "last piece": steps between pieces that stand together weigh one
-(a piece more), all others minus infinity.  A document of more than CHUNK characters is cut
-anywhere, also inside words.  A boundary's states are the pieces that may lie across it.  Each
-chunk, by itself, gets its max-plus transfer matrix from the states at its left end to those at
-its right end; matrices are multiplied associatively, pair by pair, to find each chunk's states;
-then every chunk traces its own path back.  No piece crosses from a letter to a word start, so
-the middle of a chunk, between its first and last word start, is encoded by the library.
+(a piece more), all others minus infinity.  With such weights one path has a finite weight, so the
+maximum has one candidate and the scan is one of reachability; a model with scored pieces would
+put its scores in place of the ones, and no such model is at hand.
 
-Texts of CHUNK characters or fewer are the case of one chunk and encoded by the library whole.
+A document of more than CHUNK characters is cut anywhere, also inside words.  A boundary's states
+are the pieces that may lie across it.  Each chunk, by itself, is scanned as a whole and gives its
+max-plus transfer matrix from the states at its left end to those at its right end.  Matrices are
+multiplied associatively, FAN neighbours to one, level by level in separate tasks, until each
+document has one; then its best entry and exit go down the levels, each group finds its members'
+states, and every chunk traces its own path back.  No piece crosses from a letter to a word start,
+so a word inside a chunk has a matrix of one entry, and equal words are scanned once.
+
+Texts of CHUNK characters or fewer have no boundary and are encoded by the library whole.
 
 Cases: null is the empty text and has no pieces; a text without a word start is one word and
 is scanned through; unknown characters become bytes; rows of one doc_id are encoded each; an empty
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import session, staged, table
 
-MODEL, CHUNK = "piece_bpe_32k.model", 1 << 15
+MODEL, CHUNK, FAN = "piece_bpe_32k.model", 1 << 15, 64
 SPACE = "▁"
+#: Words (of at most so many characters) whose path a worker remembers.
+REMEMBERED, SHORT = 200_000, 64
 
 
 class Codec:
@@ -48,6 +55,7 @@ class Codec:
         normal = [p.piece for p in model.pieces if p.type in (1, 4)]
         self.known, self.longest = set(normal), max(map(len, normal))
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._words: dict[str, tuple[list[int], int]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.whole.encode(texts, num_threads=1)
@@ -72,11 +80,42 @@ class Codec:
             found = self._pairs[a, b] = self.part.encode_as_pieces(a + b) == [a, b]
         return found
 
+    def words(self, text: str) -> tuple[list[int], int]:
+        """(ids, number of pieces) of a text that begins and ends at word starts, by the scan."""
+        import re
+
+        ids: list[int] = []
+        weight = 0
+        for word in re.findall(f"{SPACE}+[^{SPACE}]*", text):
+            found = self._words.get(word)
+            if found is None:
+                best = walk(self, word, {(0, 0): 0.0}, 0, len(word), True)
+                end = max((s for s in best if s[1] == len(word)), key=lambda s: best[s][0])
+                path = path_to(best, end)
+                found = (self.ids([word[a:b] for a, b in path]), len(path))
+                if len(word) <= SHORT:
+                    if len(self._words) >= REMEMBERED:
+                        self._words.clear()
+                    self._words[word] = found
+            ids += found[0]
+            weight += found[1]
+        return ids, weight
+
     def next_lengths(self, text: str, at: int) -> list[int]:
         """Lengths of the pieces that begin at ``at``; one character always is a step."""
         return [n for n in range(1, min(self.longest, len(text) - at) + 1) if n == 1 or text[at : at + n] in self.known]
 
 
+def shared_codec(path: str) -> Codec:
+    """One codec a Python worker: the tasks it runs one after the other share what it remembers."""
+    import sys
+
+    held = sys.__dict__.setdefault("_lectern_codecs", {})
+    if path not in held:
+        held[path] = Codec(path)
+    return held[path]
+
+
 def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -155,16 +194,15 @@ class Part:
         start = (self.tail, self.tail)
         return walk(self.codec, self.text, {start: 0.0}, self.tail, self.right, self.final)
 
-    def middle(self) -> list[int]:
-        return self.codec.part.encode(self.text[self.head : self.tail]) if self.tail > self.head else []
+    def middle(self) -> tuple[list[int], int]:
+        """(ids, weight) between the first and the last word start, which all paths through the chunk share."""
+        return self.codec.words(self.text[self.head : self.tail])
 
     def transfer(self) -> list[tuple[int, int, int, int, float]]:
-        """Non-empty entries of the matrix: (entry begin, end, exit begin, end, pieces), relative to the two ends.
-
-        The middle's pieces are common to all paths through the chunk and not counted.
-        """
+        """Finite entries of the matrix: (entry begin, end, exit begin, end, pieces), relative to the two ends."""
         out = []
         end = None
+        shared = 0 if self.head is None else self.middle()[1]
         for entry in self.entries():
             best = self._parts(entry)
             if self.head is None:
@@ -178,7 +216,7 @@ class Part:
                 if end is None:
                     tail = self._end()
                     end = {s: tail[s][0] for s in self._exits(tail)}
-                found = [(s, max(arrived) + w) for s, w in end.items()]
+                found = [(s, max(arrived) + shared + w) for s, w in end.items()]
             out.extend((entry[0] - self.left, entry[1] - self.left, s[0] - self.right, s[1] - self.right, w) for s, w in found)
         return out
 
@@ -191,7 +229,7 @@ class Part:
         if self.head is None:
             return [] if exit_ == entry else spell(path_to(best, exit_))
         arrived = max((s for s in best if s[1] == self.head), key=lambda s: best[s][0])
-        return [*spell(path_to(best, arrived)), *self.middle(), *spell(path_to(self._end(), exit_))]
+        return [*spell(path_to(best, arrived)), *self.middle()[0], *spell(path_to(self._end(), exit_))]
 
 
 def product(a: dict, b: dict) -> dict:
@@ -207,33 +245,28 @@ def product(a: dict, b: dict) -> dict:
     return out
 
 
-def prefixes(matrices: list[dict]) -> list[dict]:
-    """Products of the first 1, 2, ... matrices, by a balanced tree."""
-    if len(matrices) < 2:
-        return matrices
-    pairs = [product(matrices[i], matrices[i + 1]) for i in range(0, len(matrices) - 1, 2)]
-    above = prefixes(pairs)
-    out = []
-    for i, m in enumerate(matrices):
-        out.append(m if i == 0 else above[i // 2] if i % 2 else product(above[i // 2 - 1], m))
-    return out
+def joined(matrices: list[dict]) -> dict:
+    """Product of neighbouring matrices, as a balanced tree."""
+    while len(matrices) > 1:
+        pairs = [product(matrices[i], matrices[i + 1]) for i in range(0, len(matrices) - 1, 2)]
+        matrices = pairs + matrices[len(matrices) // 2 * 2 :]
+    return matrices[0]
 
 
-def states(matrices: list[dict]) -> list[tuple]:
-    """(entry, exit) of each chunk on the document's best path, from the chunks' matrices."""
-    if not matrices:
-        return []
-    forward = prefixes(matrices)
-    exit_ = max(forward[-1], key=lambda key: forward[-1][key])[1]
+def states(matrices: list[dict], entry, exit_) -> list[tuple]:
+    """(entry, exit) of each of neighbouring matrices on the best path from ``entry`` to ``exit_``."""
+    reach = [{entry: 0.0}]
+    for m in matrices:
+        after: dict = {}
+        for (i, j), w in m.items():
+            if i in reach[-1] and reach[-1][i] + w > after.get(j, float("-inf")):
+                after[j] = reach[-1][i] + w
+        reach.append(after)
     out = []
-    for k in range(len(matrices) - 1, -1, -1):
-        if k == 0:
-            entry = next(i for i, j in matrices[0] if j == exit_)
-        else:
-            reach = {j: w for (_, j), w in forward[k - 1].items()}
-            entry = max((i for i, j in matrices[k] if j == exit_ and i in reach), key=lambda i: reach[i] + matrices[k][i, exit_])
-        out.append((entry, exit_))
-        exit_ = entry
+    for m, before in zip(reversed(matrices), reversed(reach[:-1]), strict=True):
+        into = max((i for i, j in m if j == exit_ and i in before), key=lambda i: before[i] + m[i, exit_])
+        out.append((into, exit_))
+        exit_ = into
     return out[::-1]
 
 
@@ -251,6 +284,56 @@ _MATRIX = "row long, k int, m array<struct<a:int,b:int,c:int,d:int,w:double>>"
 _STATES = "row long, k int, a int, b int, c int, d int"
 
 
+def _matrix(entries) -> dict:
+    return {((e["a"], e["b"]), (e["c"], e["d"])): e["w"] for e in entries}
+
+
+def _entries(matrix: dict) -> list[dict]:
+    return [{"a": i[0], "b": i[1], "c": j[0], "d": j[1], "w": w} for (i, j), w in matrix.items()]
+
+
+def _combined(pdf):
+    """For applyInPandas by row and group: the product of the group's matrices."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("k")
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "k": [pdf["g"].iloc[0]], "m": [_entries(joined([_matrix(m) for m in pdf["m"]]))]})
+
+
+def _resolved(pdf):
+    """For applyInPandas by row and group: the members' states, from the group's entry (a, b) and exit (c, d)."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("k")
+    first = pdf.iloc[0]
+    found = [(*i, *j) for i, j in states([_matrix(m) for m in pdf["m"]], (first["a"], first["b"]), (first["c"], first["d"]))]
+    return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), **dict(zip("abcd", zip(*found, strict=True), strict=True))})
+
+
+def _best(batches):
+    """Entry and exit of the heaviest path through each document's matrix."""
+    import pyarrow as pa
+
+    for batch in batches:
+        best = [max(m, key=lambda e: e["w"]) for m in batch.column("m").to_pylist()]
+        cols = [pa.array([e[c] for e in best], pa.int32()) for c in "abcd"]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), *cols], ["row", "k", *"abcd"])
+
+
+def scan(matrices: DataFrame, top: int, fan: int = FAN) -> DataFrame:
+    """(row, k, a, b, c, d): the states of every chunk, from the chunks' matrices (row, k, m); ``top`` is the largest k."""
+    levels = [matrices]
+    while top > 0:
+        grouped = levels[-1].withColumn("g", F.floor(F.col("k") / fan).cast("int"))
+        levels.append(staged(grouped.groupBy("row", "g").applyInPandas(_combined, _MATRIX)))
+        top //= fan
+    on = levels.pop().mapInArrow(_best, _STATES)
+    for level in reversed(levels):
+        members = level.withColumn("g", F.floor(F.col("k") / fan).cast("int")).join(on.withColumnRenamed("k", "g"), ["row", "g"])
+        on = members.groupBy("row", "g").applyInPandas(_resolved, _STATES)
+    return on
+
+
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """(row, doc_id, text, n_chunks, ids array<int>) of every row; ``row`` tells rows apart."""
     session(docs)
@@ -260,7 +343,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def whole(batches):
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = shared_codec(path)
         for batch in batches:
             ids = codec.encode(batch.column("text").to_pylist()) if len(batch) else []
             arrays = [*[batch.column(n) for n in ("row", "doc_id", "text")], pa.array([1] * len(batch), pa.int32()), listed(ids)]
@@ -269,7 +352,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def split(batches):
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = shared_codec(path)
         for batch in batches:
             for row, doc, text in zip(*(batch.column(n).to_pylist() for n in ("row", "doc_id", "text")), strict=True):
                 cols = list(zip(*((row, doc, *p) for p in parts_of(normalised(text), chunk, codec.longest)), strict=True))
@@ -279,7 +362,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def transfer(batches):
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = shared_codec(path)
         kind = pa.list_(pa.struct([(n, pa.int32()) for n in "abcd"] + [("w", pa.float64())]))
         for batch in batches:
             out = []
@@ -287,18 +370,10 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 out.append([dict(zip("abcdw", e, strict=True)) for e in Part(codec, part, left, right, k == 0, final).transfer()])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, kind)], ["row", "k", "m"])
 
-    def scan(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("k")
-        matrices = [{((e["a"], e["b"]), (e["c"], e["d"])): e["w"] for e in m} for m in pdf["m"]]
-        found = [(*entry, *exit_) for entry, exit_ in states(matrices)]
-        return pd.DataFrame({"row": pdf["row"].to_numpy(), "k": pdf["k"].to_numpy(), **dict(zip("abcd", zip(*found, strict=True), strict=True))})
-
     def trace(batches):
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = shared_codec(path)
         for batch in batches:
             ids = []
             for k, part, left, right, final, *s in zip(*(batch.column(n).to_pylist() for n in ("k", "part", "l", "r", "final", *"abcd")), strict=True):
@@ -311,8 +386,8 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         return small
     chunks = staged(held.mapInArrow(split, _CHUNKS))
     dealt = chunks.repartition("row", "k")
-    matrices = dealt.mapInArrow(transfer, _MATRIX)
-    on_path = matrices.groupBy("row").applyInPandas(scan, _STATES)
+    matrices = staged(dealt.mapInArrow(transfer, _MATRIX))
+    on_path = scan(matrices, matrices.agg(F.max("k")).first()[0] or 0)
     traced = chunks.join(on_path, ["row", "k"]).mapInArrow(trace, "row long, doc_id long, k int, ids array<int>")
     whole_ids = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
     large = held.join(whole_ids, "row").select("row", "doc_id", "text", F.size("x").alias("n_chunks"), F.flatten("x.ids").alias("ids"))
@@ -344,7 +419,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = shared_codec(path)
         for batch in batches:
             texts = codec.whole.decode(id_lists(batch.column("ids")), num_threads=1) if len(batch) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
@@ -363,7 +438,7 @@ def digests(rows: DataFrame, path: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        codec = Codec(path)
+        codec = shared_codec(path)
         for batch in batches:
             lists = id_lists(batch.column("ids"))
             texts = codec.whole.decode(lists, num_threads=1) if lists else []

@@ -1,6 +1,7 @@
 """Token store, chat formatting and SentencePiece scan: exact round trips and brute force."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -177,7 +178,10 @@ def codec():
 def scanned(codec, text, chunk):
     parts = [pieces.Part(codec, t, a, b, k == 0, f) for k, t, a, b, f in pieces.parts_of(pieces.normalised(text), chunk, codec.longest)]
     matrices = [{((a, b), (c, d)): w for a, b, c, d, w in p.transfer()} for p in parts]
-    return [x for p, (e, s) in zip(parts, pieces.states(matrices), strict=True) for x in p.trace(e, s)]
+    if not parts:
+        return []
+    whole = pieces.joined(matrices)
+    return [x for p, (e, s) in zip(parts, pieces.states(matrices, *max(whole, key=whole.get)), strict=True) for x in p.trace(e, s)]
 
 
 def test_scan_equals_library(codec, documents):
@@ -190,15 +194,56 @@ def test_scan_equals_library(codec, documents):
         assert scanned(codec, t, r.choice([1, 2, 3, 8, 16, 17, 31, 64, 333])) == codec.encode([t])[0]
 
 
-def test_matrix_prefixes_are_associative():
+def random_matrices(r, n, size=3):
+    rand = lambda: {(i, j): float(r.randint(0, 9)) for i in range(size) for j in range(size) if r.random() < 0.8}
+    return [rand() for _ in range(n)]
+
+
+def test_products_are_associative():
     r = random.Random(4)
-    rand = lambda: {(i, j): float(r.randint(0, 9)) for i in range(3) for j in range(3) if r.random() < 0.8}
-    matrices = [rand() for _ in range(11)]
-    running, out = matrices[0], [matrices[0]]
-    for m in matrices[1:]:
-        running = pieces.product(running, m)
-        out.append(running)
-    assert pieces.prefixes(matrices) == out
+    for n in (1, 2, 7, 11):
+        matrices = random_matrices(r, n)
+        running = matrices[0]
+        for m in matrices[1:]:
+            running = pieces.product(running, m)
+        assert pieces.joined(matrices) == running
+
+
+def test_scored_states_equal_brute_force(spark):
+    """With weights that differ, the scan over levels of groups finds a path of the greatest weight, as trying all paths does."""
+    r = random.Random(12)
+    rows, best = [], {}
+    for doc in range(12):
+        matrices = random_matrices(r, r.randint(1, 7))
+        matrices[0] = {k: w for k, w in matrices[0].items() if k[0] == 0} or {(0, 0): 1.0}
+        paths = [p for p in itertools.product(range(3), repeat=len(matrices) + 1) if all((a, b) in m for a, b, m in zip(p, p[1:], matrices, strict=False))]
+        weight = lambda p: sum(m[a, b] for a, b, m in zip(p, p[1:], matrices, strict=False))  # noqa: E731, B023
+        if not paths:
+            continue
+        best[doc] = (max(map(weight, paths)), matrices)
+        rows += [(doc, k, [{"a": i, "b": 0, "c": j, "d": 0, "w": w} for (i, j), w in m.items()]) for k, m in enumerate(matrices)]
+    frame_ = spark.createDataFrame(rows, pieces._MATRIX)
+    for fan in (2, 3, 64):
+        found = {}
+        for x in pieces.scan(frame_, max(k for _, k, _ in rows), fan).collect():
+            found.setdefault(x["row"], []).append((x["k"], x["a"], x["c"]))
+        assert set(found) == set(best)
+        for doc, (weight, matrices) in best.items():
+            steps = sorted(found[doc])
+            assert [s[2] for s in steps[:-1]] == [s[1] for s in steps[1:]]
+            assert sum(m[a, c] for (_, a, c), m in zip(steps, matrices, strict=True)) == weight
+
+
+def test_giant_texts_at_the_default_chunk(spark, codec):
+    """Ids of texts of many default chunks are the library's for the whole text."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("etaoinshrdluéß") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    prose = " ".join(r.choice(vocabulary) for _ in range(30_000))
+    texts = [prose, prose.replace(" ", "  "), "\n".join(prose[i : i + 70] for i in range(0, 90_000, 70)), "".join(r.choice("abc日😀\n=") for _ in range(70_000)), "x" * 40_000, " " * 40_000, prose[: pieces.CHUNK], prose[: pieces.CHUNK - 1]]
+    got = {x["doc_id"]: (x["n_chunks"], x["ids"]) for x in pieces.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SP).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][1] == codec.encode([t])[0]
+    assert got[0][0] > 5 and got[7][0] == 1
 
 
 def test_encoded_with_small_chunks(spark, odd, codec):
