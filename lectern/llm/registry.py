@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lectern.llm import chat, language, mixing, multiset, pieces, private, quality, simhash, substrings, tokenstore
 
 
+def pipeline(spark, sf_dir: str):
+    """All stages of the pipeline at the repository's top, which is only imported here."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_token_store": tokenstore.query,
         "op2_quality_rules": quality.query,
         "op3_language_mixture": language.query,
@@ -23,5 +29,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_quality_rules": quality.ORACLE, "op7_chat_format": chat.ORACLE, "op9_substring_dedup": substrings.ORACLE}
-    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    """The pipeline has none (its ORACLE_SQL is None)."""
+    return {"op2_quality_rules": quality.ORACLE, "op7_chat_format": chat.ORACLE, "op9_substring_dedup": substrings.ORACLE}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import session, shared_dir, staged
+from lectern.llm.common import hot_join, session, staged
 from lectern.llm.components import components
 
 BITS, SEED, SHINGLE, RADIUS, SPLIT_ABOVE = 64, 42, 3, 3, 4096
@@ -52,6 +52,13 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         digest, n = xxhash.xxh64_intdigest, len(found) - size + 1
         spans = zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return of_hashes(hashes)
+
+
+def of_hashes(hashes) -> int:
+    """SimHash of an array of unsigned 64-bit hashes, with repeats: a bit is set if over half have it."""
+    import numpy as np
+
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 8192):
         block = hashes[k : k + 8192].view(np.uint8).reshape(-1, 8)
@@ -183,21 +190,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     one doc_id are given once each.  A null doc_id gets its group's id.  An empty table gives no
     rows.  Columns other than doc_id and text are not read.
     """
-    spark = session(docs)
+    session(docs)
     prints = staged(with_fingerprints(docs))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     roots = components(links(reps, radius))
-    grouped = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    path = shared_dir(spark)
-    named = staged(grouped.select("fp", "root").join(ids, "root").select("fp", "component_id"), path)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one document of each, with all its columns."""
-    kept = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    grouped = staged(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    named = hot_join(grouped.select("fp", "root", F.col("n").alias("rows")), ids, ["root"], grouped.count())
+    rows = reps.agg(F.sum("n")).first()[0] or 0
+    return hot_join(prints, staged(named.select("fp", "component_id", F.col("rows").alias("n"))), ["fp"], rows).select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -102,11 +102,20 @@ def test_components_of_paths(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_survivors(frame):
-    rows = frame([(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "nothing like the others at all"), (4, None), (5, "")])
-    got = simhash.survivors(rows)
-    assert got.columns == rows.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
-    assert simhash.survivors(rows.limit(0)).count() == 0 and simhash.near_duplicates(rows.limit(0)).count() == 0
+def test_no_documents(frame):
+    assert simhash.near_duplicates(frame([])).count() == 0
+
+
+def test_hot_fingerprints(frame, monkeypatch):
+    """A third of the rows without a word, a third of one text: the hot keys are joined as the others."""
+    from lectern.llm import common
+
+    r = random.Random(3)
+    rows = [(i, None) for i in range(60)] + [(100 + i, "the same words in every row") for i in range(60)] + [(200 + i, " ".join(r.choice("abcdefgh") * 3 for _ in range(9))) for i in range(60)]
+    for hot in (0, 4, common.HOT):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = {(x["doc_id"], x["fp"] % (1 << 64)): x["component_id"] for x in simhash.near_duplicates(frame(rows)).collect()}
+        assert got == brute_groups(rows)
 
 
 def test_simhash_query(spark, data, documents):

@@ -280,18 +280,18 @@ def test_targets_that_cannot_hold(spark):
 def test_topics_follow_the_texts(spark):
     """Texts of three vocabularies (and common words) fall into clusters that each hold one vocabulary."""
     r = random.Random(2)
-    own = [[f"term{s}{i}x" for i in range(60)] for s in "abc"]
-    common_words = [f"common{i}" for i in range(30)]
+    own = ["ship harbour sailor anchor ocean captain vessel island storm wind".split(), "kitchen butter sugar oven recipe flour pepper onion cheese bread".split(), "planet telescope galaxy orbit comet eclipse asteroid gravity moon star".split()]
+    common_words = "people found many other years around again before while their".split()
     rows = [(i, " ".join(r.choice(own[i % 3] if r.random() < 0.6 else common_words) for _ in range(80)), "en") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model, terms = mixing.topic_model(docs), mixing.Terms()
-    found = [(mixing.nearest(terms.counts(t), model["en"]), i % 3) for i, t, _ in rows]
+    model, terms = mixing.topic_model(docs, SP), mixing.Terms(SP)
+    found = [(mixing.nearest(terms.read([t])[0][1], model["en"]), i % 3) for i, t, _ in rows]
     by = {}
     for topic, label in found:
         by.setdefault(topic, []).append(label)
     pure = sum(max(labels.count(k) for k in range(3)) for labels in by.values())
     assert len(by) >= 3 and pure >= 0.95 * len(rows)
-    assert mixing.topic_model(docs)["en"][1].tolist() == model["en"][1].tolist()
+    assert mixing.topic_model(docs, SP)["en"][1].tolist() == model["en"][1].tolist()
 
 
 def test_mixture_query_equals_brute_force(spark, data, documents):
@@ -304,8 +304,8 @@ def test_mixture_query_equals_brute_force(spark, data, documents):
     assert len(rows) == len(docs)
     assert all(n == len(library.encode(docs[d]["text"] or "")) for d, n in zip(rows.doc_id, rows.n_tokens, strict=True))
     assert all((s, lg) == (docs[d]["source"] or "", docs[d]["lang"] or "") for d, s, lg in zip(rows.doc_id, rows.source, rows.lang, strict=True))
-    model, terms = mixing.topic_model(documents), mixing.Terms()
-    assert all(t == f"{lg}/{mixing.nearest(terms.counts(docs[d]['text']), model.get(lg))}" for d, t, lg in zip(rows.doc_id, rows.topic, rows.lang, strict=True))
+    model, terms = mixing.topic_model(documents, SP), mixing.Terms(SP)
+    assert all(t == f"{lg}/{mixing.nearest(terms.read([docs[d]['text'] or ''])[0][1], model.get(lg))}" for d, t, lg in zip(rows.doc_id, rows.topic, rows.lang, strict=True))
 
     sources, langs, topics = sorted(set(rows.source)), sorted(set(rows.lang)), sorted(set(rows.topic))
     n = np.zeros((len(sources), len(topics)))
