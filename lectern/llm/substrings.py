@@ -16,10 +16,13 @@ Positions are numbered through the corpus in order of (doc_id, start), so that "
 comparison.  A level sends back to a document what is settled (runs that occur once, first
 windows): lists no longer than the text, whatever a run's number of copies.  Groups of equal runs
 are only ever counted and minimised, with partial sums before the shuffle; nothing is paired.
-Texts are written once, bucketed by document, and every level joins them where they lie.
+Texts are written once, bucketed by document, and every level joins them where they lie.  Buckets
+are as many as their bytes ask for, so that what a task holds of a level does not grow with the
+corpus; the table and the levels' files are dropped when the result is written.
 
 Cases: null texts have no words; texts below 20 words lose none; rows of one doc_id are parts of
-one document, ordered by their text's hash; a null doc_id comes first; an empty table gives no
+one document, ordered by their text's hash; rows without a doc_id come first, in the order of their
+texts' hashes, each a document of its own (ids below -2**62 are refused); an empty table gives no
 rows; other columns are not read.
 """
 
@@ -35,7 +38,9 @@ from lectern.llm.common import release, remove, session, shared_dir, staged, tab
 LENGTH, RUN = 20, 5
 SEGMENT = 1 << 20
 _INDEX = 24
-_NO_ID = -(1 << 63)
+_NO_ID, _LEAST_ID = -(1 << 63), -(1 << 62)
+#: Characters of text in a bucket.
+BUCKET = 64 << 20
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -210,12 +215,14 @@ def _level(rows: DataFrame, of_doc) -> DataFrame:
     return rows.mapInArrow(lambda batches: _emit(batches, of_doc, with_facts), _ROWS)
 
 
-def numbered(docs: DataFrame, path: str) -> DataFrame:
-    """Written texts (doc_id, doc, start, text), bucketed by doc; start counts characters before the text, and one a text."""
+def numbered(docs: DataFrame, path: str) -> str:
+    """Name of a table of texts (doc_id, doc, start, text), bucketed by doc; start counts characters before the text, and one a text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text", F.xxhash64("text").alias("tie"))
+    tie = F.xxhash64("text")
+    own = F.when(F.col("doc_id") >= _LEAST_ID, F.col("doc_id")).otherwise(F.raise_error(F.lit("a doc_id below -2**62")).cast("long"))
+    spread = F.shiftrightunsigned(tie, 2) + F.lit(_NO_ID)
+    keyed = rows.select("doc_id", F.when(F.col("doc_id").isNull(), spread).otherwise(own).alias("doc"), "text", tie.alias("tie"))
     order = Window.partitionBy("doc").orderBy("tie")
     sizes = keyed.select("doc", "tie", (F.length("text") + 1).cast("long").alias("size")).withColumn("part_no", F.row_number().over(order))
     ranged = sizes.repartitionByRange(F.col("doc"), F.col("part_no")).sortWithinPartitions("doc", "part_no").withColumn("range", F.spark_partition_id())
@@ -238,22 +245,24 @@ def numbered(docs: DataFrame, path: str) -> DataFrame:
         base += r["size"]
     bases = spark.createDataFrame(rows_, "range int, base long")
     starts = local.join(F.broadcast(bases), "range").select("doc", "part_no", (F.col("base") + F.col("local")).alias("start"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base // BUCKET))
     texts = keyed.repartition(n, "doc").withColumn("part_no", F.row_number().over(order)).join(starts, ["doc", "part_no"])
     name = f"lectern_{uuid.uuid4().hex}"
     out = texts.select("doc_id", "doc", "start", "text")
     out.write.mode("overwrite").option("path", f"{path}/texts").option("compression", "zstd").bucketBy(n, "doc").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return name
 
 
 def _lists(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("doc").agg(F.collect_list("g").alias(name)).hint("shuffle_hash")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): ``kept`` are the words that stay, joined by blanks."""
+def deduplicated(docs: DataFrame, with_words: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept): ``kept`` are the words that stay, joined by blanks (if ``with_words``)."""
     spark = session(docs)
     path = shared_dir(spark)
-    texts = numbered(docs, path)
+    name = numbered(docs, path)
+    texts = spark.table(name)
     release(spark)
 
     counted = lambda rows: rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("g").alias("g"), F.max("g").alias("top"), F.min("doc").alias("doc"))
@@ -294,11 +303,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     full = facts.join(twenty.hint("shuffle_hash"), "doc", "left").select("doc_id", "start", "text", "held", "settled", "first")
-    return full.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = full.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = staged(out if with_words else out.drop("kept"))
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, path)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return deduplicated(table(spark, sf_dir, "documents"), with_words=False)
 
 
 ORACLE = rf"""
