@@ -1,0 +1,84 @@
+"""Language mixtures of the query in plain Python, without arrays."""
+
+import math
+import zlib
+from collections import Counter
+
+import pytest
+import regex
+
+from lectern.llm import language
+
+
+def bucket(a, b, c):
+    low = (1 << 64) - 1
+    h = ((ord(a) * 0x9E3779B1 + ord(b)) * 0x85EBCA77 + ord(c)) & low
+    h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & low
+    return h >> (64 - language.BUCKETS.bit_length() + 1)
+
+
+def counted(text):
+    """Counter of the buckets of a text's letter trigrams; None without a letter."""
+    words = regex.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words:
+        return None
+    joined = f" {' '.join(words)} "
+    return Counter(bucket(*joined[i : i + 3]) for i in range(len(joined) - 2))
+
+
+def plain_mixture(counts, likely):
+    """{language: share}: from the most likely language on, the one that promises most, while the gain pays for it."""
+    n = sum(counts.values())
+    p = lambda lang, b: likely[lang][0].get(b, likely[lang][1])
+    fit = {lang: sum(c * math.log(p(lang, b)) for b, c in counts.items()) for lang in likely}
+    chosen = [max(sorted(likely), key=fit.get)]
+    shares, reached = {chosen[0]: 1.0}, fit[chosen[0]]
+    while len(chosen) < len(likely):
+        blend = {b: sum(s * p(lang, b) for lang, s in shares.items()) for b in counts}
+        promise = {lang: sum(c / blend[b] * p(lang, b) for b, c in counts.items()) / n for lang in sorted(likely) if lang not in chosen}
+        best = max(promise, key=promise.get)
+        if promise[best] <= 1:
+            break
+        trial = {lang: 0.9 * s for lang, s in shares.items()} | {best: 0.1}
+        for _ in range(language.ROUNDS):
+            new = dict.fromkeys(trial, 0.0)
+            for b, c in counts.items():
+                whole = sum(s * p(lang, b) for lang, s in trial.items())
+                for lang, s in trial.items():
+                    new[lang] += s * p(lang, b) / whole * c / n
+            moved, trial = max(abs(new[lang] - trial[lang]) for lang in trial), new
+            if moved < language.ENOUGH:
+                break
+        after = sum(c * math.log(sum(s * p(lang, b) for lang, s in trial.items())) for b, c in counts.items())
+        if after - reached <= language.PENALTY * math.log(n) / 2:
+            break
+        chosen, shares, reached = [*chosen, best], trial, after
+    return shares
+
+
+def test_query_equals_plain_python(spark, data, documents):
+    docs = {r["doc_id"]: r for r in documents.collect()}
+    held_out = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in docs}
+    sums: dict[str, Counter] = {}
+    for d, r in docs.items():
+        found = counted(r["text"])
+        if not held_out[d] and r["lang"] is not None and found is not None:
+            sums.setdefault(r["lang"], Counter()).update(found)
+    likely = {}
+    for lang, c in sums.items():
+        total = sum(c.values()) + language.SMOOTHING * language.BUCKETS
+        likely[lang] = ({b: (n + language.SMOOTHING) / total for b, n in c.items()}, language.SMOOTHING / total)
+    got = {r["doc_id"]: r for r in language.query(spark, data).collect()}
+    assert set(got) == set(docs)
+    short = [d for d in docs if len(docs[d]["text"] or "") < 3000]
+    assert len(short) > 100
+    for d in short:
+        counts = counted(docs[d]["text"])
+        assert got[d]["held_out"] == held_out[d]
+        if counts is None:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        shares = plain_mixture(counts, likely)
+        lang, share = max(sorted(shares.items()), key=lambda x: x[1])
+        assert got[d]["lang_pred"] == lang and got[d]["score"] == pytest.approx(min(1.0, share), abs=1e-6)
+        assert sorted(x.split(":")[0] for x in got[d]["proportions"].split(",")) == sorted(shares)

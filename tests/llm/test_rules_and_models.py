@@ -229,7 +229,7 @@ def test_boosting(spark):
     assert boosting.threshold(np.array([0.9]), np.array([0]), 0.99) > 1
 
 
-SP = vocabularies.path(mixing.MODEL)
+TOKENS = mixing.vocabulary()
 
 
 def brute_raking(n, goals, axes, sweeps=3000):
@@ -284,41 +284,32 @@ def test_topics_follow_the_texts(spark):
     common_words = "people found many other years around again before while their".split()
     rows = [(i, " ".join(r.choice(own[i % 3] if r.random() < 0.6 else common_words) for _ in range(80)), "en") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model, terms = mixing.topic_model(docs, SP), mixing.Terms(SP)
-    found = [(mixing.nearest(terms.read([t])[0][1], model["en"]), i % 3) for i, t, _ in rows]
+    model, terms = mixing.topic_model(docs, TOKENS), mixing.Terms(*TOKENS)
+    found = list(zip(mixing.nearest(terms.read([t for _, t, _ in rows])[1], model["en"]), (i % 3 for i, _, _ in rows), strict=True))
     by = {}
     for topic, label in found:
         by.setdefault(topic, []).append(label)
     pure = sum(max(labels.count(k) for k in range(3)) for labels in by.values())
     assert len(by) >= 3 and pure >= 0.95 * len(rows)
-    assert mixing.topic_model(docs, SP)["en"][1].tolist() == model["en"][1].tolist()
+    assert mixing.topic_model(docs, TOKENS)["en"][1].tolist() == model["en"][1].tolist()
 
 
-def test_mixture_query_equals_brute_force(spark, data, documents):
-    """Tokens from the library, cells in arrays, plain sweeps, a factor by bisection, draws row by row."""
-    import sentencepiece
-
-    library = sentencepiece.SentencePieceProcessor(model_file=SP)
-    docs = {r["doc_id"]: r for r in documents.collect()}
-    rows = mixing.query(spark, data).toPandas()
-    assert len(rows) == len(docs)
-    assert all(n == len(library.encode(docs[d]["text"] or "")) for d, n in zip(rows.doc_id, rows.n_tokens, strict=True))
-    assert all((s, lg) == (docs[d]["source"] or "", docs[d]["lang"] or "") for d, s, lg in zip(rows.doc_id, rows.source, rows.lang, strict=True))
-    model, terms = mixing.topic_model(documents, SP), mixing.Terms(SP)
-    assert all(t == f"{lg}/{mixing.nearest(terms.read([docs[d]['text'] or ''])[0][1], model.get(lg))}" for d, t, lg in zip(rows.doc_id, rows.topic, rows.lang, strict=True))
-
-    sources, langs, topics = sorted(set(rows.source)), sorted(set(rows.lang)), sorted(set(rows.topic))
+def brute_probabilities(source, topic, n_tokens, keep=mixing.KEEP):
+    """(probability of each row, gaps of the sweeps): cells in arrays, plain sweeps, a factor by bisection."""
+    sources, topics = sorted(set(source)), sorted(set(topic))
+    langs = sorted({t.rsplit("/", 1)[0] for t in topics})
     n = np.zeros((len(sources), len(topics)))
-    for s, t, k in zip(rows.source, rows.topic, rows.n_tokens, strict=True):
+    for s, t, k in zip(source, topic, n_tokens, strict=True):
         n[sources.index(s), topics.index(t)] += k
     power = lambda x, p: np.where(x > 0, x, 0) ** p * (x > 0) / (x[x > 0] ** p).sum()
-    of = np.array([langs.index(t.split("/")[0]) for t in topics])
+    of = np.array([langs.index(t.rsplit("/", 1)[0]) for t in topics])
     lang_share = power(np.bincount(of, n.sum(axis=0)), 0.7)
     held = n.sum(axis=0) > 0
     topic_share = np.where(held, lang_share[of] / np.bincount(of, held)[of], 0)
     w, gaps = n.copy(), []
     while True:
-        w = w * (power(n.sum(axis=1), 0.7) / w.sum(axis=1))[:, None]
+        sums = w.sum(axis=1)
+        w = w * np.divide(power(n.sum(axis=1), 0.7), sums, out=np.zeros_like(sums), where=sums > 0)[:, None]
         gaps.append(max(np.abs(w.sum(axis=0) - topic_share).max(), np.abs(np.bincount(of, w.sum(axis=0)) - lang_share).max()))
         if gaps[-1] <= 1e-6 or (len(gaps) > 10 and gaps[-1] > 0.9 * gaps[-11]):
             break
@@ -326,28 +317,57 @@ def test_mixture_query_equals_brute_force(spark, data, documents):
             sums = np.bincount(at, w.sum(axis=0), len(goal))
             w = w * np.divide(goal, sums, out=np.zeros_like(sums), where=sums > 0)[at]
     rates = np.divide(w * n.sum(), n, out=np.zeros_like(n), where=n > 0)
-    factor = brute_factor(rates, n, mixing.KEEP)
-    expected = [min(1, factor * rates[sources.index(s), topics.index(t)]) if n[sources.index(s), topics.index(t)] else mixing.KEEP for s, t in zip(rows.source, rows.topic, strict=True)]
-    assert rows.probability.tolist() == pytest.approx(expected, rel=1e-3)
+    factor = brute_factor(rates, n, keep)
+    cells = [(sources.index(s), topics.index(t)) for s, t in zip(source, topic, strict=True)]
+    return [min(1, factor * rates[c]) if n[c] else keep for c in cells], gaps
+
+
+def test_mixture_query_equals_brute_force(spark, data, documents):
+    """Tokens from another library with the same vocabulary, cells in arrays, plain sweeps, a factor by bisection, draws row by row."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    docs = {r["doc_id"]: r for r in documents.collect()}
+    rows = mixing.query(spark, data).toPandas()
+    assert len(rows) == len(docs)
+    assert all(n == len(library.encode(docs[d]["text"] or "", add_special_tokens=False)) for d, n in zip(rows.doc_id, rows.n_tokens, strict=True))
+    assert all((s, lg) == (docs[d]["source"] or "", docs[d]["lang"] or "") for d, s, lg in zip(rows.doc_id, rows.source, rows.lang, strict=True))
+    model, terms = mixing.topic_model(documents, TOKENS), mixing.Terms(*TOKENS)
+    assert all(t == f"{lg}/{mixing.nearest(terms.read([docs[d]['text'] or ''])[1], model.get(lg))[0]}" for d, t, lg in zip(rows.doc_id, rows.topic, rows.lang, strict=True))
+
     draw = documents.select("doc_id", (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", F.md5(F.coalesce("text", F.lit("")))), 11) * F.lit(2.0**-53)).alias("u")).collect()
+    probability, gaps = brute_probabilities(rows.source, rows.topic, rows.n_tokens)
+    assert rows.probability.tolist() == pytest.approx(probability, rel=1e-3)
     u = {r["doc_id"]: r["u"] for r in draw}
     assert rows.sampled.tolist() == [u[d] < p for d, p in zip(rows.doc_id, rows.probability, strict=True)]
     assert rows.gap.tolist() == pytest.approx([gaps[-1]] * len(rows), rel=1e-6)  # few documents: not all of the default targets can hold
     assert (rows.n_tokens * rows.probability).sum() / rows.n_tokens.sum() == pytest.approx(mixing.KEEP, abs=1e-4)
 
 
+def test_tokens_around_long_blanks():
+    from tokenizers import Tokenizer
+
+    library, terms = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json")), mixing.Terms(*TOKENS)
+    library.encode_special_tokens = True
+    for run in (" " * 12_000, "\n" * 12_000, " \t" * 6000, "\u3000" * 10_000):
+        for text in (f"one{run}two", f"one{run}", f"{run}two <|endoftext|>", run, f"a{run}.b{run}c", f"x{run}\u3000y"):
+            assert terms.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(terms.encode(" " * 3_000_000 + "a")) > 1
+
+
 def test_mixture_cases(odd, frame):
-    rows = mixing.mixed(odd, SP).collect()
+    rows = mixing.mixed(odd, TOKENS).collect()
     assert len(rows) == len(ODD) and all(0 < r["probability"] <= 1 for r in rows)
     assert len({r["sampled"] for r in rows if r["doc_id"] == 8}) == 1
-    assert mixing.mixed(frame([]), SP).count() == 0 and mixing.sample(frame([]), SP).count() == 0
-    assert {r["probability"] for r in mixing.mixed(frame([(1, None), (2, "")]), SP).collect()} == {mixing.KEEP}
-    assert mixing.sample(odd, SP).columns == odd.columns
+    assert mixing.mixed(frame([]), TOKENS).count() == 0 and mixing.sample(frame([]), TOKENS).count() == 0
+    assert {r["probability"] for r in mixing.mixed(frame([(1, None), (2, "")]), TOKENS).collect()} == {mixing.KEEP}
+    assert mixing.sample(odd, TOKENS).columns == odd.columns
 
 
 def test_sample_tells_rows_of_one_id_apart(frame):
     rows = [(None, f"text number {i} of the rows without an id") for i in range(60)] + [(5, f"another {i}") for i in range(60)]
-    kept = mixing.sample(frame(rows), SP, 0.5).collect()
+    kept = mixing.sample(frame(rows), TOKENS, 0.5).collect()
     assert 30 <= len(kept) <= 90 and len({r["text"] for r in kept}) == len(kept)
 
 
@@ -357,33 +377,3 @@ def test_stages_alone(spark, odd, frame, data):
         assert none.count() == 0 and out.count() <= len(ODD), name
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == odd.columns
-
-
-def test_pipeline_equals_brute_force(spark, data, documents):
-    """Each stage in plain Python, from the operators' definitions."""
-    import public_tokenizers as vocabularies
-
-    from lectern.llm import pieces
-
-    from .test_duplicates import brute_groups
-
-    docs = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
-    judged = {r["doc_id"]: r for r in quality.judged(documents).collect()}
-    docs = {d: t for d, t in docs.items() if judged[d]["kept"]}
-    assert not any(r["removed_lines"] for d, r in judged.items() if d in docs)
-    groups = brute_groups(list(docs.items()))
-    docs = {d: docs[d] for (d, _), c in groups.items() if d == c}
-    frame = spark.createDataFrame([(d, t, *(r["lang"], r["source"]), len(t)) for r in documents.collect() for d, t in [(r["doc_id"], docs.get(r["doc_id"]))] if t is not None], documents.schema)
-    for r in private.found_spans(frame).collect():
-        out, at = [], 0
-        for s in r["spans"]:
-            if s["s"] >= at:
-                out += [r["text"][at : s["s"]], f"[{private.KINDS[s['k']].upper()}]"]
-            at = max(at, s["e"])
-        docs[r["doc_id"]] = "".join(out) + r["text"][at:]
-    frame = spark.createDataFrame([(r["doc_id"], docs[r["doc_id"]], r["lang"], r["source"], len(docs[r["doc_id"]])) for r in documents.collect() if r["doc_id"] in docs], documents.schema)
-    kept = {r["doc_id"] for r in mixing.mixed(frame).collect() if r["sampled"]}
-    codec = pieces.Codec(vocabularies.path(pieces.MODEL))
-    expected = {d: codec.encode([t])[0] for d, t in docs.items() if d in kept}
-    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, data).collect()}
-    assert got == expected
