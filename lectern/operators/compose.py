@@ -66,6 +66,18 @@ def last_content(chunks: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "content"))).alias("retrieved"))
 
 
+#: Fixed value: the system prompt for a language model.
+SYSTEM_PROMPT = (
+    "You are a senior research analyst writing 6-9 minute audio briefs for a daily AI research "
+    "podcast. Write conversational, technically accurate narration grounded ONLY in the provided "
+    "paper content. Open with the single most surprising or counterintuitive result. Then explain: "
+    "(1) the problem the paper addresses and why it matters, (2) the core method or mechanism — "
+    "in plain language, but with specifics, no hand-waving, (3) the key quantitative results "
+    "and how they were measured, (4) limitations the authors call out or that follow from the "
+    "method, (5) what this means for the field — what becomes possible or what's now in question. "
+    "Use 800–1200 words. No bullet points, no markdown, no headers — pure spoken prose, broken "
+    "into 4-7 paragraphs. Do not invent results that aren't in the source material. Do not pad."
+)
 #: Fixed value: the prompt for a language model.
 PROMPT = """PAPER: {title}
 AUTHORS: {authors}
@@ -86,3 +98,17 @@ def prompt(title: Column, authors: Column, categories: Column, topics: Column, a
     line = F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, 5), ", ")).otherwise(NO_AUDIENCE)
     body = F.array_join(F.transform(F.slice(chunks, 1, 14), lambda c: F.concat(F.lit("["), c["section"], F.lit("]\n"), c["content"])), "\n\n")
     return filled(PROMPT, title=title, authors=F.array_join(authors, ", "), categories=F.array_join(categories, ", "), topics=line, abstract=abstract, chunks=body)
+
+
+#: Fixed value: the least number of characters of a question.
+SHORTEST_QUESTION = 3
+
+
+def asks(question: Column) -> Column:
+    """Whether a trimmed question is long enough to be sent."""
+    return F.length(F.trim(question)) >= SHORTEST_QUESTION
+
+
+def patched_turns(turns: DataFrame, answers: DataFrame, keys: list[str], text: str, answer: str) -> DataFrame:
+    """``turns`` with ``shown``: the answer that came for a turn, else its own trimmed text."""
+    return turns.join(answers.select(*keys, F.col(answer).alias("_answer")), keys, "left").withColumn("shown", F.coalesce("_answer", F.trim(text))).drop("_answer")

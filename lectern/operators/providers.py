@@ -46,6 +46,20 @@ def with_retry(call: Callable, provider: str, retries: int = RETRIES, backoff: f
     return run
 
 
+def post_json(provider: str, url: str, payload: dict, headers: dict[str, str], timeout: int, opener: Callable | None = None) -> bytes:
+    """Body of the answer to a JSON request; a refusal is a ProviderError with its status and the start of its body."""
+    import json
+    import urllib.error
+    import urllib.request
+
+    asked = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json", **headers}, method="POST")
+    try:
+        with (opener or urllib.request.urlopen)(asked, timeout=timeout) as r:
+            return r.read()
+    except urllib.error.HTTPError as e:
+        raise ProviderError(provider, e.code, e.read().decode("utf-8", "replace")) from e
+
+
 def _cascade(rows: DataFrame, inputs: list[str], providers: list[tuple[str, Callable]], kind: str) -> DataFrame:
     """``rows`` with ``_made`` of the first provider that answers, its ``provider`` label and the last ``error``."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

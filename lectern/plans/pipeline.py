@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.functions.vectors import hash_embedding
-from lectern.operators import affinity, chunks, compose, discover, retrieve
+from lectern.operators import affinity, chunks, compose, discover, providers, retrieve, sections
+from lectern.sources import files
+
+
+@dataclass(frozen=True)
+class Providers:
+    """What a run may call outside; without them it uses the native fallbacks.
+
+    ``writers`` are (label, prompt -> text) in order of preference, ``embed`` gives vectors of a
+    batch of texts, ``fetch`` a document's bytes and ``parse`` the text of its pages, ``speakers``
+    are (label, script -> audio), and ``voice`` is the label that episodes carry.
+    """
+
+    writers: list[tuple[str, Callable[[str], str]]] = field(default_factory=list)
+    embed: Callable[[list[str]], list[list[float]]] | None = None
+    fetch: Callable[[str], bytes | None] | None = None
+    parse: Callable[[bytes], list[str]] | None = None
+    speakers: list[tuple[str, Callable[[str], bytes]]] = field(default_factory=list)
+    voice: str = "demo"
 
 
 @dataclass(frozen=True)
@@ -49,38 +67,71 @@ def ranked(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Colum
     return discover.ranked(found, score, "ord", run.episodes)
 
 
-def run_tables(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Column) -> dict[str, DataFrame]:
+def with_sections(top: DataFrame, using: Providers) -> DataFrame:
+    """``top`` with ``sections`` of the cascade: given ones if long enough, else those of the fetched document, else the abstract."""
+    none = F.create_map().cast("map<string,string>")
+    given = F.coalesce("sections", none)
+    if using.fetch is None:
+        return top.withColumn("sections", sections.extracted(given, none, F.col("abstract")))
+    missing = top.where(~sections.has_sections(F.map_values(given)) & (F.coalesce("pdf_url", F.lit("")) != ""))
+    held = files.fetched(missing, "arxiv_id", "pdf_url", using.fetch).where("content is not null")
+    paged = files.text_lines(held, "arxiv_id", "content", using.parse)
+    lines = paged.select("arxiv_id", F.struct("page", "line_no").alias("ln"), text.strip(F.col("line")).alias("line")).where("line <> ''")
+    found = sections.section_texts(sections.labelled(lines, "arxiv_id"), "arxiv_id")
+    maps = found.groupBy("arxiv_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "text"))).alias("_found"))
+    joined = top.join(maps, "arxiv_id", "left")
+    return joined.withColumn("sections", sections.extracted(given, F.coalesce("_found", none), F.col("abstract"))).drop("_found")
+
+
+def run_tables(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Column, using: Providers | None = None) -> dict[str, DataFrame]:
     """Papers, chunks and episodes of a run, in the schemas of the store.  Ids are hashes of keys."""
+    using = using or Providers()
+    optional = lambda df, name, kind, default: df if name in df.columns else df.withColumn(name, default.cast(kind))
     top = ranked(candidates, scores, run, now)
-    paper_id = F.sha2("arxiv_id", 256)
-    parts = top.select(paper_id.alias("paper"), F.explode("sections").alias("section", "body"))
+    for name, kind, default in (("authors", "array<string>", F.array()), ("published_at", "string", F.col("published")), ("pdf_url", "string", F.lit(""))):
+        top = optional(top, name, kind, default)
+    top = with_sections(top, using).withColumn("paper", F.sha2("arxiv_id", 256))
+    parts = top.select("paper", F.explode("sections").alias("section", "body"))
     made = chunks.chunked(parts, "paper", "body", "section")
-    vector = hash_embedding(F.col("content")) if run.use_vectors else F.array().cast("array<double>")
-    held = made.withColumn("embedding", vector).withColumn("c", F.concat_ws("#", "section", F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
-    asked = top.select(paper_id.alias("paper"), F.concat_ws(" ", "title", "abstract").alias("question")).withColumn("vector", hash_embedding(F.col("question")))
+    asked = top.select("paper", F.concat_ws(" ", "title", "abstract").alias("question"))
+    if run.use_vectors:
+        held = providers.embedded(made, "content", using.embed)
+        asked = providers.embedded(asked, "question", using.embed).withColumnRenamed("embedding", "vector")
+    else:
+        empty = F.array().cast("array<double>")
+        held, asked = made.withColumn("embedding", empty), asked.withColumn("vector", empty)
+    held = held.withColumn("c", F.concat_ws("#", "section", F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
     best = retrieve.retrieved(held.select("paper", "c", "section", "content", "embedding"), asked, run.chunk_limit)
+    listed = best.groupBy("paper").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "section", "content"))), lambda x: F.struct(x["section"].alias("section"), x["content"].alias("content"))).alias("chunks"))
     picked = compose.last_content(best, "paper")
-    rows = top.withColumn("paper", paper_id).join(picked, "paper", "left")
+    rows = top.join(picked, "paper", "left").join(listed, "paper", "left")
     topics = F.array(*map(F.lit, run.topics)) if run.topics else F.array().cast("array<string>")
     none = F.create_map().cast("map<string,string>")
-    script = compose.script(F.col("title"), F.col("abstract"), F.coalesce("retrieved", none), F.col("sections"), topics)
-    scripts = rows.select("paper", "title", "categories", "score", script.alias("script"))
+    template = compose.script(F.col("title"), F.col("abstract"), F.coalesce("retrieved", none), F.col("sections"), topics)
+    asked_for = compose.prompt(F.col("title"), F.coalesce("authors", F.array().cast("array<string>")), F.col("categories"), topics, F.col("abstract"), F.coalesce("chunks", F.array().cast("array<struct<section:string,content:string>>")))
+    drafts = rows.select("paper", "title", "categories", "score", template.alias("template"), *([asked_for.alias("prompt")] if using.writers else []))
+    scripts = providers.written(drafts, "prompt", "template", using.writers).withColumnRenamed("text", "script")
     checked = compose.grounded(scripts.select("paper", "script"), made.select("paper", "content"), "paper")
     at = now.cast("string")
     made_episodes = scripts.join(checked, "paper").select(
         F.sha2(F.concat_ws("#", "paper", at), 256).alias("id"), F.col("paper").alias("paper_id"), F.concat("title", F.lit(": Audio Brief")).alias("title"),
         text.description(F.col("script")).alias("description"), text.topic_of(topics, F.col("categories")).alias("topic"), F.round("score", 4).alias("score"),
-        "script", "qa_status", "qa_notes", text.duration_secs(F.col("script")).alias("duration_secs"), F.lit("demo").alias("tts_provider"), at.alias("created_at"),
+        "script", "qa_status", "qa_notes", text.duration_secs(F.col("script")).alias("duration_secs"), F.lit(using.voice).alias("tts_provider"), at.alias("created_at"),
     )
-    optional = lambda name, kind, default: (F.col(name) if name in top.columns else default).cast(kind).alias(name)
     papers = top.select(
-        paper_id.alias("id"), "arxiv_id", "title", optional("authors", "array<string>", F.array().cast("array<string>")), "abstract", "categories", optional("published_at", "string", F.col("published")),
-        optional("pdf_url", "string", F.lit("")), F.col("citation_count").cast("int").alias("citation_count"), F.round("score", 4).alias("score"),
+        F.col("paper").alias("id"), "arxiv_id", "title", F.col("authors").cast("array<string>").alias("authors"), "abstract", "categories", F.col("published_at").cast("string").alias("published_at"),
+        F.col("pdf_url").cast("string").alias("pdf_url"), F.col("citation_count").cast("int").alias("citation_count"), F.round("score", 4).alias("score"),
     )
     stored = held.select("id", F.col("paper").alias("paper_id"), "section", "chunk_index", "content", "token_count", "embedding")
     return {"papers": papers, "chunks": stored, "episodes": made_episodes}
 
 
+def spoken(episodes: DataFrame, using: Providers | None = None) -> DataFrame:
+    """(id, audio, content_type, provider, error) of episodes (id, script, title): spoken, else the preview tone; loudness and fades applied."""
+    using = using or Providers()
+    return files.post_processed(providers.spoken(episodes, "id", "script", "title", using.speakers), "id")
+
+
 def episodes(candidates: DataFrame, scores: DataFrame | None, run: Run, now: Column) -> DataFrame:
     """Episodes of a run, with the key of their paper."""
     made = run_tables(candidates, scores, run, now)

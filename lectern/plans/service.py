@@ -8,12 +8,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from lectern.functions.text import excerpt
+from lectern.functions.text import cache_key, excerpt
 from lectern.functions.times import parsed_iso
-from lectern.functions.vectors import hash_embedding
-from lectern.operators import affinity, feed, listing, retrieve, status
-from lectern.plans.pipeline import Run, run_tables
+from lectern.operators import affinity, feed, listing, providers, retrieve, status
+from lectern.plans.pipeline import Providers, Run, run_tables, spoken
 from lectern.sources.config import Settings, check_event, check_question, check_range
+from lectern.sources.files import AudioCache
 from lectern.sources.store import Store
 
 ANSWER_CHUNKS, WINDOWS = 4, (1, 365)
@@ -22,12 +22,20 @@ ANSWER_CHUNKS, WINDOWS = 4, (1, 365)
 class Service:
     """Requests against a ``Store``.  ``discover`` gives candidates (as ``ranked`` reads them) for topics and a window."""
 
-    def __init__(self, store: Store, settings: Settings, discover, base: str = "http://localhost"):
+    def __init__(self, store: Store, settings: Settings, discover, base: str = "http://localhost", using: Providers | None = None, cache: AudioCache | None = None):
         self.store, self.settings, self.discover, self.base = store, settings, discover, base.rstrip("/")
-        self.runs: dict = {"running": False, "last_count": 0, "error": None}
+        self.using, self.cache = using or Providers(), cache or AudioCache(store.spark, f"{store.root}/audio")
+        self.runs: dict = {"running": False, "started_at": None, "completed_at": None, "error": None, "last_error": None, "last_count": 0, "window_days": None}
 
     # reading
 
+    def health(self, now: dt.datetime | None = None) -> dict[str, str]:
+        return {"status": "ok", "timestamp": (now or dt.datetime.now(dt.UTC)).isoformat()}
+
+    def state(self) -> dict:
+        """State of the runs of this service."""
+        return dict(self.runs)
+
     def _listed(self) -> DataFrame:
         papers = self.store.read("papers").withColumnRenamed("id", "paper_id").drop("score", "title")
         return listing.with_papers(self.store.read("episodes"), papers)
@@ -55,7 +63,8 @@ class Service:
             return None
         chunks = listing.by_id(self.store.read("chunks"), "paper_id", found["paper_id"])
         rows = chunks.select(F.col("paper_id").alias("paper"), F.struct("section", "chunk_index").alias("c"), "section", "content", "embedding")
-        asked = self.store.spark.range(1).select(F.lit(found["paper_id"]).alias("paper"), F.lit(question).alias("question")).withColumn("vector", hash_embedding(F.col("question")))
+        asked = self.store.spark.range(1).select(F.lit(found["paper_id"]).alias("paper"), F.lit(question).alias("question"))
+        asked = providers.embedded(asked, "question", self.using.embed).withColumnRenamed("embedding", "vector")
         best = retrieve.retrieved(rows, asked, ANSWER_CHUNKS)
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "section", "content"))), lambda x: F.struct(x["section"].alias("section"), x["content"].alias("content")))
         cited = F.transform("chunks", lambda x: F.struct(x["section"].alias("section"), excerpt(x["content"]).alias("excerpt")))
@@ -63,6 +72,20 @@ class Service:
         row = best.agg(ordered.alias("chunks")).where(F.size("chunks") > 0).select(answer.alias("answer"), cited.alias("citations")).first()
         return None if row is None else {"answer": row["answer"], "citations": [c.asDict() for c in row["citations"]]}
 
+    def audio(self, episode: str, at: dt.datetime | None = None) -> Row | None:
+        """(key, content_type, audio) of an episode: from the cache, else spoken, mastered and cached; None if it is unknown."""
+        rows = listing.by_id(self.store.read("episodes"), "id", episode).select("id", "script", "title", cache_key(F.lit(self.using.voice), F.col("script")).alias("key"))
+        found = rows.first()
+        if found is None:
+            return None
+        held = self.cache.get(found["key"], at).first()
+        if held is None:
+            made = self.store.staged(spoken(rows.select("id", "script", "title"), self.using).select(F.lit(found["key"]).alias("key"), "content_type", "audio"))
+            self.cache.put(made.withColumn("mtime", F.current_timestamp() if at is None else F.lit(at)))
+            held = made.first()
+            self.store.unstage(made)
+        return held
+
     def topics(self) -> list[str]:
         return [r["topic"] for r in self.store.read("topics").orderBy("ord").collect()]
 
@@ -92,23 +115,36 @@ class Service:
         return self.store.add_feedback(event)
 
     def run(self, now: dt.datetime, window_days: int | None = None) -> int:
-        """Discover, rank and write; the number of new episodes.  Affinity comes from all feedback so far."""
+        """Discover, rank and write; the number of new episodes.  Affinity comes from all feedback so far.
+
+        Candidates are asked for once and staged, and so is each table, so that all fit together.
+        """
         days = check_range(window_days or self.settings.window_days, *WINDOWS)
         topics = self.topics() or self.settings.topics
-        self.runs |= {"running": True, "error": None}
+        self.runs |= {"running": True, "started_at": now.isoformat(), "error": None, "window_days": days}
         try:
             events = self.store.read("feedback").select("episode_id", "event_type", parsed_iso(F.col("created_at")).cast("timestamp_ntz").alias("ts"))
             known = self.store.read("episodes").select(F.col("id").alias("episode_id"), "topic")
             at = F.lit(now).cast("timestamp_ntz")
             scores = None if events.isEmpty() else affinity.scores(events, known, at)
-            made = run_tables(self.discover(topics, days), scores, replace(Run(topics), episodes=self.settings.episodes, window_days=days), at)
-            count = made["episodes"].count()
-            for name, rows in made.items():
+            candidates = self.store.staged(self.discover(topics, days))
+            made = run_tables(candidates, scores, replace(Run(topics), episodes=self.settings.episodes, window_days=days), at, self.using)
+            held = {name: self.store.staged(rows) for name, rows in made.items()}
+            count = held["episodes"].count()
+            for name, rows in held.items():
                 self.store.upsert(name, rows)
-            self.runs |= {"last_count": count}
+            self.store.unstage(candidates, *held.values())
+            self.runs |= {"last_count": count, "last_error": None}
             return count
         except Exception as e:
-            self.runs |= {"error": str(e)[: status.ERROR_CLIP]}
+            self.runs |= {"error": str(e)[: status.ERROR_CLIP], "last_error": str(e)[: status.ERROR_CLIP]}
             raise
         finally:
-            self.runs |= {"running": False}
+            self.runs |= {"running": False, "completed_at": dt.datetime.now(dt.UTC).isoformat()}
+
+    def trigger(self, now: dt.datetime, window_days: int | None = None) -> dict:
+        """A run unless one is under way: whether it was started, and the state."""
+        if self.runs["running"]:
+            return {"queued": False, "running": True, "state": self.state()}
+        self.run(now, window_days)
+        return {"queued": True, "running": False, "state": self.state()}

@@ -46,7 +46,12 @@ def _fetch(url: str) -> bytes:
 
 
 class AtomSource(DataSource):
-    """``spark.read.format("atom").option("base", ...).load()``; ``topic = '...'`` filters are sent to the service."""
+    """``spark.read.format("atom").options(base=..., topics="a,b", window=..., limit=...).load()``.
+
+    One request, as the service takes it: any of at most five topics, newest first, one limit for
+    all.  Rows are raw entries, as ``candidates`` reads them, with the topics asked for; a filter
+    ``topic = '...'`` replaces these in the request.
+    """
 
     fetch: Callable[[str], bytes] = staticmethod(_fetch)
 
@@ -55,7 +60,7 @@ class AtomSource(DataSource):
         return "atom"
 
     def schema(self) -> str:
-        return "topic string, arxiv_id string, title string, summary string, published string"
+        return f"topic string, {ENTRY}"
 
     def reader(self, schema) -> DataSourceReader:
         return AtomReader(self.options, type(self).fetch)
@@ -63,7 +68,8 @@ class AtomSource(DataSource):
 
 class AtomReader(DataSourceReader):
     def __init__(self, options, fetch: Callable[[str], bytes]):
-        self.options, self.fetch, self.topics = options, fetch, None
+        self.options, self.fetch = options, fetch
+        self.topics = [t.strip() for t in options.get("topics", "").split(",") if t.strip()]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -72,17 +78,19 @@ class AtomReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        topics = self.topics or [t for t in self.options.get("topics", "").split(",") if t]
-        return [InputPartition(t) for t in topics[:MOST_TOPICS]]
+        return [InputPartition(tuple(self.topics[:MOST_TOPICS]))] if self.topics else []
 
     def read(self, partition: InputPartition):
         import xml.etree.ElementTree as tree
 
         atom = "{http://www.w3.org/2005/Atom}"
-        url = request([partition.value], self.options.get("window", ""), int(self.options.get("limit", "10")), self.options["base"])
+        url = request(list(partition.value), self.options.get("window", ""), int(self.options.get("limit", "10")), self.options["base"])
         for e in tree.fromstring(self.fetch(url)).iter(f"{atom}entry"):
-            text = lambda n: (e.findtext(f"{atom}{n}") or "").strip()  # noqa: B023, E731
-            yield (partition.value, text("id").rsplit("/", 1)[-1], text("title"), text("summary"), text("published"))
+            text = [e.findtext(f"{atom}{n}") or "" for n in ("id", "title", "summary", "published")]
+            authors = [((a.findtext(f"{atom}name") or "").strip(),) for a in e.iter(f"{atom}author")]
+            categories = [(c.get("term"),) for c in e.iter(f"{atom}category")]
+            links = [(x.get("title"), x.get("href")) for x in e.iter(f"{atom}link")]
+            yield (",".join(partition.value), *text, authors, categories, links)
 
 
 def live_or_demo(live: Callable[[], DataFrame] | None, demo: DataFrame, topics: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """The library of papers, chunks, episodes and feedback as parquet tables, and its JSON form.
 
-Tables are written whole to a new version folder; a small pointer file names the current one.  A
-reader sees either the old or the new version.
+Keyed tables are written whole to a new version folder; a small pointer file names the current one
+and the one before.  A reader sees either of these two; older ones are deleted.  Feedback is only
+appended to.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from lectern.sources.schema import STORE, TABLES
 KEYS = {"papers": "arxiv_id", "chunks": "id", "episodes": "id"}
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a JSON document with one member a table; a missing file gives empty tables."""
     jvm = spark.sparkContext._jvm
@@ -44,14 +50,18 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _current(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
+        """Folders of the current version and the one before."""
         try:
             rows = self.spark.read.text(f"{self.root}/{name}.current").collect()
         except Exception as e:  # a table that was never written
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return None
-        return rows[0][0] if rows else None
+            return []
+        return rows[0][0].split("\t") if rows else []
+
+    def _current(self, name: str) -> str | None:
+        return next(iter(self._versions(name)), None)
 
     def read(self, name: str) -> DataFrame:
         at = self._current(name)
@@ -61,7 +71,10 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         at = f"{self.root}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(at)
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.current")
+        held = self._versions(name)
+        self.spark.createDataFrame([("\t".join([at, *held[:1]]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.current")
+        for old in held[1:]:
+            delete(self.spark, old)
 
     def upsert(self, name: str, new: DataFrame) -> None:
         """Replace rows by key, or append where the key is new."""
@@ -70,10 +83,25 @@ class Store:
         self.write(name, merged.select(*columns))
 
     def add_feedback(self, events: DataFrame) -> int:
-        """Append; the number of all events."""
-        self.write("feedback", self.read("feedback").unionByName(events))
+        """Append; the number of all events, which the files' footers give."""
+        at = self._current("feedback")
+        if at is None:
+            self.write("feedback", events)
+        else:
+            events.write.mode("append").parquet(at)
         return self.read("feedback").count()
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written to a folder of the store and read again: evaluated once, whatever its source."""
+        at = f"{self.root}/staged-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def unstage(self, *held: DataFrame) -> None:
+        for df in held:
+            for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                delete(self.spark, folder)
+
     def set_topics(self, topics: list[str]) -> list[str]:
         kept = self.spark.range(1).select(F.posexplode(cleaned_topics(F.array(*map(F.lit, topics)) if topics else F.array().cast("array<string>"))).alias("ord", "topic"))
         self.write("topics", kept)

@@ -5,9 +5,11 @@ import io
 import json
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import audio
 from lectern.sources import atom, config, files, store
 from lectern.sources.catalog import catalog
 
@@ -35,8 +37,11 @@ def test_atom_data_source_pushes_the_topic(spark):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Fixed)
     rows = spark.read.format("atom").options(base="http://x.org/q", window="w", topics="a,b").load()
-    assert rows.count() == 2
-    assert [(r["topic"], r["arxiv_id"]) for r in rows.where("topic = 'robots'").collect()] == [("robots", "2604.1")]
+    assert rows.count() == 1  # one request for all topics
+    found = rows.where("topic = 'robots'")
+    assert [(r["topic"], r["id"]) for r in found.collect()] == [("robots", "http://x.org/abs/2604.1")]
+    one = atom.candidates(found).first()
+    assert (one["arxiv_id"], one["authors"], one["categories"], one["pdf_url"]) == ("2604.1", ["Ann", "Bob"], ["cs.CL"], "http://x.org/pdf/2604.1")
 
 
 def test_request():
@@ -101,12 +106,66 @@ def test_wav(spark):
 
 
 def test_audio_cache(spark, tmp_path):
-    c = files.AudioCache(spark, str(tmp_path / "c"), cap=10)
+    c = files.AudioCache(spark, str(tmp_path / "c"), cap=14)
     row = lambda key, n, day: spark.createDataFrame([(key, "audio/wav", bytearray(n), dt.datetime(2024, 1, day))], files.AudioCache.SCHEMA)
     assert c.get("a").count() == 0
     c.put(row("a", 6, 1))
     c.put(row("b", 6, 2))
-    assert c.get("a").count() == 0 and c.get("b").count() == 1
+    assert len(c.get("a", dt.datetime(2024, 1, 3)).first()["audio"]) == 6  # a use: now b is the oldest
+    c.put(row("d", 7, 4))
+    assert {r["key"] for r in c._blobs().collect()} == {"a", "d"}
+    assert not [p for p in (tmp_path / "c" / "blobs").iterdir() if p.name == "key=b"]
+    c.put(row("a", 3, 5))
+    assert len(c.get("a").first()["audio"]) == 3 and c._blobs().count() == 2
+
+
+def test_old_versions_go(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    frame = lambda key: spark.createDataFrame([("i", key, "t", [], "", [], "", "", 0, 0.0)], store.TABLES["papers"])
+    for i in range(4):
+        s.write("papers", frame(str(i)))
+    assert s.read("papers").first()["arxiv_id"] == "3" and len([p for p in tmp_path.iterdir() if p.name.startswith("papers-")]) == 2
+    event = spark.createDataFrame([("e", "x", "play", 0, "2024")], store.TABLES["feedback"])
+    s.add_feedback(event)
+    at = s._current("feedback")
+    assert s.add_feedback(event) == 2 and s._current("feedback") == at
+
+
+def test_fetched(spark):
+    rows = spark.createDataFrame([(1, "short"), (2, "long"), (3, "fails"), (4, None)], "k int, url string")
+
+    def get(url):
+        if url == "fails":
+            raise OSError
+        return b"x" * (5 if url == "short" else 50)
+
+    assert {r["k"]: r["content"] and len(r["content"]) for r in files.fetched(rows, "k", "url", get, 20).collect()} == {1: 5, 2: None, 3: None, 4: None}
+
+
+def test_download(tmp_path):
+    (tmp_path / "f").write_bytes(b"y" * 30)
+    url = (tmp_path / "f").as_uri()
+    assert files.download(url) == b"y" * 30 and files.download(url, 29) is None
+
+
+def test_mastering(spark):
+    t = np.arange(22_050) / 22_050
+    quiet, loud = (a * np.sin(2 * np.pi * 440 * t) for a in (3000, 20_000))
+    rows = spark.createDataFrame([(0, quiet.astype(int).tolist()), (1, loud.astype(int).tolist()), (2, [0] * 500), (3, [])], "k int, s array<smallint>")
+    got = {r["k"]: r for r in rows.select("k", audio.dbfs(F.col("s")).alias("db"), audio.mastered(F.col("s")).alias("m")).collect()}
+    for k, x in ((0, quiet), (1, loud)):
+        db = 20 * np.log10(np.sqrt(np.mean(x.astype(int).astype(float) ** 2)) / 32768)
+        assert got[k]["db"] == pytest.approx(db)
+        middle = x.astype(int)[6000:7000] * 10 ** (np.clip(-16 - db, -8, 8) / 20)
+        assert np.abs(np.array(got[k]["m"])[6000:7000] - middle).max() <= 1.5
+        assert got[k]["m"][0] == 0 and got[k]["m"][-1] == 0
+    assert got[2]["m"] == [0] * 500 and got[3]["m"] == [] and got[3]["db"] is None
+
+
+def test_catalog_of_our_own(spark):
+    rows = {r["arxiv_id"]: r for r in catalog(spark).collect()}
+    assert len({r["sections"]["abstract"] for r in rows.values()}) == 5
+    assert all(any(len(t) > 200 for t in r["sections"].values()) and r["abstract"] == r["sections"]["abstract"] for r in rows.values())
 
 
 def test_settings():
@@ -124,3 +183,4 @@ def test_catalog(spark):
     rows = catalog(spark)
     assert rows.count() == 5
     assert rows.select(F.min(F.size("sections"))).first()[0] == 5
+    assert rows.select("arxiv_id").distinct().count() == 5
