@@ -84,7 +84,9 @@ def joined_lines(x: Column) -> Column:
 
 def header_label(line: Column) -> Column:
     """Section that a line opens; ``''`` for a stop line; null for any other."""
-    found = F.when(line.rlike("|".join(f"(?:{p[4:]})" for p in STOP_HEADERS).join(["(?i)", ""])), F.lit(""))
+    found = F.when(F.lit(False), F.lit(""))
+    for pattern in STOP_HEADERS:
+        found = found.when(line.rlike(pattern), F.lit(""))
     for label, pattern in SECTION_HEADERS:
         found = found.when((F.length(line) <= HEADER_LIMIT) & line.rlike(pattern), F.lit(label))
     return found

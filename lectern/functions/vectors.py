@@ -25,8 +25,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hash_embedding(text: Column, size: int = 48) -> Column:
-    """Counts of hashed tokens, scaled to length one; all zeros without tokens."""
-    buckets = F.transform(embed_tokens(text), lambda t: hash_bucket(t, size))
-    ids = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-    counts = let(buckets, lambda b: F.transform(ids, lambda k: (F.size(b) - F.size(F.array_remove(b, k))).cast("double")))
+    """Counts of hashed tokens, scaled to length one; all zeros without tokens.
+
+    A token's bucket becomes one letter of a string; how much shorter the string is without a letter is its count.
+    """
+    if not 0 < size <= 80:
+        raise ValueError("a bucket is written as one printable character, of which there are 80 from '0'")
+    letters = F.array_join(F.transform(embed_tokens(text), lambda t: F.char(hash_bucket(t, size) + 48)), "")
+    counts = let(letters, lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(chr(48 + k))))).cast("double") for k in range(size)]))
     return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))))

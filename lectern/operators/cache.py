@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.ranges import spread
-
 CAP = 500 * 1024 * 1024
+STEPS, FEW = 1024, 20_000
 
 
 def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "key") -> DataFrame:
-    """Files (key, size, mtime) to delete: oldest first, while the rest exceeds ``cap``.
+    """Files (key, size, mtime) to delete: oldest first, while the rest exceeds ``cap``; ties go by key.
 
-    A file goes if it and all newer files exceed the cap.  The running sum is made in two steps, by
-    ranges of time and inside them, so that no task sees all files.
+    A file goes if it and all newer files exceed the cap.  That is all files before some moment,
+    which is narrowed down by sums over STEPS equal spans of time, a pass each: only partial sums are
+    shuffled, and a row a span goes to the driver.  Running sums are made for the last span alone,
+    which has at most FEW files, or those of one microsecond.
     """
     at = F.unix_micros(F.col(order).cast("timestamp"))
-    parts = 3 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = files.withColumn("_r", spread(files, at, parts))
-    sums = {r["_r"]: r["s"] for r in ranged.groupBy("_r").agg(F.sum("size").alias("s")).collect()}  # a row a range
-    newer, above = {}, 0
-    for r in sorted(sums, reverse=True):
-        newer[r] = above
-        above += sums[r]
-    if not newer:
+    rows = files.withColumn("_at", F.coalesce(at, F.lit(0).cast("long")))
+    edge = rows.agg(F.min("_at"), F.max("_at"), F.count("*")).first()
+    if not edge[2]:
         return files.limit(0)
-    above_ = files.sparkSession.createDataFrame(list(newer.items()), "_r int, _above long")
-    rest = Window.partitionBy("_r").orderBy(order, key).rowsBetween(0, Window.unboundedFollowing)
-    summed = ranged.withColumn("_rest", F.sum("size").over(rest)).join(F.broadcast(above_), "_r")
-    return summed.where(F.col("_rest") + F.col("_above") > cap).select(*files.columns)
+    (low, high, n), newer = edge, 0
+    while n > FEW and high > low:
+        width = -(-(high - low + 1) // STEPS)
+        span = F.floor((F.col("_at") - low) / width).cast("int").alias("span")
+        sums = rows.where(F.col("_at").between(low, high)).groupBy(span).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()  # a row a span
+        for r in sorted(sums, key=lambda r: -r["span"]):
+            if newer + r["s"] > cap:
+                low, high, n = low + r["span"] * width, min(high, low + (r["span"] + 1) * width - 1), r["n"]
+                break
+            newer += r["s"]
+        else:
+            return rows.where(F.col("_at") < low).select(*files.columns)
+    rest = Window.partitionBy(F.lit(0)).orderBy(F.col("_at").desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.where(F.col("_at").between(low, high)).withColumn("_rest", F.sum("size").over(rest)).where(F.col("_rest") + newer > cap)
+    return rows.where(F.col("_at") < low).select(*files.columns).union(last.select(*files.columns))
 
 
 def total_bytes(files: DataFrame) -> DataFrame:

@@ -66,9 +66,23 @@ def dashboard(episodes: DataFrame, topics: int) -> DataFrame:
 
 
 def running_index(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """``rows`` with ``index`` from 0, running on from group to group; only a row a group meets in one task."""
+    """``rows`` with ``index`` from 0, running on from group to group.
+
+    Meant for a menu's groups: only a row a group meets in one task, in a window by group name.
+    """
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     return rows.withColumn("index", inside).join(offsets, group).withColumn("index", F.col("index") + F.col("_before")).drop("_before")
+
+
+def grouped_commands(rows: DataFrame, wanted: str, title: str, kind: str, order: str) -> DataFrame:
+    """(kind, n, first): the groups of the commands whose title contains the trimmed words, without regard to case."""
+    hit = rows.where(contains_fold(F.col(title), F.trim(F.lit(wanted))))
+    return hit.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+
+
+def not_taken(offered: DataFrame, taken: DataFrame, column: str) -> DataFrame:
+    """Distinct values of ``offered`` that ``taken`` has not."""
+    return offered.select(column).distinct().join(taken.select(column).distinct(), column, "left_anti")

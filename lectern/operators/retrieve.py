@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
 from lectern.functions.text import filled, first_sentence, sparse_tokens, strip
 from lectern.functions.vectors import cosine
 
@@ -43,26 +44,40 @@ def top_k(rows: DataFrame, by: str, score: str, order: str, k: int) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def term_map(x: Column) -> Column:
+    """Map token -> count of a text's sparse tokens, from the runs of the sorted tokens."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        sizes = lambda at: F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i)
+        pairs = let(starts, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), sizes(at)))
+        return F.when(F.size(s) == 0, F.create_map().cast("map<string,int>")).otherwise(pairs)
+
+    return let(F.array_sort(sparse_tokens(x)), counted)
+
+
+def sparse_similarity(a: Column, b: Column) -> Column:
+    """Cosine of two term maps; 0 where one is empty."""
+    square = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda s, n: s + n.cast("long") * n)
+    dot = F.aggregate(F.map_entries(b), F.lit(0).cast("long"), lambda s, e: s + e["value"].cast("long") * F.coalesce(F.try_element_at(a, e["key"]), F.lit(0)))
+    return F.coalesce(F.try_divide(dot, F.sqrt(square(a)) * F.sqrt(square(b))), F.lit(0.0))
+
+
 def scored(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Chunks of each paper with the ``score`` for its question.
 
     ``chunks``: paper, c (orders ties), section, content, embedding.  ``questions``: paper, question, vector.
     A paper's chunks are compared by vectors only if all have one and the question has, too; one
-    chunk without makes the whole paper's comparison sparse.
+    chunk without makes the whole paper's comparison sparse.  That flag is a sum by paper, without
+    the texts; similarities are made in the row in which a chunk has met its question.
     """
-    whole = Window.partitionBy("paper")
-    met = chunks.join(questions, "paper")
     present = lambda v: F.coalesce(F.size(v) > 0, F.lit(False))
-    met = met.withColumn("dense", F.bool_and(present(F.col("embedding"))).over(whole) & present(F.col("vector")))
-    dense = met.where("dense").withColumn("similarity", cosine(F.col("embedding"), F.col("vector")))
-    sparse = met.where("not dense")
-    q = term_counts(sparse.select(F.col("paper").alias("q"), "question").distinct(), "q", "question").withColumn("paper", F.col("q"))
-    c = sparse.select(F.struct("paper", "c").alias("c"), "paper", "content").select("c", "paper", F.explode(sparse_tokens(F.col("content"))).alias("token"))
-    found = sparse_cosine(q, c.groupBy("c", "paper", "token").agg(F.count("*").alias("tf")), ["paper"])
-    similar = found.select(F.col("c.paper").alias("paper"), F.col("c.c").alias("c"), "similarity")
-    filled = sparse.join(similar, ["paper", "c"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    both = dense.unionByName(filled.select(*dense.columns))
-    return both.withColumn("score", F.col("similarity") + bonus(F.col("section"))).drop("vector")
+    whole = chunks.groupBy("paper").agg(F.bool_and(present(F.col("embedding"))).alias("_whole"))
+    asked = questions.join(whole, "paper").withColumn("dense", F.col("_whole") & present(F.col("vector"))).drop("_whole")
+    asked = asked.withColumn("_terms", F.when(~F.col("dense"), term_map(F.col("question"))))
+    met = chunks.join(asked, "paper")
+    similar = F.when(F.col("dense"), cosine(F.col("embedding"), F.col("vector"))).otherwise(let(term_map(F.col("content")), lambda m: sparse_similarity(m, F.col("_terms"))))
+    return met.withColumn("similarity", similar).withColumn("score", F.col("similarity") + bonus(F.col("section"))).drop("vector", "_terms")
 
 
 def retrieved(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:

@@ -40,3 +40,9 @@ def merged(old: Column, new: Column) -> Column:
     """Maps merged; the new value of a key wins."""
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
     return F.map_concat(kept, new)
+
+
+def run_states(events: DataFrame, key: str, state: str, at: str, tie: str) -> DataFrame:
+    """(key, state, at, runs): the last state of each run, by time and then ``tie``, and the number of its events."""
+    last = F.max_by(state, F.struct(at, tie))
+    return events.groupBy(key).agg(last.alias("state"), F.max(at).alias("at"), F.count("*").alias("runs"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import HEADER_LIMIT, SECTION_HEADERS, STOP_HEADERS
+
 NOW = "2024-01-31 00:00:00"
 TOPICS = ["the entre", "ment que", "src1 and"]
 #: Terms of TOPICS.
@@ -81,16 +83,31 @@ EPISODES = rf"""episodes_ AS (
   FROM documents)"""
 
 
-def marked_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, ln, line, marker): lines with header markers by position, as the prose has none."""
+#: Header lines, good and bad, that stand in for some lines of a text, as the prose has none.
+HEADERS = [
+    "Abstract", "1. Introduction", "1introduction", "2 introduction", "2. Related Work", "background", "PRIOR WORK", "3 Methods", "Approach", "12. methodology", "Model", "4. Experiments", "setup", "Evaluation",
+    "5 Results", "3. Findings", "result", "Discussion", "6. analysis", "Limitations", "7 limitation", "Conclusions", "8. Summary", "conclusion", "References", "acknowledgement", "Acknowledgements", "Bibliography",
+    "Appendix", "appendix B", "Appendix 2", "Results and more", "the methods", "   Results   ", "9.9 results", "7                                                               results",
+]
+
+
+def headed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ln, line): all lines of all texts, every fifth one in place of a header."""
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    ln = F.col("ln")
-    return rows.withColumn("marker", F.when(ln % 7 == 0, "abstract").when(ln % 7 == 3, "results").when(ln % 11 == 5, ""))
+    header = F.element_at(F.array(*map(F.lit, HEADERS)), ((F.col("doc_id") * 7 + F.col("ln")) % len(HEADERS) + 1).cast("int"))
+    return rows.withColumn("line", F.when(F.col("ln") % 5 == 0, header).otherwise(F.col("line")))
+
+
+def _marker() -> str:
+    tests = [f"WHEN regexp_matches(line, '{p}') THEN ''" for p in STOP_HEADERS]
+    tests += [f"WHEN length(line) <= {HEADER_LIMIT} AND regexp_matches(line, '{p}') THEN '{label}'" for label, p in SECTION_HEADERS]
+    return "CASE " + " ".join(tests) + " END"
 
 
-LINES = r"""lines AS (
-  SELECT doc_id, ln, line, CASE WHEN ln % 7 = 0 THEN 'abstract' WHEN ln % 7 = 3 THEN 'results' WHEN ln % 11 = 5 THEN '' END AS marker
-  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+LINES = rf"""lines AS (
+  SELECT doc_id, ln, line, {_marker()} AS marker
+  FROM (SELECT doc_id, ln, CASE WHEN ln % 5 = 0 THEN [{", ".join(f"'{h}'" for h in HEADERS)}][(doc_id * 7 + ln) % {len(HEADERS)} + 1] ELSE line END AS line
+    FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))))"""
 
 CHUNKS = r"""chunks AS (
   SELECT doc_id, i AS chunk_index, ws[i * 86 + 1 : i * 86 + 110] AS w

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import audio, text, times, vectors
-from lectern.operators import affinity, ann, cache, chunks, compose, discover, feed, listing, retrieve, sections, status, upsert
-from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, marked_lines, now, papers, table
+from lectern.operators import affinity, ann, cache, chunks, compose, dense, discover, feed, listing, retrieve, sections, status, upsert
+from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, headed_lines, now, papers, table
+from lectern.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Query vectors that are sent to every task; more are shuffled.
-MOST_BROADCAST = 10_000
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -123,9 +123,9 @@ def topics_parse(s, d):
     return docs(s, d).select("doc_id", F.array_join(text.parsed_list(F.concat("lang", F.lit(" , ,"), "source", F.lit(",  x "))), "|").alias("topics"))
 
 
-@query(rf"""WITH {PAPERS} SELECT id, printf('%.3f', velocity / 7) AS shown, greatest(1, floor(citations::DOUBLE / 60 + 0.5))::BIGINT AS minutes, replace(url_encode(title), '%20', '+') AS encoded FROM papers WHERE regexp_matches(title, '^[A-Za-z0-9 .,]*$')""")
+@query(rf"""WITH {PAPERS} SELECT id, printf('%.3f', velocity / 7) AS shown, greatest(1, floor(citations::DOUBLE / 60 + 0.5))::BIGINT AS minutes, replace(replace(replace(url_encode(title), '%20', '+'), '%2A', '*'), '~', '%7E') AS encoded FROM papers""")
 def score_display(s, d):
-    p = papers(s, d).where(F.col("title").rlike("^[A-Za-z0-9 .,]*$"))
+    p = papers(s, d)
     return p.select("id", text.score_display(F.col("velocity") / 7).alias("shown"), text.minutes(F.col("citations")).cast("long").alias("minutes"), F.url_encode("title").alias("encoded"))
 
 
@@ -140,14 +140,9 @@ def paragraph_groups(s, d):
     return docs(s, d).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("n", "paragraph")).withColumn("n", F.col("n").cast("long"))
 
 
-@query(r"""SELECT doc_id, ln, CASE WHEN regexp_matches(t, '(?i)^\s*references\s*$') THEN '' WHEN regexp_matches(t, '(?i)^\s*(\d+\.?\s*)?(results?|findings?)\s*$') THEN 'results' WHEN regexp_matches(t, '(?i)^\s*(1\.?\s*)?introduction\s*$') THEN 'introduction' END AS label
-FROM (SELECT doc_id, ln, CASE doc_id % 5 WHEN 0 THEN '3. Findings' WHEN 1 THEN 'References' WHEN 2 THEN '1introduction' WHEN 3 THEN '2 introduction' ELSE left(line, 80) END AS t
-      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents) WHERE ln < 2)""")
+@query(f"WITH {LINES} SELECT doc_id, ln, marker AS label FROM lines")
 def header_classify(s, d):
-    rows = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where("ln < 2")
-    kind = F.col("doc_id") % 5
-    t = F.when(kind == 0, "3. Findings").when(kind == 1, "References").when(kind == 2, "1introduction").when(kind == 3, "2 introduction").otherwise(F.left("line", F.lit(80)))
-    return rows.select("doc_id", F.col("ln").cast("long").alias("ln"), text.header_label(t).alias("label"))
+    return headed_lines(s, d).select("doc_id", F.col("ln").cast("long").alias("ln"), text.header_label(F.col("line")).alias("label"))
 
 
 # ---- time -----------------------------------------------------------------
@@ -270,8 +265,7 @@ _LABEL = "last_value(marker IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln
 
 
 def _labelled(s, d):
-    rows = marked_lines(s, d)
-    return sections.labelled(rows, "doc_id", F.col("marker"))
+    return sections.labelled(headed_lines(s, d), "doc_id")
 
 
 @query(f"WITH {LINES} SELECT doc_id, ln, {_LABEL} AS label FROM lines")
@@ -309,19 +303,19 @@ def chunk_lookup(s, d):
 
 # ---- vectors and retrieval ------------------------------------------------
 
-_TOKENS = "SELECT id, unnest(regexp_extract_all(lower(abstract), '[a-z0-9]+')) AS t FROM papers"
+_TOKENS = "SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents"
 _BUCKETS = f"buckets AS (SELECT id, ('0x' || left(sha256(t), 8))::BIGINT % 48 AS bucket, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL)"
 
 
-@query(f"WITH {PAPERS}, {_BUCKETS} SELECT * FROM buckets")
+@query(f"WITH {_BUCKETS} SELECT * FROM buckets")
 def hash_embed_buckets(s, d):
-    t = papers(s, d).select("id", F.explode(text.embed_tokens(F.col("abstract"))).alias("t"))
+    t = docs(s, d).select(F.col("doc_id").alias("id"), F.explode(text.embed_tokens(F.col("text"))).alias("t"))
     return t.groupBy("id", text.hash_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PAPERS}, {_BUCKETS} SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 4) AS value FROM buckets")
+@query(f"WITH {_BUCKETS} SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 4) AS value FROM buckets")
 def hash_embed_norm(s, d):
-    v = papers(s, d).select("id", F.posexplode(vectors.hash_embedding(F.col("abstract"))).alias("bucket", "value"))
+    v = docs(s, d).select(F.col("doc_id").alias("id"), F.posexplode(vectors.hash_embedding(F.col("text"))).alias("bucket", "value"))
     return v.where("value > 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 4).alias("value"))
 
 
@@ -332,29 +326,17 @@ _COS = "list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(li
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, c) AS rank FROM p) SELECT q, c, rank, round(s, 4) AS similarity FROM r WHERE rank <= 5""")
 def dense_cosine_topk(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return dense_topk(e, e.where("vec_id % 20 = 0"), 5)
-
-
-def dense_topk(rows: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """(q, c, rank, similarity): best ``k`` rows for each of a stated set of queries, all (vec_id, v).
-
-    Queries go round in blocks: every row meets a block as one array, and each partition keeps k rows a query.
-    """
-    asked = queries.count()
-    blocks = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, asked // block))).alias("b"))
-    packed = blocks.groupBy("b").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("v").alias("qv"))).alias("qs"))
-    met = rows.join(F.broadcast(packed)) if asked <= MOST_BROADCAST else rows.join(packed)
-    pairs = met.select(F.col("vec_id").alias("c"), F.explode(F.transform("qs", lambda q: F.struct(q["q"].alias("q"), vectors.cosine(q["qv"], F.col("v")).alias("s")))).alias("x"))
-    top = retrieve.top_k(pairs.select("c", "x.q", "x.s", F.round("x.s", 6).alias("key")), "q", "key", "c", k)
-    return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
+    top = dense.dense_topk(e, e.where("vec_id % 20 = 0"), 5)
+    return top.withColumn("similarity", F.round("similarity", 4))
 
 
 @query(None)
 def ann_topk(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    fitted = ann.centroids(e)
-    top = ann.search(ann.indexed(e, fitted), e.where("vec_id % 20 = 0"), fitted, 5)
-    return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("similarity", 4).alias("similarity"))
+    fitted, asked = ann.centroids(e), e.where("vec_id % 20 = 0")
+    index = ann.indexed(e, fitted)
+    top = ann.search(index, asked, fitted, 5, ann.probes_for(e, index, asked, fitted, 5))
+    return top.withColumn("similarity", F.round("similarity", 4))
 
 
 _TF = r"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: length(t) > 2)) AS token FROM documents) GROUP BY ALL),
@@ -502,11 +484,21 @@ def list_by_topic(s, d):
     return listing.newest(e, "created_at", "id").limit(listing.LIST_LIMIT).select("id", "created_at")
 
 
-@query(f"{_LISTED} SELECT id, citations FROM listed WHERE contains(lower(title), 'que') OR contains(lower(abstract), 'que') OR contains(lower(categories[1]), 'que') ORDER BY citations DESC, id LIMIT 24")
+_HIT = "contains(lower(title), 'que') OR contains(lower(abstract), 'que') OR contains(lower(categories[1]), 'que')"
+
+
+@query(f"""{_LISTED}, hit AS (SELECT * FROM listed WHERE {_HIT}) SELECT sort, place, id FROM (
+  SELECT 'citations' AS sort, id, row_number() OVER (ORDER BY citations DESC, id) AS place FROM hit UNION ALL SELECT 'score', id, row_number() OVER (ORDER BY score DESC, id) FROM hit
+  UNION ALL SELECT 'duration', id, row_number() OVER (ORDER BY duration_secs DESC, id) FROM hit UNION ALL SELECT 'recent', id, row_number() OVER (ORDER BY created_at DESC, id) FROM hit) WHERE place <= 24""")
 def explore_search_sort(s, d):
     e = _with_papers(s, d).withColumnRenamed("citations", "citation_count")
-    hit = listing.matches_text(" Que ", [F.col("title"), F.col("abstract")], F.slice("categories", 1, 1))
-    return listing.listed(e.where(hit), "citations", "id", listing.ROUTE_LIMIT).select("id", F.col("citation_count").alias("citations"))
+    hit = e.where(listing.matches_text(" Que ", [F.col("title"), F.col("abstract")], F.slice("categories", 1, 1)))
+    out = None
+    for name, column in listing.SORTS.items():
+        top = listing.listed(hit, name, "id", listing.ROUTE_LIMIT).select(F.lit(name).alias("sort"), "id", F.col(column).alias("by"))
+        placed = top.select("sort", "id", F.row_number().over(Window.partitionBy("sort").orderBy(F.col("by").desc(), "id")).cast("long").alias("place"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
 
 
 @query(f"{_LISTED} SELECT id, title, score, abstract FROM listed WHERE id = 7")
@@ -576,7 +568,7 @@ def provider_choice(s, d):
 @query("""SELECT source AS topic FROM (SELECT DISTINCT source FROM documents) WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE lang = 'es' AND doc_id % 2 = 0)""")
 def suggestions_anti(s, d):
     r = docs(s, d).select(F.col("source").alias("topic"), "lang", "doc_id")
-    return r.select("topic").distinct().join(r.where("lang = 'es' and doc_id % 2 = 0").select("topic").distinct(), "topic", "left_anti")
+    return listing.not_taken(r, r.where("lang = 'es' and doc_id % 2 = 0"), "topic")
 
 
 @query(rf"""WITH {PAPERS}, t AS (SELECT id, string_split(lower(title), ' ') AS a, string_split(lower(abstract), ' ') AS b FROM papers)
@@ -589,9 +581,8 @@ def topic_set_ops(s, d):
 
 @query(rf"""WITH {PAPERS}, a AS (SELECT id, title, id % 3 AS g FROM papers WHERE contains(lower(title), 'the')) SELECT ['navigation', 'actions', 'episodes'][g + 1] AS kind, count(*) AS n, min(id) AS first_id FROM a GROUP BY g""")
 def palette_groups(s, d):
-    a = papers(s, d).where(text.contains_fold(F.col("title"), F.trim(F.lit(" The ")))).withColumn("g", (F.col("id") % 3).cast("int"))
-    kind = F.element_at(F.array(*map(F.lit, ["navigation", "actions", "episodes"])), F.col("g") + 1)
-    return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    kind = F.element_at(F.array(*map(F.lit, ["navigation", "actions", "episodes"])), (F.col("id") % 3 + 1).cast("int"))
+    return listing.grouped_commands(papers(s, d).withColumn("kind", kind), " The ", "title", "kind", "id").withColumnRenamed("first", "first_id")
 
 
 @query("SELECT doc_id, lang, (row_number() OVER (ORDER BY lang, doc_id) - 1)::BIGINT AS index FROM documents")
@@ -622,16 +613,15 @@ def feedback_total(s, d):
 
 @query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at, count(*) AS runs FROM events GROUP BY user_id""")
 def run_state_merge(s, d):
-    last = F.max_by("event_type", F.struct("ts", "event_id"))
-    return table(s, d, "events").groupBy("user_id").agg(last.alias("state"), F.max("ts").alias("at"), F.count("*").alias("runs"))
+    return status.run_states(table(s, d, "events"), "user_id", "event_type", "ts", "event_id")
 
 
 @query("""SELECT conv_id, turn, length(trim(text)) >= 3 AS ok, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE 'answer ' || turn END AS shown FROM conversations""")
 def question_guard(s, d):
     c = table(s, d, "conversations")
-    patch = c.where("turn % 2 = 1").select("conv_id", "turn", F.concat(F.lit("answer "), F.col("turn").cast("string")).alias("patch"))
-    rows = c.join(patch, ["conv_id", "turn"], "left")
-    return rows.select("conv_id", "turn", (F.length(F.trim("text")) >= 3).alias("ok"), F.coalesce("patch", F.trim("text")).alias("shown"))
+    answers = c.where("turn % 2 = 1").select("conv_id", "turn", F.concat(F.lit("answer "), F.col("turn").cast("string")).alias("answer"))
+    rows = compose.patched_turns(c, answers, ["conv_id", "turn"], "text", "answer")
+    return rows.select("conv_id", "turn", compose.asks(F.col("text")).alias("ok"), "shown")
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '.pdf' ELSE url END AS link FROM pages""")
@@ -653,13 +643,72 @@ def tone_samples(s, d):
     return p.select("id", F.round(secs, 4).alias("secs"), pitch.cast("long").alias("pitch"), audio.sample_at(F.lit(3000), secs, pitch).cast("long").alias("sample"))
 
 
-@query("SELECT doc_id, round(greatest(least(-16 - (-(doc_id % 40)::DOUBLE), 8), -8), 4) AS gain FROM documents")
+_SAMPLES = rf"list_transform({_WORDS}, lambda w: length(w) * 211 * (doc_id % 30 + 1) - 900)"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_SAMPLES} AS x FROM documents), r AS (SELECT doc_id, x, 20 * log10(sqrt(list_sum(list_transform(x, lambda v: least(greatest(v, -32768), 32767)::DOUBLE * least(greatest(v, -32768), 32767))) / len(x)) / 32768::DOUBLE) AS db FROM w WHERE len(x) > 0)
+SELECT doc_id, round(db, 4) AS loudness, round(greatest(least(-16 - db, 8), -8), 4) AS gain FROM r""")
 def loudness_gain(s, d):
-    return docs(s, d).select("doc_id", F.round(audio.gain(-(F.col("doc_id") % 40).cast("double")), 4).alias("gain"))
+    """The words' lengths as the samples of a clip."""
+    x = F.transform(text.words(F.col("text")), lambda w: F.greatest(F.least(F.length(w) * 211 * (F.col("doc_id") % 30 + 1) - 900, F.lit(32767)), F.lit(-32768)).cast("smallint"))
+    rows = docs(s, d).select("doc_id", x.alias("x")).where(F.size("x") > 0).select("doc_id", audio.dbfs(F.col("x")).alias("db"))
+    return rows.select("doc_id", F.round("db", 4).alias("loudness"), F.round(audio.gain(F.col("db")), 4).alias("gain"))
 
 
-@query(None)
+_SEARCH = "[" + ", ".join(f"'{t}'" for t in [*TERMS, *TOPICS]) + "]"
+_RUN_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+_LONG = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda w: length(w) > 4))"
+
+
+@query(
+    rf"""WITH {_AFFINITY}, {CHUNKS},
+cand AS (SELECT p.*, d.text AS body, len(list_filter({_SEARCH}, lambda t: contains(lower(title || ' ' || abstract || ' ' || array_to_string(categories, ' ') || ' ' || d.text), t))) > 0 AS hit FROM papers p JOIN documents d ON d.doc_id = p.id ORDER BY hit DESC, id LIMIT 6),
+raw AS (SELECT id, sum(coalesce(score, 0)) AS raw FROM (SELECT id, unnest(list_distinct(list_filter(string_split_regex({_HAY}, '[^a-zA-Z0-9]+'), lambda t: length(t) >= 3))) AS term FROM cand) LEFT JOIN affinity USING (term) GROUP BY id),
+top AS (SELECT cand.*, {_SCORE} least({_HITS} / 6::DOUBLE + CASE WHEN raw <= 0 THEN 0 ELSE least(raw / 4, 1) END, 1) AS score FROM cand JOIN raw USING (id) ORDER BY score DESC, id LIMIT 3),
+ch AS (SELECT doc_id AS id, chunk_index AS c, array_to_string(w, ' ') AS content FROM chunks WHERE doc_id IN (SELECT id FROM top)),
+tb AS (SELECT id, c, ('0x' || left(sha256(t), 8))::BIGINT % 48 AS b, count(*) AS n FROM (SELECT id, c, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM ch) GROUP BY ALL),
+qb AS (SELECT id, ('0x' || left(sha256(t), 8))::BIGINT % 48 AS b, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || abstract), '[a-z0-9]+')) AS t FROM top) GROUP BY ALL),
+dn AS (SELECT id, c, sum(tb.n * qb.n) / (any_value(ql.l) * any_value(cl.l)) AS s FROM tb JOIN qb USING (id, b) JOIN (SELECT id, sqrt(sum(n * n)) AS l FROM qb GROUP BY 1) ql USING (id) JOIN (SELECT id, c, sqrt(sum(n * n)) AS l FROM tb GROUP BY 1, 2) cl USING (id, c) GROUP BY id, c),
+rk AS (SELECT ch.*, row_number() OVER (PARTITION BY id ORDER BY coalesce(s, 0) + 0.16::DOUBLE DESC, c) AS rank FROM ch LEFT JOIN dn USING (id, c)),
+last AS (SELECT id, arg_max(content, rank) AS results FROM rk WHERE rank <= 10 GROUP BY id),
+said AS (SELECT top.*, 'If you care about the entre, ment que, src1 and, today''s paper is interesting because ' || {_sentence('abstract')} || ' The paper, titled ' || title || ', focuses on a practical bottleneck in modern AI systems. ' || {_sentence('abstract')} ||
+  ' The main takeaway is that ' || {_sentence('results')} || ' Under the hood, the authors use a relatively simple idea: ' || {_sentence('abstract')} || ' What makes it worth watching next is the broader implication. ' || {_sentence('abstract')} ||
+  ' For a daily podcast format, that means the work is both technically credible and easy to map to where the field may move next.' AS script FROM top JOIN last USING (id)),
+held AS (SELECT id, {_LONG.format("string_agg(content, ' ')")} AS y FROM ch GROUP BY id),
+qa AS (SELECT said.*, len(list_intersect({_LONG.format("script")}, y)) / greatest(len({_LONG.format("script")}), 1)::DOUBLE >= 0.3::DOUBLE AS ok, {_RUN_WORDS.format("script")} AS ws, sha256(id::VARCHAR) AS paper FROM said JOIN held USING (id))
+SELECT sha256(paper || '#{NOW}') AS id, paper AS paper_id, title || ': Audio Brief' AS title, CASE WHEN array_to_string(ws[1:40], ' ') LIKE '%.' THEN array_to_string(ws[1:40], ' ') ELSE array_to_string(ws[1:40], ' ') || '...' END AS description,
+  'the entre' AS topic, round(score, 4) AS score, script, CASE WHEN ok THEN 'verified' ELSE 'flagged' END AS qa_status,
+  CASE WHEN ok THEN '{compose.NOTES["verified"]}' ELSE '{compose.NOTES["flagged"]}' END AS qa_notes, greatest(trunc(len(ws)::DOUBLE / 155::DOUBLE * 60)::INT, 60)::INT AS duration_secs, 'demo' AS tts_provider, '{NOW}' AS created_at, id::VARCHAR AS arxiv_id FROM qa"""
+)
 def pipeline_end_to_end(s, d):
+    """The whole run, with native fallbacks for every provider."""
     from lectern.plans.pipeline import episodes_from_tables
 
     return episodes_from_tables(s, d)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{key}', {len(sections) + 1}::INT, {sum(len(x.split()) for x in [abstract, *sections.values()])}::BIGINT, {count}::INT, {velocity}::DOUBLE, '{at}')" for key, _, _, _, at, count, velocity, abstract, sections in catalog.PAPERS) + ") AS t(arxiv_id, sections, n_words, citation_count, citation_velocity, published_at)")
+def catalog_scan(s, d):
+    rows = catalog.catalog(s)
+    words = F.aggregate(F.transform(F.map_values("sections"), lambda x: F.size(text.words(x))), F.lit(0), lambda a, n: a + n)
+    return rows.select("arxiv_id", F.size("sections").alias("sections"), words.cast("long").alias("n_words"), "citation_count", "citation_velocity", "published_at")
+
+
+@query("""WITH first AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), second AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
+SELECT o_custkey::VARCHAR AS arxiv_id, coalesce(second.k, first.k)::VARCHAR AS title, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS feedback FROM first FULL JOIN second USING (o_custkey)""")
+def store_round_trip(s, d):
+    """Two upserts and two appends through a store, read back."""
+    from lectern.sources.schema import PAPERS as LAYOUT
+    from lectern.sources.store import Store
+
+    store = Store(s, f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lectern-store-{uuid.uuid4().hex}")
+    o = table(s, d, "orders")
+    empty = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in LAYOUT.split(", ")}
+    for rows in (o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'")):
+        latest = rows.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
+        made = empty | {"id": F.col("k").cast("string"), "arxiv_id": F.col("o_custkey").cast("string"), "title": F.col("k").cast("string")}
+        store.upsert("papers", latest.select(*[c.alias(n) for n, c in made.items()]))
+    events = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("e").alias("episode_id"), F.lit("play").alias("event_type"), F.lit(0).alias("position_secs"), F.lit("2024").alias("created_at"))
+    for odd in (0, 1):
+        total = store.add_feedback(events.where(F.col("id").cast("long") % 2 == odd))
+    return store.read("papers").select("arxiv_id", "title", F.lit(total).cast("long").alias("feedback"))

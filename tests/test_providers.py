@@ -4,8 +4,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lectern.operators import ann, providers
-from lectern.plans.queries import ann_topk, dense_topk
+from lectern.operators import ann, dense, providers
+from lectern.plans.queries import ann_topk
 
 cloudpickle.register_pickle_by_value(__import__(__name__, fromlist=["x"]))
 
@@ -79,9 +79,33 @@ def test_embedded(spark):
     assert all(len(r["embedding"]) == 48 for r in providers.embedded(rows, "content").collect())
 
 
-def test_ann_recall(spark, data):
-    e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    exact = {(r["q"], r["c"]) for r in dense_topk(e, e.where("vec_id % 20 = 0"), 5).collect()}
-    found = {(r["q"], r["c"]) for r in ann_topk(spark, data).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+def test_dense_topk_equals_brute_force(spark):
+    """Blocks of any size, ties, zero vectors and vectors of another length give the brute-force lists."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    vectors = {i: r.integers(-2, 3, 4).astype(float).tolist() for i in range(90)} | {90: [0.0] * 4, 91: [1.0, 2.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<double>")
+
+    def cosine(a, b):
+        if len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+
+    asked = [i for i in vectors if i % 7 == 0]
+    expected = {(q, c, k + 1) for q in asked for k, c in enumerate(sorted(vectors, key=lambda c: (-round(cosine(vectors[q], vectors[c]), 6) + 0.0, c))[:5])}
+    for block in (1, 8, dense.BLOCK):
+        got = {(x["q"], x["c"], x["rank"]) for x in dense.dense_topk(rows, rows.where("vec_id % 7 = 0"), 5, block).collect()}
+        assert got == expected
+
+
+def test_inverted_file_recall(spark):
+    """At least nine in ten of the true best five, at every size of table, for the queries whose id is divisible by 20."""
+    for sf in ("0.001", "0.01"):
+        d = f"/root/testdata/sf{sf}"
+        e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        exact = {(r["q"], r["c"]) for r in dense.dense_topk(e, e.where("vec_id % 20 = 0"), 5).collect()}
+        found = {(r["q"], r["c"]) for r in ann_topk(spark, d).collect()}
+        assert len(found & exact) >= 0.9 * len(exact)
+    assert ann.indexed(e, ann.centroids(e)).count() == e.count() and len(ann.centroids(e)) == 23
     assert ann.centroids(e.limit(0)) == []
