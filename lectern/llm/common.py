@@ -18,7 +18,7 @@ ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
 #: Most keys whose rows ``hot_join`` broadcasts.
-HOT = 100_000
+HOT = 10_000
 
 
 def session(docs: DataFrame, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> SparkSession:

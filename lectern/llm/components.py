@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import hot_join, remove, shared_dir, staged
+from lectern.llm.common import remove, shared_dir, staged
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-    return hot_join(both.where("b > a"), least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    joined = hot_join(down, least, ["a"], total)
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    joined = down.join(least, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node reachable.
 
-    No edges give no rows.  The hub of a large star is a hot key; its edges meet it by ``hot_join``.  Every round reads and writes only the edge table; nothing goes to the
+    No edges give no rows.  The hub of a large star is a hot key of the joins; the side of the minima has one row
+    a key, so that adaptive execution can deal a hub's edges out to many tasks.  Every round reads and writes only the edge table; nothing goes to the
     driver but a count and a checksum.
     """
     spark = edges.sparkSession
@@ -35,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not count or (count, check) == seen:
             break
         seen, after = (count, check), shared_dir(spark)
-        current = staged(_small_star(_large_star(current, count), count), after)
+        current = staged(_small_star(_large_star(current)), after)
         remove(spark, path)
         path = after
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

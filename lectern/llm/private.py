@@ -22,14 +22,13 @@ struct and clash with nothing.
 
 from __future__ import annotations
 
-import json
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import boosting
-from lectern.llm.common import let, session, table, unpacked
+from lectern.llm.common import let, session, staged, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 EXAMPLES, PRECISION, SEED = 9600, 0.99, 11
@@ -246,8 +245,7 @@ def _examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int]]
 def _fitted(spark: SparkSession) -> tuple[list, dict[str, float]]:
     import numpy as np
 
-    rows = [{"kind": k, "text": t, "label": y} for k, t, y in _examples()]
-    made = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<kind:string,text:string,label:int>>")).alias("x")).select("x.*")
+    made = staged(spark.createDataFrame(_examples(), "kind string, text string, label int").coalesce(1))
     found = None
     for kind in KINDS:
         of = made.where(F.col("kind") == kind).select("kind", "label", F.xxhash64("text").alias("h"), F.explode(_candidates(F.col("text"), kind)).alias("c"))
