@@ -13,7 +13,8 @@ max-plus transfer matrix from the states at its left end to those at its right e
 multiplied associatively, FAN neighbours to one, level by level in separate tasks, until each
 document has one; then its best entry and exit go down the levels, each group finds its members'
 states, and every chunk traces its own path back.  No piece crosses from a letter to a word start,
-so a word inside a chunk has a matrix of one entry, and equal words are scanned once.
+so a word inside a chunk has a matrix of one entry; equal words are scanned once, and what a
+chunk's words give is kept for the way back.
 
 Texts of CHUNK characters or fewer have no boundary and are encoded by the library whole.
 
@@ -89,10 +90,8 @@ class Codec:
         for word in re.findall(f"{SPACE}+[^{SPACE}]*", text):
             found = self._words.get(word)
             if found is None:
-                best = walk(self, word, {(0, 0): 0.0}, 0, len(word), True)
-                end = max((s for s in best if s[1] == len(word)), key=lambda s: best[s][0])
-                path = path_to(best, end)
-                found = (self.ids([word[a:b] for a, b in path]), len(path))
+                path = self.word_path(word)
+                found = (self.ids(path), len(path))
                 if len(word) <= SHORT:
                     if len(self._words) >= REMEMBERED:
                         self._words.clear()
@@ -101,6 +100,25 @@ class Codec:
             weight += found[1]
         return ids, weight
 
+    def word_path(self, word: str) -> list[str]:
+        """The one path through a word: its states depth first, longer pieces first, none of them twice."""
+        path: list[int] = [0]  # ends of the pieces so far
+        left = [self.next_lengths(word, 0)]
+        dead = set()
+        while path[-1] < len(word):
+            at, before = path[-1], word[path[-2] : path[-1]] if len(path) > 1 else ""
+            while left[-1]:
+                n = left[-1].pop()
+                if (at, n) not in dead and self.together(before, word[at : at + n]):
+                    path.append(at + n)
+                    left.append(self.next_lengths(word, at + n))
+                    break
+            else:
+                left.pop()
+                end = path.pop()
+                dead.add((path[-1], end - path[-1]))
+        return [word[a:b] for a, b in zip(path, path[1:], strict=False)]
+
     def next_lengths(self, text: str, at: int) -> list[int]:
         """Lengths of the pieces that begin at ``at``; one character always is a step."""
         return [n for n in range(1, min(self.longest, len(text) - at) + 1) if n == 1 or text[at : at + n] in self.known]
@@ -198,11 +216,12 @@ class Part:
         """(ids, weight) between the first and the last word start, which all paths through the chunk share."""
         return self.codec.words(self.text[self.head : self.tail])
 
-    def transfer(self) -> list[tuple[int, int, int, int, float]]:
-        """Finite entries of the matrix: (entry begin, end, exit begin, end, pieces), relative to the two ends."""
+    def transfer(self, shared: int | None = None) -> list[tuple[int, int, int, int, float]]:
+        """Finite entries of the matrix: (entry begin, end, exit begin, end, pieces), relative to the two ends; ``shared`` is the middle's weight if it is known."""
         out = []
         end = None
-        shared = 0 if self.head is None else self.middle()[1]
+        if shared is None:
+            shared = 0 if self.head is None else self.middle()[1]
         for entry in self.entries():
             best = self._parts(entry)
             if self.head is None:
@@ -220,8 +239,8 @@ class Part:
             out.extend((entry[0] - self.left, entry[1] - self.left, s[0] - self.right, s[1] - self.right, w) for s, w in found)
         return out
 
-    def trace(self, entry: tuple[int, int], exit_: tuple[int, int]) -> list[int]:
-        """Ids of the pieces after ``entry`` up to ``exit_``, both relative as in ``transfer``."""
+    def trace(self, entry: tuple[int, int], exit_: tuple[int, int], middle: list[int] | None = None) -> list[int]:
+        """Ids of the pieces after ``entry`` up to ``exit_``, both relative as in ``transfer``; ``middle`` if it is known."""
         entry = (entry[0] + self.left, entry[1] + self.left)
         exit_ = (exit_[0] + self.right, exit_[1] + self.right)
         spell = lambda states: self.codec.ids([self.text[a:b] for a, b in states])
@@ -229,7 +248,7 @@ class Part:
         if self.head is None:
             return [] if exit_ == entry else spell(path_to(best, exit_))
         arrived = max((s for s in best if s[1] == self.head), key=lambda s: best[s][0])
-        return [*spell(path_to(best, arrived)), *self.middle()[0], *spell(path_to(self._end(), exit_))]
+        return [*spell(path_to(best, arrived)), *(self.middle()[0] if middle is None else middle), *spell(path_to(self._end(), exit_))]
 
 
 def product(a: dict, b: dict) -> dict:
@@ -365,10 +384,13 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         codec = shared_codec(path)
         kind = pa.list_(pa.struct([(n, pa.int32()) for n in "abcd"] + [("w", pa.float64())]))
         for batch in batches:
-            out = []
+            out, middles = [], []
             for k, part, left, right, final in zip(*(batch.column(n).to_pylist() for n in ("k", "part", "l", "r", "final")), strict=True):
-                out.append([dict(zip("abcdw", e, strict=True)) for e in Part(codec, part, left, right, k == 0, final).transfer()])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, kind)], ["row", "k", "m"])
+                one = Part(codec, part, left, right, k == 0, final)
+                middle = ([], 0) if one.head is None else one.middle()
+                out.append([dict(zip("abcdw", e, strict=True)) for e in one.transfer(middle[1])])
+                middles.append(middle[0])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, kind), listed(middles)], ["row", "k", "m", "middle"])
 
     def trace(batches):
         import pyarrow as pa
@@ -376,8 +398,8 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         codec = shared_codec(path)
         for batch in batches:
             ids = []
-            for k, part, left, right, final, *s in zip(*(batch.column(n).to_pylist() for n in ("k", "part", "l", "r", "final", *"abcd")), strict=True):
-                ids.append(Part(codec, part, left, right, k == 0, final).trace((s[0], s[1]), (s[2], s[3])))
+            for k, part, left, right, final, middle, *s in zip(*(batch.column(n).to_pylist() for n in ("k", "part", "l", "r", "final", "middle", *"abcd")), strict=True):
+                ids.append(Part(codec, part, left, right, k == 0, final).trace((s[0], s[1]), (s[2], s[3]), middle))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("row", "doc_id", "k")], pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "k", "ids"])
 
     small = rows.where(~giant).mapInArrow(whole, "row long, doc_id long, text string, n_chunks int, ids array<int>")
@@ -386,9 +408,9 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         return small
     chunks = staged(held.mapInArrow(split, _CHUNKS))
     dealt = chunks.repartition("row", "k")
-    matrices = staged(dealt.mapInArrow(transfer, _MATRIX))
-    on_path = scan(matrices, matrices.agg(F.max("k")).first()[0] or 0)
-    traced = chunks.join(on_path, ["row", "k"]).mapInArrow(trace, "row long, doc_id long, k int, ids array<int>")
+    matrices = staged(dealt.mapInArrow(transfer, f"{_MATRIX}, middle array<int>"))
+    on_path = scan(matrices.select("row", "k", "m"), matrices.agg(F.max("k")).first()[0] or 0)
+    traced = chunks.join(matrices.select("row", "k", "middle"), ["row", "k"]).join(on_path, ["row", "k"]).mapInArrow(trace, "row long, doc_id long, k int, ids array<int>")
     whole_ids = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"))
     large = held.join(whole_ids, "row").select("row", "doc_id", "text", F.size("x").alias("n_chunks"), F.flatten("x.ids").alias("ids"))
     return small.unionByName(large)
