@@ -26,7 +26,7 @@ def session(docs: DataFrame, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) ->
     spark = docs.sparkSession
     for name, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         held = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
-        if not held or int(held) <= 0 or int(held) > bound:
+        if not held or not held.isdigit() or not 0 < int(held) <= bound:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
     return spark
 
