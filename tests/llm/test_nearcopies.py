@@ -48,22 +48,14 @@ def test_near_copies_of_table(spark, data, documents):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents, data).collect()) == brute_survivors(rows)
 
 
-def test_fingerprints_propose_and_jaccard_decides(spark, frame):
-    """The covering tables propose all pairs within the radius; what they miss at 0.8 comes from the bands."""
+def test_fingerprints_alone_do_not_reach_eight_tenths():
+    """Why the stage does not use the covering tables: most pairs at 0.8 or more differ in over three bits."""
     rows = edited_rows()
-    prints = {d: simhash.of_hashes(nearcopies.shingle_hashes(t)) for d, t in rows}
+    prints = {d: simhash.fingerprint(t, nearcopies.SHINGLE) for d, t in rows}
     sets = {d: nearcopies.shingles(t) for d, t in rows}
     near = [(a, b) for a, b in itertools.combinations(prints, 2) if nearcopies.jaccard(sets[a], sets[b]) >= 0.8]
     within = [(a, b) for a, b in near if (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS]
-    assert 0 < len(within) < len(near)
-    first = {}
-    for d, f in prints.items():
-        first.setdefault(simhash.signed(f), d)
-    name = {d: first[simhash.signed(f)] for d, f in prints.items()}
-    pairs = simhash.links(spark.createDataFrame([(f,) for f in first], "fp long")).collect()
-    linked = {tuple(sorted((first[p["a"]], first[p["b"]]))) for p in pairs}
-    root = roots(sorted(prints), lambda a, b: name[a] == name[b] or tuple(sorted((name[a], name[b]))) in linked)
-    assert all(root[a] == root[b] for a, b in within)
+    assert 0 < len(within) < 0.5 * len(near)
 
 
 def test_ids_do_not_decide(frame):
