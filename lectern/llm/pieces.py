@@ -32,8 +32,8 @@ from lectern.llm.common import session, staged, table
 
 MODEL, CHUNK, FAN = "piece_bpe_32k.model", 1 << 15, 64
 SPACE = "▁"
-#: Words (of at most so many characters) whose path a worker remembers.
-REMEMBERED, SHORT = 200_000, 64
+#: Words (of at most SHORT characters) whose path a task remembers, and pairs of pieces.
+REMEMBERED, SHORT, MOST_PAIRS = 100_000, 64, 1 << 18
 
 
 class Codec:
@@ -76,7 +76,7 @@ class Codec:
             return self.together("", b)
         found = self._pairs.get((a, b))
         if found is None:
-            if len(self._pairs) > 1 << 20:
+            if len(self._pairs) > MOST_PAIRS:
                 self._pairs.clear()
             found = self._pairs[a, b] = self.part.encode_as_pieces(a + b) == [a, b]
         return found
@@ -124,16 +124,6 @@ class Codec:
         return [n for n in range(1, min(self.longest, len(text) - at) + 1) if n == 1 or text[at : at + n] in self.known]
 
 
-def shared_codec(path: str) -> Codec:
-    """One codec a Python worker: the tasks it runs one after the other share what it remembers."""
-    import sys
-
-    held = sys.__dict__.setdefault("_lectern_codecs", {})
-    if path not in held:
-        held[path] = Codec(path)
-    return held[path]
-
-
 def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -362,7 +352,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def whole(batches):
         import pyarrow as pa
 
-        codec = shared_codec(path)
+        codec = Codec(path)
         for batch in batches:
             ids = codec.encode(batch.column("text").to_pylist()) if len(batch) else []
             arrays = [*[batch.column(n) for n in ("row", "doc_id", "text")], pa.array([1] * len(batch), pa.int32()), listed(ids)]
@@ -371,7 +361,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def split(batches):
         import pyarrow as pa
 
-        codec = shared_codec(path)
+        codec = Codec(path)
         for batch in batches:
             for row, doc, text in zip(*(batch.column(n).to_pylist() for n in ("row", "doc_id", "text")), strict=True):
                 cols = list(zip(*((row, doc, *p) for p in parts_of(normalised(text), chunk, codec.longest)), strict=True))
@@ -381,7 +371,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def transfer(batches):
         import pyarrow as pa
 
-        codec = shared_codec(path)
+        codec = Codec(path)
         kind = pa.list_(pa.struct([(n, pa.int32()) for n in "abcd"] + [("w", pa.float64())]))
         for batch in batches:
             out, middles = [], []
@@ -395,7 +385,7 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     def trace(batches):
         import pyarrow as pa
 
-        codec = shared_codec(path)
+        codec = Codec(path)
         for batch in batches:
             ids = []
             for k, part, left, right, final, middle, *s in zip(*(batch.column(n).to_pylist() for n in ("k", "part", "l", "r", "final", "middle", *"abcd")), strict=True):
@@ -441,7 +431,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        codec = shared_codec(path)
+        codec = Codec(path)
         for batch in batches:
             texts = codec.whole.decode(id_lists(batch.column("ids")), num_threads=1) if len(batch) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
@@ -460,7 +450,7 @@ def digests(rows: DataFrame, path: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        codec = shared_codec(path)
+        codec = Codec(path)
         for batch in batches:
             lists = id_lists(batch.column("ids"))
             texts = codec.whole.decode(lists, num_threads=1) if lists else []
