@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, language, mixing, multiset, pieces, private, quality, simhash, substrings, tokenstore
+from lectern.llm import chat, language, mixing, multiset, periods, pieces, private, quality, simhash, substrings, tokenstore
 
 
 def pipeline(spark, sf_dir: str):
@@ -25,6 +25,7 @@ def queries() -> dict:
         "op8_sentencepiece_scan": pieces.query,
         "op9_substring_dedup": substrings.query,
         "op10_multiset_fingerprints": multiset.query,
+        "op11_lyndon_runs": periods.query,
     }
 
 
