@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, language, mixing, multiset, periods, pieces, prefixtrie, private, quality, simhash, substrings, tokenstore
+from lectern.llm import chat, language, mixing, multiset, periods, pieces, prefixtrie, private, quality, simhash, substrings, suffixes, tokenstore
 
 
 def pipeline(spark, sf_dir: str):
@@ -26,10 +26,11 @@ def queries() -> dict:
         "op9_substring_dedup": substrings.query,
         "op10_multiset_fingerprints": multiset.query,
         "op11_lyndon_runs": periods.query,
+        "op12_suffix_dedup": suffixes.query,
         "op13_prefix_trie": prefixtrie.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The pipeline has none (its ORACLE_SQL is None)."""
-    return {"op2_quality_rules": quality.ORACLE, "op7_chat_format": chat.ORACLE, "op9_substring_dedup": substrings.ORACLE, "op13_prefix_trie": prefixtrie.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op7_chat_format": chat.ORACLE, "op9_substring_dedup": substrings.ORACLE, "op12_suffix_dedup": suffixes.ORACLE, "op13_prefix_trie": prefixtrie.ORACLE}
