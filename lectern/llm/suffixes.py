@@ -1,20 +1,22 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
+"""Removal of repeated byte strings by blockwise suffix sorting with difference covers.
 
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else.  Suffixes matter
-to that depth only, and they are sorted in two steps, one bucket at a time:
-
-* The cover sample: a suffix is in the sample if its place modulo PERIOD is in COVER, a perfect difference
-  set.  For any two places there is one shift below PERIOD that takes both into the sample.  So if
-  two windows of LENGTH bytes are equal, then so are two sample suffixes in their first PERIOD places,
-  for SAMPLE = LENGTH - PERIOD + 1 bytes.  Sample suffixes (12 in 133) are sorted by those bytes; one
-  that meets an equal one has a rank that it shares, and a window without such a sample is settled.
+to that depth only, and they are sorted in levels, one bucket at a time:
+
+* The first cover sample: a suffix is in it if its place modulo 133 is in a perfect difference set.
+  For any two places there is one shift below 133 that takes both into the sample.  So if two windows
+  of LENGTH bytes are equal, then so are two sample suffixes in their first 133 places, for
+  LENGTH - 132 bytes.  Sample suffixes (12 in 133) are sorted by those bytes; one that meets an equal
+  one has a rank that it shares, and a window without such a sample is settled.
+* The second cover sample, modulo 31, for LENGTH - 30 bytes: of these suffixes (6 in 31) only those that can lie in
+  a window that is not settled.
 * Suffixes that are left, about as many as there are repeated bytes, are sorted to depth LENGTH.  One that
   stands beside an equal one is repeated.
 
 A bucket is what shares the first bits of a fingerprint, and has about BUCKET suffixes whatever the
 corpus' size; its task sorts one bucket, answers, and forgets it.  In a bucket's task there is no text to
 go on comparing, so a suffix brings a fingerprint of all bytes that it is sorted by: 47 bits and
-the bucket's for the sample, which only selects, and 79 bits and the bucket's for the windows.
+the bucket's for the samples, which only select, and 79 bits and the bucket's for the windows.
 That is where this departs from blockwise sorting in one memory, in which a long tie is resolved by looking up the
 ranks of the sample suffixes at the tie's common shift: that shift differs from pair to pair, and a
 suffix would have to bring all 12 ranks.  Here ranks decide which suffixes can tie at all.
@@ -38,14 +40,18 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import hot_join, release, remove, session, shared_dir, staged, table
 
-LENGTH, PERIOD = 200, 133
-#: A perfect difference set modulo PERIOD; every shift but 0 is the difference of one pair.
-COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-SAMPLE = LENGTH - PERIOD + 1
+LENGTH = 200
+#: Of each level the period and a perfect difference set modulo it (every shift but 0 is
+#: the difference of one pair); the last level has all places.
+LEVELS = (
+    (133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)),
+    (31, (1, 5, 11, 24, 25, 27)),
+    (1, (0,)),
+)
 #: Bytes of a block, suffixes of a bucket, suffixes that a task merges at once.
 BLOCK, BUCKET, MERGE = 4 << 20, 1 << 18, 1 << 22
 #: Places hashed at once, and suffixes of a block that are compared with each other; files of the blocks' table at most.
-SEGMENT, GROUP, FILES = PERIOD << 11, 1 << 20, 20_000
+SEGMENT, GROUP, FILES = (133 * 31) << 6, 1 << 20, 20_000
 SEED = 42
 
 
@@ -64,7 +70,7 @@ class Fingerprints:
                 line = np.full(size, factor, np.uint64)
                 line[0] = 1
                 held.append(np.cumprod(line))
-        self.cover = np.flatnonzero(np.isin(np.arange(SEGMENT) % PERIOD, COVER))
+        self.covers = [np.flatnonzero(np.isin(np.arange(SEGMENT) % period, cover)) for period, cover in LEVELS]
 
     def of(self, data, length: int, at, lane: int):
         """Fingerprints of the strings of ``length`` bytes at the places ``at``."""
@@ -116,24 +122,26 @@ class Block:
         if held:
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def samples(self):
-        import numpy as np
-
-        cover = self.prints.cover
-        return self._groups(SAMPLE, lambda a, n: cover[: np.searchsorted(cover, n)], 1)
-
-    def windows(self, ranked):
-        """Groups of the windows that have a ranked sample, whose places are ``ranked``, in their first PERIOD places."""
+    def suffixes(self, level: int, ranked):
+        """Groups of the places that a level sorts.  ``ranked`` are the places of the level before that share
+        their rank; those are asked for that one of these can lie beside in a window."""
         import numpy as np
 
-        marks = np.zeros(len(self.data) + PERIOD + 1, np.int8)
-        marks[ranked] = 1
+        period, cover = LEVELS[level][0], self.prints.covers[level]
+        if level:
+            near = period - 1 + LEVELS[level - 1][0] - 1
+            marks = np.zeros(len(self.data) + near + 1, np.int8)
+            marks[ranked + (period - 1)] = 1
 
         def places(a: int, n: int):
-            near = np.cumsum(marks[a : a + n + PERIOD], dtype=np.int32)
-            return np.flatnonzero(near[PERIOD - 1 : PERIOD - 1 + n] - near[:n] + marks[a : a + n])
+            at = cover[: np.searchsorted(cover, n)]
+            if not level:
+                return at
+            held = marks[a : a + n + near]
+            sums = np.cumsum(held, dtype=np.int32)
+            return at[sums[at + near] - sums[at] + held[at] > 0]
 
-        return self._groups(LENGTH, places, 2)
+        return self._groups(LENGTH - period + 1, places, 2 if period == 1 else 1)
 
 
 def told_apart(prints: list):
@@ -141,7 +149,7 @@ def told_apart(prints: list):
     holds each several times, and the places of all strings that it does."""
     import numpy as np
 
-    order = np.argsort(prints[0], kind="stable")
+    order = np.argsort(prints[0])
     new = np.ones(len(order), bool)
     new[1:] = prints[0][order[1:]] != prints[0][order[:-1]]
     if len(prints) > 1:
@@ -176,7 +184,7 @@ def _sent(block: int, places, prints: list, several, bits: int):
 
     one, top = np.uint64(1), np.uint64(64 - bits)
     bucket = (prints[-1] >> top).astype(np.int64) if bits else np.zeros(len(places), np.int64)
-    order = np.lexsort((places, bucket))
+    order = np.argsort(bucket << 40 | places)
     bucket, places = bucket[order], places[order]
     word = prints[0][order] << one | several[order]
     if len(prints) == 1:
@@ -211,29 +219,25 @@ def _fingerprints() -> Fingerprints:
     return _HELD[0]
 
 
-def _ranked(held: Block, blobs):
-    """Places of the samples that share their rank: those found twice in their group, and what the buckets answered."""
-    import numpy as np
-
-    own = [group[0][told_apart(group[1:])[2]] for group in held.samples()]
-    return np.concatenate([np.empty(0, np.int64), *own, *map(_places, blobs or ())])
-
-
 _SENT = "bucket long, block long, places binary, head binary, tail binary"
 
 
-def _send(rows: DataFrame, bits: int, windows: bool) -> DataFrame:
-    """What each block sends to the buckets: its samples, or the windows with a ranked sample (``ranks``)."""
+def _send(rows: DataFrame, bits: int, level: int) -> DataFrame:
+    """What each block sends to the buckets of a level, and the places that it can answer itself (without head and tail)."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for block, held, row in _blocks(batch):
-                for places, *prints in held.windows(_ranked(held, row["ranks"])) if windows else held.samples():
-                    first, several, _ = told_apart(prints)
-                    yield _batch(list(_sent(block, places[first], [p[first] for p in prints], several, bits)), "bucket block places head tail", kinds)
+                ranked = np.concatenate([np.empty(0, np.int64), *map(_places, row["ranks"] or ())]) if level else None
+                for places, *prints in held.suffixes(level, ranked):
+                    first, several, twice = told_apart(prints)
+                    out = list(_sent(block, places[first], [p[first] for p in prints], several, bits))
+                    own = [(block & ((1 << bits) - 1), block, _gaps(np.sort(places[twice])), None, None)] if len(twice) else []
+                    yield _batch(out + own, "bucket block places head tail", kinds)
 
     return rows.mapInArrow(run, _SENT)
 
@@ -263,7 +267,7 @@ class Bucket:
         if not self.parts:
             return
         word, tail, several, block, places = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((tail, word))
+        order = np.argsort(word)
         word, tail, several, block, places = (x[order] for x in (word, tail, several, block, places))
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (tail[1:] != tail[:-1])
@@ -298,12 +302,20 @@ def sorted_buckets(sent: DataFrame) -> DataFrame:
                     yield _batch(list(held.answers()), "block places", kinds)
                     held = Bucket() if row["bucket"] != at else held
                     at = row["bucket"]
-                held.add(row)
+                if row["head"] is None:
+                    yield _batch([(row["block"], row["places"])], "block places", kinds)
+                else:
+                    held.add(row)
         yield _batch(list(held.answers()), "block places", kinds)
 
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, places binary")
 
 
+def _ranks(rows: DataFrame, bits: int, level: int, path: str) -> DataFrame:
+    """(block, ranks): the places of a level that share their rank, as pieces."""
+    return staged(sorted_buckets(_send(rows, bits, level)).groupBy("block").agg(F.collect_list("places").alias("ranks")), path)
+
+
 def packed(docs: DataFrame, path: str) -> tuple[str, int]:
     """Name of a table of blocks (block, data, ends, t1, t2, n), bucketed by block, and the bytes of all texts.
 
@@ -380,13 +392,12 @@ def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     try:
         blocks = spark.table(name)
         release(spark)
-        bits = max(0, (total // BUCKET * len(COVER) // PERIOD).bit_length())
-        lists = lambda answers, of: answers.groupBy("block").agg(F.collect_list("places").alias(of))
-        ranks = staged(lists(sorted_buckets(_send(blocks, bits, False)), "ranks"), f"{path}/ranks")
-        release(spark)
-        ranked = blocks.join(ranks.hint("shuffle_hash"), "block", "left")
-        repeats = staged(lists(sorted_buckets(_send(ranked, bits, True)), "repeats"), f"{path}/repeats")
-        release(spark)
+        period, cover = LEVELS[0]
+        bits = max(0, (total // BUCKET * len(cover) // period).bit_length())
+        ranked = blocks
+        for level in range(len(LEVELS)):
+            ranked = blocks.join(_ranks(ranked, bits, level, f"{path}/ranks{level}").hint("shuffle_hash"), "block", "left")
+            release(spark)
         kind = "binary" if with_bytes else "string"
 
         def finish(batches):
@@ -398,11 +409,10 @@ def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
             kinds = [pa.int64()] * 6 + [pa.binary() if with_bytes else pa.string()]
             for batch in batches:
                 out = []
-                for _, held, row in _blocks(batch):
-                    again = np.zeros(len(held.data), np.int8)
-                    for places, *prints in held.windows(_ranked(held, row["ranks"])):
-                        again[places[told_apart(prints)[2]]] = 1
-                    for blob in row["repeats"] or ():
+                for row in batch.to_pylist():
+                    data = np.frombuffer(row["data"], np.uint8)
+                    again = np.zeros(len(data), np.int8)
+                    for blob in row["ranks"] or ():
                         again[_places(blob)] = 1
                     edge = np.append(again, 0)
                     edge[LENGTH:] -= again[: 1 - LENGTH]
@@ -410,13 +420,12 @@ def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
                     for end, t1, t2, n in zip(row["ends"], row["t1"], row["t2"], row["n"], strict=True):
                         here = np.ones(end - start, bool) if n > 1 else gone[start:end]
                         spans = int(np.count_nonzero(here[1:] & ~here[:-1])) + int(here[0])
-                        kept = held.data[start:end][~here].tobytes()
+                        kept = data[start:end][~here].tobytes()
                         out.append((t1, t2, n, end - start, int(here.sum()), spans, kept if with_bytes else hashlib.sha256(kept).hexdigest()))
                         start = end
                 yield _batch(out, "t1 t2 n size n_removed n_spans kept", kinds)
 
-        full = ranked.join(repeats.hint("shuffle_hash"), "block", "left")
-        found = staged(full.mapInArrow(finish, f"t1 long, t2 long, n long, size long, n_removed long, n_spans long, kept {kind}").drop("size"))
+        found = staged(ranked.mapInArrow(finish, f"t1 long, t2 long, n long, size long, n_removed long, n_spans long, kept {kind}").drop("size"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(spark, path)

@@ -53,17 +53,17 @@ def planted(r):
     return rows
 
 
-def test_windows_share_a_sample():
-    cover = set(suffixes.COVER)
-    for i in range(suffixes.PERIOD):
-        for j in range(suffixes.PERIOD):
-            assert any((i + d) % suffixes.PERIOD in cover and (j + d) % suffixes.PERIOD in cover for d in range(suffixes.PERIOD))
+@pytest.mark.parametrize("period, cover", suffixes.LEVELS)
+def test_any_two_places_share_a_shift(period, cover):
+    for i in range(period):
+        for j in range(period):
+            assert any((i + d) % period in cover and (j + d) % period in cover for d in range(period))
 
 
 @pytest.mark.parametrize("small", [False, True])
 def test_planted_passages(frame, monkeypatch, small):
     if small:  # many blocks, slices, groups and buckets, and buckets merged as they are read
-        for name, value in (("BLOCK", 3000), ("BUCKET", 200), ("MERGE", 300), ("SEGMENT", suffixes.PERIOD * 4), ("GROUP", 700)):
+        for name, value in (("BLOCK", 3000), ("BUCKET", 200), ("MERGE", 300), ("SEGMENT", 133 * 31), ("GROUP", 700)):
             monkeypatch.setattr(suffixes, name, value)
     rows = planted(random.Random(7))
     got = found(frame(rows).repartition(4))
