@@ -16,7 +16,7 @@ to that depth only, and they are sorted in levels, one bucket at a time:
 A bucket is what shares the first bits of a fingerprint, and has about BUCKET suffixes whatever the
 corpus' size; its task sorts one bucket, answers, and forgets it.  In a bucket's task there is no text to
 go on comparing, so a suffix brings a fingerprint of all bytes that it is sorted by: 47 bits and
-the bucket's for the samples, which only select, and 79 bits and the bucket's for the windows.
+the bucket's for the samples, which only select, and 71 bits and the bucket's for the windows.
 That is where this departs from blockwise sorting in one memory, in which a long tie is resolved by looking up the
 ranks of the sample suffixes at the tie's common shift: that shift differs from pair to pair, and a
 suffix would have to bring all 12 ranks.  Here ranks decide which suffixes can tie at all.
@@ -160,26 +160,37 @@ def told_apart(prints: list):
 
 
 def _gaps(places) -> bytes:
-    """Rising places as differences of 16 bits, or of 32 with a mark in front."""
+    """Rising places: the first, and the differences as their low bytes and, deflated, their high bytes."""
+    import zlib
+
     import numpy as np
 
-    gaps = np.diff(places, prepend=0)
-    small = not len(gaps) or gaps[1:].max(initial=0) < 1 << 16
-    head = int(gaps[0]).to_bytes(8, "little") if len(gaps) else b""
-    return (b"\x02" if small else b"\x08") + head + gaps[1:].astype(np.uint16 if small else np.uint64).tobytes()
+    if not len(places):
+        return b""
+    gaps = np.diff(places)
+    low, high = gaps.astype(np.uint8), (gaps >> 8).astype(np.uint64 if gaps.max(initial=0) >= 1 << 16 else np.uint8)
+    return len(places).to_bytes(8, "little") + int(places[0]).to_bytes(8, "little") + low.tobytes() + zlib.compress(high.tobytes(), 1)
 
 
 def _places(blob: bytes):
+    import zlib
+
     import numpy as np
 
-    if len(blob) < 9:
+    if not blob:
         return np.empty(0, np.int64)
-    gaps = np.frombuffer(blob, np.uint16 if blob[0] == 2 else np.uint64, offset=9).astype(np.int64)
-    return np.cumsum(np.concatenate([[int.from_bytes(blob[1:9], "little")], gaps]))
+    n = int.from_bytes(blob[:8], "little") - 1
+    places = np.empty(n + 1, np.int64)
+    places[0] = int.from_bytes(blob[8:16], "little")
+    high = zlib.decompress(blob[16 + n :])
+    gaps = np.frombuffer(high, np.uint8 if len(high) == n else np.uint64).astype(np.int64) << 8
+    np.cumsum(gaps + np.frombuffer(blob, np.uint8, n, 16), out=places[1:])
+    places[1:] += places[0]
+    return places
 
 
 def _sent(block: int, places, prints: list, several, bits: int):
-    """Rows (bucket, block, places, head, tail) of a group's strings: 47 bits of one lane, or 63 of one and 16 of the other."""
+    """Rows (bucket, block, places, head, tail) of a group's strings: 47 bits of one lane, or 63 of one and 8 of the other."""
     import numpy as np
 
     one, top = np.uint64(1), np.uint64(64 - bits)
@@ -190,7 +201,7 @@ def _sent(block: int, places, prints: list, several, bits: int):
     if len(prints) == 1:
         head, tail = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), (word >> np.uint64(32)).astype(np.uint16)
     else:
-        head, tail = word, prints[1][order].astype(np.uint16)
+        head, tail = word, prints[1][order].astype(np.uint8)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
         yield int(bucket[a]), block, _gaps(places[a:b]), head[a:b].tobytes(), tail[a:b].tobytes()
@@ -251,9 +262,10 @@ class Bucket:
     def add(self, row: dict) -> None:
         import numpy as np
 
-        tail = np.frombuffer(row["tail"], np.uint16)
-        if len(row["head"]) == 4 * len(tail):
-            word, tail = np.frombuffer(row["head"], np.uint32).astype(np.uint64) | tail.astype(np.uint64) << np.uint64(32), np.zeros_like(tail)
+        tail = np.frombuffer(row["tail"], np.uint8)
+        if len(row["head"]) == 2 * len(tail):
+            tail = tail.view(np.uint16)
+            word, tail = np.frombuffer(row["head"], np.uint32).astype(np.uint64) | tail.astype(np.uint64) << np.uint64(32), np.zeros(len(tail), np.uint8)
         else:
             word = np.frombuffer(row["head"], np.uint64)
         places = _places(row["places"])
@@ -261,11 +273,11 @@ class Bucket:
         self.size += len(places)
 
     def answers(self):
-        """(block, places) of the suffixes found again; each of them is told once."""
+        """(block, place) arrays of the suffixes found again; each of them is told once."""
         import numpy as np
 
         if not self.parts:
-            return
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         word, tail, several, block, places = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(word)
         word, tail, several, block, places = (x[order] for x in (word, tail, several, block, places))
@@ -279,34 +291,42 @@ class Bucket:
         self.parts = [(word[heads], tail[heads], several[heads], block[heads], places[heads])]
         self.size = len(heads)
         self.most = max(MERGE, 2 * self.size)
-        at, of = places[open_], block[open_]
-        if not len(of):
-            return
-        order = np.lexsort((at, of))
-        at, of = at[order], of[order]
-        cuts = np.flatnonzero(np.diff(of, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(of)), strict=True):
-            yield int(of[a]), _gaps(at[a:b])
+        return block[open_], places[open_]
+
+
+def _by_block(found: list):
+    """(block, places) of pairs of arrays."""
+    import numpy as np
+
+    block, places = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((places, block))
+    block, places = block[order], places[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    return [(int(block[a]), _gaps(places[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(block)), strict=True)] if len(cuts) else []
 
 
 def sorted_buckets(sent: DataFrame) -> DataFrame:
-    """(block, places): what the buckets answer to the blocks, in pieces."""
+    """(block, places): what the buckets answer to the blocks, in pieces of several buckets."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds, at, held = [pa.int64(), pa.binary()], None, Bucket()
+        kinds, at, held, found, size = [pa.int64(), pa.binary()], None, Bucket(), [], 0
         for batch in batches:
             for row in batch.to_pylist():
+                if row["head"] is None:
+                    yield _batch([(row["block"], row["places"])], "block places", kinds)
+                    continue
                 if row["bucket"] != at or held.size >= held.most:
-                    yield _batch(list(held.answers()), "block places", kinds)
+                    found.append(held.answers())
+                    size += len(found[-1][0])
                     held = Bucket() if row["bucket"] != at else held
                     at = row["bucket"]
-                if row["head"] is None:
-                    yield _batch([(row["block"], row["places"])], "block places", kinds)
-                else:
-                    held.add(row)
-        yield _batch(list(held.answers()), "block places", kinds)
+                if size >= MERGE:
+                    yield _batch(_by_block(found), "block places", kinds)
+                    found, size = [], 0
+                held.add(row)
+        yield _batch(_by_block([*found, held.answers()]), "block places", kinds)
 
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, places binary")
 
