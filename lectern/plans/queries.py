@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import audio, text, times, vectors
+from lectern.functions.shared import shared_dir
 from lectern.operators import affinity, ann, cache, chunks, compose, dense, discover, feed, listing, retrieve, sections, status, upsert
 from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, headed_lines, now, papers, table
 from lectern.sources import catalog
@@ -701,7 +701,7 @@ def store_round_trip(s, d):
     from lectern.sources.schema import PAPERS as LAYOUT
     from lectern.sources.store import Store
 
-    store = Store(s, f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lectern-store-{uuid.uuid4().hex}")
+    store = Store(s, shared_dir(s))
     o = table(s, d, "orders")
     empty = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in LAYOUT.split(", ")}
     for rows in (o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'")):
@@ -712,3 +712,21 @@ def store_round_trip(s, d):
     for odd in (0, 1):
         total = store.add_feedback(events.where(F.col("id").cast("long") % 2 == odd))
     return store.read("papers").select("arxiv_id", "title", F.lit(total).cast("long").alias("feedback"))
+
+
+@query("""WITH changed AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS status, round(o_totalprice * 100)::BIGINT + CASE WHEN o_orderstatus = 'P' THEN 100 ELSE 0 END AS cents, o_orderdate, o_orderstatus FROM orders)
+SELECT o_orderkey AS key, status, cents FROM changed WHERE NOT (o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1998-01-01')""")
+def keyed_deltas(s, d):
+    """All orders, an upsert of some, a write that fails before its commit, deletions, a compaction and one more upsert."""
+    from lectern.sources.deltas import KeyedTable
+
+    held = KeyedTable(s, shared_dir(s), "key long, status string, cents long", "key")
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderdate")
+    held.upsert(o)
+    held.upsert(o.where("status = 'P'").withColumn("cents", F.col("cents") + 100))
+    held._written(o.where("status = 'F'").select("key", F.lit("lost").alias("status"), "cents", F.lit(False).alias("_gone")), 16)
+    held.upsert(o.where("status = 'O' and o_orderdate >= timestamp '1998-01-01'"), gone=F.lit(True))
+    held.compact()
+    held.upsert(held.read().where("status = 'P'").withColumn("status", F.lit("X")))
+    return held.read()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.audio import RATE, mastered, tone
 from lectern.operators.cache import CAP, evicted
-from lectern.sources.store import delete
+from lectern.functions.shared import remove as delete
 
 MOST_BYTES, TIMEOUT = 12_000_000, 25
 

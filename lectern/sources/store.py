@@ -1,8 +1,8 @@
 """The library of papers, chunks, episodes and feedback as parquet tables, and its JSON form.
 
-Keyed tables are written whole to a new version folder; a small pointer file names the current one
-and the one before.  A reader sees either of these two; older ones are deleted.  Feedback is only
-appended to.
+Keyed tables are ``deltas.KeyedTable``: an upsert adds what it changes.  The others are written whole
+to a new folder that a numbered manifest names; feedback is only appended to.  Nothing that a reader
+may be using is overwritten, and a write that fails half-way is not seen.
 """
 
 from __future__ import annotations
@@ -12,19 +12,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.shared import remove as delete
 from lectern.functions.text import cleaned_topics
-from lectern.operators.upsert import upserted
+from lectern.sources.deltas import KeyedTable
+from lectern.sources.manifest import Manifest
 from lectern.sources.schema import STORE, TABLES
 
 #: Key of each table; others are append-only.
 KEYS = {"papers": "arxiv_id", "chunks": "id", "episodes": "id"}
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a JSON document with one member a table; a missing file gives empty tables."""
     jvm = spark.sparkContext._jvm
@@ -50,37 +47,44 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[str]:
-        """Folders of the current version and the one before."""
-        try:
-            rows = self.spark.read.text(f"{self.root}/{name}.current").collect()
-        except Exception as e:  # a table that was never written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
-        return rows[0][0].split("\t") if rows else []
+    def _manifest(self, name: str) -> Manifest:
+        return Manifest(self.spark, f"{self.root}/{name}.manifest")
+
+    def keyed(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/{name}", TABLES[name], KEYS[name])
 
     def _current(self, name: str) -> str | None:
-        return next(iter(self._versions(name)), None)
+        """Folder of a table without keys; an error if there are folders and no manifest that names one."""
+        found = self._manifest(name).latest()
+        if found:
+            return found[1]["folder"]
+        at, files = self._manifest(name)._at(self.root)
+        if files.exists(at) and any(x.getPath().getName().startswith(f"{name}-") for x in files.listStatus(at)):
+            raise RuntimeError(f"{self.root} has data of {name} and no complete manifest for it")
+        return None
 
     def read(self, name: str) -> DataFrame:
+        if name in KEYS:
+            return self.keyed(name).read()
         at = self._current(name)
         schema = TABLES.get(name, "ord int, topic string" if name == "topics" else "key string, value string")
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(at)
 
     def write(self, name: str, df: DataFrame) -> None:
-        at = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        if name in KEYS:
+            return self.keyed(name).replace(df)
+        manifest, at = self._manifest(name), f"{self.root}/{name}-{uuid.uuid4().hex}"
+        now = manifest.latest()
+        number = now[0] if now else manifest.commit({"folder": None})  # so that data without a manifest is a manifest that was lost
         df.write.parquet(at)
-        held = self._versions(name)
-        self.spark.createDataFrame([("\t".join([at, *held[:1]]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.current")
-        for old in held[1:]:
-            delete(self.spark, old)
+        manifest.commit({"folder": at}, after=number)
+        for old in manifest.forget(2):
+            if old["folder"]:
+                delete(self.spark, old["folder"])
 
     def upsert(self, name: str, new: DataFrame) -> None:
-        """Replace rows by key, or append where the key is new."""
-        columns = [f.split()[0] for f in TABLES[name].split(", ")]
-        merged = upserted([self.read(name).select(*columns), new.select(*columns)], KEYS[name], KEYS[name])
-        self.write(name, merged.select(*columns))
+        """Replace rows by key, or add them where the key is new."""
+        self.keyed(name).upsert(new)
 
     def add_feedback(self, events: DataFrame) -> int:
         """Append; the number of all events, which the files' footers give."""

@@ -124,7 +124,7 @@ def test_old_versions_go(spark, tmp_path):
     frame = lambda key: spark.createDataFrame([("i", key, "t", [], "", [], "", "", 0, 0.0)], store.TABLES["papers"])
     for i in range(4):
         s.write("papers", frame(str(i)))
-    assert s.read("papers").first()["arxiv_id"] == "3" and len([p for p in tmp_path.iterdir() if p.name.startswith("papers-")]) == 2
+    assert s.read("papers").first()["arxiv_id"] == "3" and len([p for p in (tmp_path / "papers").iterdir() if p.name.startswith("part-")]) == 2
     event = spark.createDataFrame([("e", "x", "play", 0, "2024")], store.TABLES["feedback"])
     s.add_feedback(event)
     at = s._current("feedback")
