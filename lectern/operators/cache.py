@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.prefix import running
+
 CAP = 500 * 1024 * 1024
 STEPS, FEW = 1024, 20_000
 
@@ -14,8 +16,8 @@ def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "
 
     A file goes if it and all newer files exceed the cap.  That is all files before some moment,
     which is narrowed down by sums over STEPS equal spans of time, a pass each: only partial sums are
-    shuffled, and a row a span goes to the driver.  Running sums are made for the last span alone,
-    which has at most FEW files, or those of one microsecond.
+    shuffled, and a row a span goes to the driver.  Running sums (``prefix``) are made for the last span alone,
+    which has at most FEW files, or those of one microsecond, however many.
     """
     at = F.unix_micros(F.col(order).cast("timestamp"))
     rows = files.withColumn("_at", F.coalesce(at, F.lit(0).cast("long")))
@@ -34,8 +36,8 @@ def evicted(files: DataFrame, cap: int = CAP, order: str = "mtime", key: str = "
             newer += r["s"]
         else:
             return rows.where(F.col("_at") < low).select(*files.columns)
-    rest = Window.partitionBy(F.lit(0)).orderBy(F.col("_at").desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.where(F.col("_at").between(low, high)).withColumn("_rest", F.sum("size").over(rest)).where(F.col("_rest") + newer > cap)
+    edge = rows.where(F.col("_at").between(low, high)).withColumnRenamed("_at", "at_")
+    last = running(edge, [], [F.col("at_").desc(), F.col(key).desc()], {"rest_": F.col("size")}).where(F.col("rest_") + newer > cap)
     return rows.where(F.col("_at") < low).select(*files.columns).union(last.select(*files.columns))
 
 

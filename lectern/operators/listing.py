@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import audio_url, contains_fold
+from lectern.operators.prefix import running
 
 LIST_LIMIT, ROUTE_LIMIT, FEED_LIMIT = 20, 24, 25
 #: Orders of the explore view; all descending.
@@ -66,15 +67,9 @@ def dashboard(episodes: DataFrame, topics: int) -> DataFrame:
 
 
 def running_index(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """``rows`` with ``index`` from 0, running on from group to group.
-
-    Meant for a menu's groups: only a row a group meets in one task, in a window by group name.
-    """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("index", inside).join(offsets, group).withColumn("index", F.col("index") + F.col("_before")).drop("_before")
+    """``rows`` with ``index`` from 0, running on from group to group; rows without a group come first."""
+    numbered = running(rows, [], [F.col(group), F.col(order)], {"index": F.lit(1).cast("long")})
+    return numbered.withColumn("index", F.col("index") - 1)
 
 
 def grouped_commands(rows: DataFrame, wanted: str, title: str, kind: str, order: str) -> DataFrame:

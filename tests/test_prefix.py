@@ -43,3 +43,21 @@ def test_a_group_is_spread_over_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [x["count"] for x in spark.read.parquet(f"file://{tmp_path}/p").groupBy("_range").count().collect()]
     assert sum(sizes) == 20_000 and max(sizes) <= 5000
+
+
+def test_eviction_of_files_of_one_moment(spark):
+    import datetime as dt
+
+    from lectern.operators import cache
+
+    at = dt.datetime(2024, 1, 1)
+    files = spark.range(30_000).select(F.format_string("%06d", "id").alias("key"), F.lit(10).cast("long").alias("size"), F.lit(at).alias("mtime"))
+    gone = cache.evicted(files, 1000)
+    assert {x["key"] for x in gone.collect()} == {f"{i:06d}" for i in range(29_900)}
+
+
+def test_index_runs_over_groups(spark):
+    from lectern.operators import listing
+
+    rows = spark.createDataFrame([("b", 2), ("a", 9), ("b", 1), (None, 7), ("a", 3)], "g string, k int")
+    assert [(x["g"], x["k"], x["index"]) for x in listing.running_index(rows, "g", "k").orderBy("index").collect()] == [(None, 7, 0), ("a", 3, 1), ("a", 9, 2), ("b", 1, 3), ("b", 2, 4)]
