@@ -18,7 +18,8 @@ windows): lists no longer than the text, whatever a run's number of copies.  Gro
 are only ever counted and minimised, with partial sums before the shuffle; nothing is paired.
 Texts are written once, bucketed by document, and every level joins them where they lie.  Buckets
 are as many as their bytes ask for, so that what a task holds of a level does not grow with the
-corpus; the table and the levels' files are dropped when the result is written.
+corpus; beyond FILES buckets, which is near what a table can have, the levels meet in joins that
+sort and spill.  The table and the levels' files are dropped when the result is written, or when it fails.
 
 Cases: null texts have no words; texts below 20 words lose none; rows of one doc_id are parts of
 one document, ordered by their text's hash; rows without a doc_id come first, in the order of their
@@ -41,6 +42,8 @@ _INDEX = 24
 _NO_ID, _LEAST_ID = -(1 << 63), -(1 << 62)
 #: Characters of text in a bucket.
 BUCKET = 64 << 20
+#: Buckets of the table of texts at most.
+FILES = 20_000
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -215,8 +218,8 @@ def _level(rows: DataFrame, of_doc) -> DataFrame:
     return rows.mapInArrow(lambda batches: _emit(batches, of_doc, with_facts), _ROWS)
 
 
-def numbered(docs: DataFrame, path: str) -> str:
-    """Name of a table of texts (doc_id, doc, start, text), bucketed by doc; start counts characters before the text, and one a text."""
+def numbered(docs: DataFrame, path: str) -> tuple[str, str]:
+    """Name of a table of texts (doc_id, doc, start, text), bucketed by doc, and how to join it; start counts characters before the text, and one a text."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
@@ -245,24 +248,34 @@ def numbered(docs: DataFrame, path: str) -> str:
         base += r["size"]
     bases = spark.createDataFrame(rows_, "range int, base long")
     starts = local.join(F.broadcast(bases), "range").select("doc", "part_no", (F.col("base") + F.col("local")).alias("start"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base // BUCKET))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base // BUCKET))
+    n = min(wanted, FILES)
     texts = keyed.repartition(n, "doc").withColumn("part_no", F.row_number().over(order)).join(starts, ["doc", "part_no"])
     name = f"lectern_{uuid.uuid4().hex}"
     out = texts.select("doc_id", "doc", "start", "text")
     out.write.mode("overwrite").option("path", f"{path}/texts").option("compression", "zstd").bucketBy(n, "doc").format("parquet").saveAsTable(name)
-    return name
+    return name, "shuffle_hash" if wanted <= FILES else "merge"
 
 
 def _lists(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("doc").agg(F.collect_list("g").alias(name)).hint("shuffle_hash")
+    return rows.groupBy("doc").agg(F.collect_list("g").alias(name))
 
 
 def deduplicated(docs: DataFrame, with_words: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): ``kept`` are the words that stay, joined by blanks (if ``with_words``)."""
     spark = session(docs)
     path = shared_dir(spark)
-    name = numbered(docs, path)
-    texts = spark.table(name)
+    name, how = numbered(docs, path)
+    try:
+        return _deduplicated(spark.table(name), how, path, with_words)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def _deduplicated(texts: DataFrame, how: str, path: str, with_words: bool) -> DataFrame:
+    """``deduplicated`` of the table of texts, whose joins have the hint ``how``."""
+    spark = texts.sparkSession
     release(spark)
 
     counted = lambda rows: rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("g").alias("g"), F.max("g").alias("top"), F.min("doc").alias("doc"))
@@ -273,7 +286,7 @@ def deduplicated(docs: DataFrame, with_words: bool = True) -> DataFrame:
     release(spark)
 
     none = F.array().cast("array<long>").alias("held")
-    rows = staged(_level(texts.join(five.hint("shuffle_hash"), "doc", "left").select("doc", "start", "text", none, "settled"), level_ten), f"{path}/ten")
+    rows = staged(_level(texts.join(five.hint(how), "doc", "left").select("doc", "start", "text", none, "settled"), level_ten), f"{path}/ten")
     once = counted(rows.where("g >= 0")).where("n = 1").select("doc", "g")
     marked = rows.select("doc", "g", F.lit(0).alias("k")).union(once.select("doc", "g", F.lit(1).alias("k")))
     of = lambda k: F.collect_list(F.when(F.col("k") == k, F.col("g")))
@@ -281,7 +294,7 @@ def deduplicated(docs: DataFrame, with_words: bool = True) -> DataFrame:
     remove(spark, f"{path}/five")
     release(spark)
 
-    facts = texts.join(ten.hint("shuffle_hash"), "doc", "left").select("doc_id", "doc", "start", "text", "held", "settled")
+    facts = texts.join(ten.hint(how), "doc", "left").select("doc_id", "doc", "start", "text", "held", "settled")
     firsts = counted(_level(facts, level_twenty)).select("doc", "g")
     twenty = staged(_lists(firsts, "first"), f"{path}/twenty")
     release(spark)
@@ -302,11 +315,9 @@ def deduplicated(docs: DataFrame, with_words: bool = True) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    full = facts.join(twenty.hint("shuffle_hash"), "doc", "left").select("doc_id", "start", "text", "held", "settled", "first")
+    full = facts.join(twenty.hint(how), "doc", "left").select("doc_id", "start", "text", "held", "settled", "first")
     out = full.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     out = staged(out if with_words else out.drop("kept"))
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, path)
     return out
 
 

@@ -336,8 +336,8 @@ def _ranks(rows: DataFrame, bits: int, level: int, path: str) -> DataFrame:
     return staged(sorted_buckets(_send(rows, bits, level)).groupBy("block").agg(F.collect_list("places").alias("ranks")), path)
 
 
-def packed(docs: DataFrame, path: str) -> tuple[str, int]:
-    """Name of a table of blocks (block, data, ends, t1, t2, n), bucketed by block, and the bytes of all texts.
+def packed(docs: DataFrame, path: str) -> tuple[str, str, int]:
+    """Name of a table of blocks (block, data, ends, t1, t2, n), bucketed by block, how to join it, and the bytes of all texts.
 
     The texts are the distinct ones of LENGTH bytes or more; n is the number of their copies.
     """
@@ -345,7 +345,8 @@ def packed(docs: DataFrame, path: str) -> tuple[str, int]:
     rows = docs.where(F.col("size") >= LENGTH).select("t1", "t2", F.col("text").cast("binary").alias("data"))
     total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = max(1, total // BLOCK)
-    files = min(FILES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 16)
+    files = min(wanted, FILES)
 
     def distinct(batches):
         """A task's texts once each, and the number of further copies at its end."""
@@ -397,7 +398,7 @@ def packed(docs: DataFrame, path: str) -> tuple[str, int]:
     name = f"lectern_{uuid.uuid4().hex}"
     small = {"compression": "zstd", "parquet.block.size": str(BLOCK << 2), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
     made.write.mode("overwrite").options(path=f"{path}/blocks", **small).bucketBy(files, "block").format("parquet").saveAsTable(name)
-    return name, total
+    return name, "shuffle_hash" if wanted <= FILES else "merge", total
 
 
 def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
@@ -408,7 +409,7 @@ def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns(
         {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text"), "size": F.octet_length("text").cast("long")}
     )
-    name, total = packed(rows, path)
+    name, how, total = packed(rows, path)
     try:
         blocks = spark.table(name)
         release(spark)
@@ -416,7 +417,7 @@ def removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
         bits = max(0, (total // BUCKET * len(cover) // period).bit_length())
         ranked = blocks
         for level in range(len(LEVELS)):
-            ranked = blocks.join(_ranks(ranked, bits, level, f"{path}/ranks{level}").hint("shuffle_hash"), "block", "left")
+            ranked = blocks.join(_ranks(ranked, bits, level, f"{path}/ranks{level}").hint(how), "block", "left")
             release(spark)
         kind = "binary" if with_bytes else "string"
 

@@ -242,3 +242,20 @@ def test_linked_chain(n):
 
 def test_substrings_equal_sql(spark, data, same):
     same(substrings.query(spark, data), substrings.ORACLE)
+
+
+def test_substrings_beyond_the_most_buckets(frame, monkeypatch):
+    """More buckets asked for than a table can have: fewer, joined by sorting; the table goes when the work fails, too."""
+    r = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join([*[f"w{r.randrange(10**6)}" for _ in range(40)], passage if i % 3 else "", "end"])) for i in range(60)]
+    df = frame(rows)
+    read = lambda: sorted(map(tuple, substrings.deduplicated(df).collect()))
+    whole = read()
+    monkeypatch.setattr(substrings, "BUCKET", 1)
+    monkeypatch.setattr(substrings, "FILES", 5)
+    assert read() == whole and sum(x[2] for x in whole) > 0
+    monkeypatch.setattr(substrings, "_level", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        read()
+    assert not [t.name for t in df.sparkSession.catalog.listTables() if t.name.startswith("lectern_")]

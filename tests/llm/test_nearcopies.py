@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from lectern.llm import nearcopies, simhash
 
@@ -73,3 +75,25 @@ def test_odd_near_copies(frame, odd):
 def test_jaccard_bound():
     a = nearcopies.shingles(" ".join(f"v{i}" for i in range(104)))
     assert len(a) == 100 and nearcopies.jaccard(a, a[:80]) == 0.8 and nearcopies.jaccard(a, a[:79]) < 0.8
+
+
+def test_a_large_family_meets_its_centre_in_parts(frame, monkeypatch):
+    """Members beyond FAN meet copies of their centre's set; sizes and minima leave no link out."""
+    monkeypatch.setattr(nearcopies, "FAN", 7)
+    r = random.Random(6)
+    base = [f"b{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*base[:180], *[f"m{i}x{k}" for k in range(r.randrange(0, 20))]])) for i in range(90)]
+    rows += [(1000 + i, " ".join(f"o{i}q{k}" for k in range(120))) for i in range(20)]
+    rows += [(2000, " ".join(base[:150]))]  # at 146 of 176 shingles still within 0.8
+    assert sorted(x["doc_id"] for x in nearcopies.survivors(frame(rows)).collect()) == [0, *range(1000, 1020)]
+
+
+def test_minima_agree_as_sets_do():
+    masks, factors = nearcopies.permutations()
+    r = np.random.default_rng(3)
+    for share in (0.8, 0.9):
+        a = r.integers(0, 1 << 64, 1000, np.uint64)
+        b = np.concatenate([a[: int(1000 * share)], r.integers(0, 1 << 64, 5, np.uint64)])
+        mins = [nearcopies.short_minima(nearcopies.minima(x, masks, factors), factors) for x in (a, b)]
+        assert abs(nearcopies.agreeing(*mins) - nearcopies.jaccard(np.sort(a), np.sort(b))) < 0.15
+    assert nearcopies.short_minima(nearcopies.minima(a[:0], masks, factors), factors) == b""

@@ -63,7 +63,7 @@ def test_any_two_places_share_a_shift(period, cover):
 @pytest.mark.parametrize("small", [False, True])
 def test_planted_passages(frame, monkeypatch, small):
     if small:  # many blocks, slices, groups and buckets, and buckets merged as they are read
-        for name, value in (("BLOCK", 3000), ("BUCKET", 200), ("MERGE", 300), ("SEGMENT", 133 * 31), ("GROUP", 700)):
+        for name, value in (("BLOCK", 3000), ("BUCKET", 200), ("MERGE", 300), ("SEGMENT", 133 * 31), ("GROUP", 700), ("FILES", 4)):
             monkeypatch.setattr(suffixes, name, value)
     rows = planted(random.Random(7))
     got = found(frame(rows).repartition(4))
