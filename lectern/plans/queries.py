@@ -730,3 +730,44 @@ def keyed_deltas(s, d):
     held.compact()
     held.upsert(held.read().where("status = 'P'").withColumn("status", F.lit("X")))
     return held.read()
+
+
+def _fed(rows: DataFrame, folder: str, parts: int) -> None:
+    """Add rows to a stream's folder as ``parts`` files by time."""
+    rows.repartitionByRange(parts, "ts").write.mode("append").parquet(folder)
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def feedback_exactly_once(s, d):
+    """Events as a stream in two runs, a third of them sent again in the second, and a batch that is run twice."""
+    from lectern.streaming import feedback
+
+    at, rows = shared_dir(s), table(s, d, "events").select("event_id", "ts", "user_id", "event_type")
+    ddl = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    sent = [rows.where("ts < timestamp_ntz '2024-01-16'"), rows.where("ts >= timestamp_ntz '2024-01-16'"), rows.where("ts between timestamp_ntz '2024-01-10' and timestamp_ntz '2024-01-20'")]
+    for part in (sent[:1], sent[1:]):
+        for x in part:
+            _fed(x, f"{at}/in", 2)
+        stream = s.readStream.schema(ddl).option("maxFilesPerTrigger", 3).parquet(f"{at}/in")
+        feedback.recorded(stream, f"{at}/log", f"{at}/state", late="60 days").awaitTermination()
+    feedback.append_batch(sent[0], f"{at}/log", 0)
+    return feedback.log(s, f"{at}/log", ddl).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query(f"WITH {_AFFINITY} SELECT term, round(score, 4) AS score FROM affinity")
+def affinity_stream(s, d):
+    """The scores of ``affinity_decay`` from a stream in several triggers and two runs, by a table of states."""
+    import datetime as dt
+
+    from lectern.sources.deltas import KeyedTable
+    from lectern.streaming import affinity as streaming
+
+    at, origin, until = shared_dir(s), dt.datetime(2024, 1, 1), dt.datetime.fromisoformat(NOW)
+    rows = events(s, d).select("episode_id", "event_type", "ts")
+    topics = papers(s, d).select(F.col("id").alias("episode_id"), F.col("title").alias("topic"))
+    held = KeyedTable(s, f"{at}/states", streaming.STATE, "term")
+    for part in (rows.where("ts < timestamp_ntz '2024-01-16'"), rows.where("ts >= timestamp_ntz '2024-01-16'")):
+        _fed(part, f"{at}/in", 2)
+        stream = s.readStream.schema(", ".join(f"{c} {t}" for c, t in rows.dtypes)).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        streaming.accumulated(stream, topics, origin, held, f"{at}/checkpoint", until).awaitTermination()
+    return streaming.read_at(held.read(), origin, until).select("term", F.round("score", 4).alias("score"))

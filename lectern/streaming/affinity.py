@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lectern.functions.text import topic_terms
 from lectern.operators.affinity import DECAY_DAYS, weight
+from lectern.sources.deltas import KeyedTable
 
 
 def factored(events: DataFrame, topics: DataFrame, origin: dt.datetime, latest: dt.datetime | None = None) -> DataFrame:
@@ -39,6 +40,31 @@ def started(events: DataFrame, topics: DataFrame, origin: dt.datetime, name: str
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: Columns of a table of states.
+STATE = "term string, state double"
+
+
+def accumulated(events: DataFrame, topics: DataFrame, origin: dt.datetime, held: KeyedTable, checkpoint: str, latest: dt.datetime | None = None, **trigger) -> StreamingQuery:
+    """Add the stream to the states in ``held`` (STATE, by term): a batch writes the terms that it has, and its number with them.
+
+    The table outlives the query; a batch that is run again after its commit changes nothing.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = factored(batch, topics, origin, latest)
+        old = held.read().withColumnRenamed("state", "before")
+        summed = fresh.join(old, "term", "left").select("term", (F.col("state") + F.coalesce("before", F.lit(0.0))).alias("state"))
+        held.upsert(summed, source="affinity", batch=number)
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def faded(held: KeyedTable, origin: dt.datetime, now: dt.datetime, least: float) -> bool:
+    """Delete the terms whose score at ``now`` is below ``least`` either way; whether there were any."""
+    gone = read_at(held.read(), origin, now).where(F.abs("score") < least).select("term", F.lit(None).cast("double").alias("state"))
+    return held.upsert(gone, gone=F.lit(True))
+
+
 def appended(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append-only feedback log, stamped on arrival where no time is given."""
     stamped = events.withColumn("created_at", F.coalesce("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")))
