@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import audio, text, times, vectors
 from lectern.functions.shared import shared_dir
-from lectern.operators import affinity, ann, cache, chunks, compose, dense, discover, feed, listing, retrieve, sections, status, upsert
+from lectern.operators import affinity, ann, cache, chunks, compose, dense, discover, feed, listing, retrieve, sections, sparse, status, upsert
 from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, headed_lines, now, papers, table
 from lectern.sources import catalog
 
@@ -345,25 +345,20 @@ sim AS (SELECT q.item_id AS q, c.doc_id AS c, sum(q.tf * c.tf) / (any_value(ql.l
   JOIN (SELECT item_id, sqrt(sum(tf * tf)) AS l FROM qtf GROUP BY 1) ql USING (item_id) JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS l FROM tf GROUP BY 1) cl USING (doc_id) GROUP BY q.item_id, c.doc_id)"""
 
 
-def _similar(s, d):
-    q = retrieve.term_counts(table(s, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "q")
-    c = retrieve.term_counts(docs(s, d), "doc_id", "text").withColumnRenamed("doc_id", "c")
-    return retrieve.sparse_cosine(q, c).select("q", "c", F.col("similarity").alias("s"))
+def _similar(s, d, k, extra=None):
+    return sparse.sparse_topk(docs(s, d), table(s, d, "benchmark"), k, "doc_id", "text", "item_id", "text", extra)
 
 
 @query(f"WITH {_TF}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, c) AS rank FROM sim) SELECT q, c, rank, round(s, 4) AS similarity FROM r WHERE rank <= 4")
 def sparse_cosine_topk(s, d):
-    top = retrieve.top_k(_similar(s, d).withColumn("key", F.round("s", 6)), "q", "key", "c", 4)
-    return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("s", 4).alias("similarity"))
+    return _similar(s, d, 4).select("q", "c", "rank", F.round("score", 4).alias("similarity"))
 
 
 @query(f"WITH {_TF}, b AS (SELECT q, c, s + CASE c % 4 WHEN 0 THEN 0.18::DOUBLE WHEN 1 THEN 0.16::DOUBLE WHEN 2 THEN 0.08::DOUBLE ELSE 0::DOUBLE END AS score FROM sim), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, c) AS rank FROM b) SELECT q, c, rank, round(score, 4) AS score FROM r WHERE rank <= 5")
 def section_bonus_topk(s, d):
-    kind = F.col("c") % 4
+    kind = F.col("doc_id") % 4
     section = F.when(kind == 0, "abstract").when(kind == 1, "results").when(kind == 2, "methods").otherwise("background")
-    scored = _similar(s, d).withColumn("score", F.col("s") + retrieve.bonus(section)).withColumn("key", F.round("score", 6))
-    top = retrieve.top_k(scored, "q", "key", "c", 5)
-    return top.select("q", "c", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return _similar(s, d, 5, retrieve.bonus(section)).select("q", "c", "rank", F.round("score", 4).alias("score"))
 
 
 _RETRIEVE = rf"""lines AS (SELECT doc_id AS paper, ln AS c, line AS content, CASE ln % 3 WHEN 0 THEN 'abstract' WHEN 1 THEN 'results' ELSE 'background' END AS section
