@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import audio, text, times, vectors
 from lectern.functions.shared import shared_dir
-from lectern.operators import affinity, ann, cache, chunks, compose, dense, discover, feed, listing, retrieve, sections, sparse, status, upsert
+from lectern.operators import affinity, ann, cache, chunks, compose, contains, dense, discover, feed, listing, retrieve, sections, sparse, status, upsert
 from lectern.plans.domain import CHUNKS, EPISODES, EVENTS, LINES, NOW, PAPERS, TERMS, TOPICS, episodes, events, headed_lines, now, papers, table
 from lectern.sources import catalog
 
@@ -220,6 +220,15 @@ def term_hits_theta(s, d):
     return p.select("id", "hits", F.round(F.col("hits") / 6.0, 4).alias("share"))
 
 
+@query(r"""WITH terms AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '\s+'))) AS term FROM benchmark), hits AS (SELECT doc_id, term FROM documents JOIN terms ON term <> '' AND contains(lower(text), term))
+SELECT doc_id, count(*) AS hits, md5(string_agg(term, ' ' ORDER BY term)) AS terms FROM hits GROUP BY doc_id""")
+def term_containment(s, d):
+    """All words of ``benchmark`` against all ``documents``."""
+    terms = table(s, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term"))
+    hits = contains.contained(docs(s, d), "doc_id", "text", terms, "term")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ")).alias("terms"))
+
+
 _WEIGHT = "CASE event_type WHEN 'complete' THEN 1.0::DOUBLE WHEN 'play' THEN 0.5::DOUBLE WHEN 'skip' THEN -0.4::DOUBLE ELSE 0::DOUBLE END"
 _AFFINITY = f"""{EVENTS}, {PAPERS}, live AS (
   SELECT e.episode_id, p.title, {_WEIGHT} * exp(-greatest(date_diff('microsecond', ts, TIMESTAMP '{NOW}') / 86400000000::DOUBLE, 0) / 7::DOUBLE) AS w
