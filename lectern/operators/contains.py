@@ -40,7 +40,7 @@ def contained(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str,
     """(key, term): the distinct terms, in lower case, that occur in each row's lower-case text.
 
     Null and empty terms, null texts and null keys give nothing; a repeated row gives its terms again.
-    Terms are staged, with the gram that each is keyed by.
+    Terms, their grams and the texts' grams that pass the map are staged: texts are cut into grams once.
     """
     wanted = terms.select(F.lower(F.col(term)).alias("term")).where("term <> ''").distinct()
     held = staged(wanted.withColumn("size", F.least(F.length("term"), F.lit(GRAM))))
@@ -54,11 +54,12 @@ def contained(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str,
     words = [sum(1 << j for j in range(32) if 32 * i + j in bits) for i in range(PLACES // 32)]
     chart = F.from_json(F.lit(str(words)), "array<bigint>")
     open_ = lambda g: F.get(chart, (_places(g) / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_places(g), F.lit(32)).cast("int"))) != 0
-    in_texts = texts.select("key", F.explode(F.filter(grams(F.col("_text"), sizes), open_)).alias("gram"))
+    in_texts = staged(texts.select("key", F.explode(F.filter(grams(F.col("_text"), sizes), open_)).alias("gram")))
 
     counts = in_texts.groupBy("gram").agg(F.count("*").alias("texts"))
     best = staged(of_terms.join(counts, "gram").groupBy("term").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram")))
     blocks = max(1, -(-best.count() // block))
-    met = in_texts.join(best, "gram").groupBy("key", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("_b")).agg(F.collect_set("term").alias("_terms"))
+    lists = best.groupBy("gram", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("_b")).agg(F.collect_list("term").alias("_terms"))
+    met = in_texts.join(lists, "gram").groupBy("key", "_b").agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_terms"))  # twice only where a row is repeated
     found = texts.join(met.select("key", "_terms"), "key").select("key", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("term"))
     return found.withColumnRenamed("key", key)
