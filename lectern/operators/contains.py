@@ -3,7 +3,7 @@
 A term is keyed by the one of its grams of three characters (the term itself if shorter) that fewest
 texts have.  A text that contains the term has that gram, so the two meet in an equi-join; no text
 is compared with a term that it has no such gram of.  The terms that a text has met go to it in blocks,
-and ``contains`` decides.
+and an automaton of a block's terms decides in one pass over the whole text.
 
 Grams of texts pass a fixed bit map of 2^16 places before they are exploded, so that what is shuffled
 follows the terms' grams and not the texts' length; the map does not grow with the data.
@@ -36,6 +36,26 @@ def _places(g: Column) -> Column:
     return F.pmod(F.xxhash64(g), F.lit(PLACES))
 
 
+def _found(met: DataFrame) -> DataFrame:
+    """(key, term) of rows (key, _text, _terms): one automaton of a row's terms, one pass over its text, whatever their number."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, (text, terms) in enumerate(zip(batch.column("_text"), batch.column("_terms"), strict=True)):
+                machine = ahocorasick.Automaton()
+                for t in terms.as_py():
+                    machine.add_word(t, t)
+                machine.make_automaton()
+                hits = sorted({t for _, t in machine.iter(text.as_py())})
+                if hits:
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([at] * len(hits))), pa.array(hits, pa.string())], ["key", "term"])
+
+    return met.mapInArrow(run, f"key {met.schema['key'].dataType.simpleString()}, term string")
+
+
 def contained(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str, block: int = BLOCK) -> DataFrame:
     """(key, term): the distinct terms, in lower case, that occur in each row's lower-case text.
 
@@ -61,5 +81,5 @@ def contained(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str,
     blocks = max(1, -(-best.count() // block))
     lists = best.groupBy("gram", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("_b")).agg(F.collect_list("term").alias("_terms"))
     met = in_texts.join(lists, "gram").groupBy("key", "_b").agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_terms"))  # twice only where a row is repeated
-    found = texts.join(met.select("key", "_terms"), "key").select("key", F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("term"))
+    found = _found(texts.join(met.select("key", "_terms"), "key").select("key", "_text", "_terms"))
     return found.withColumnRenamed("key", key)
