@@ -7,9 +7,9 @@ the factor that makes the expected number of tokens KEEP times the tokens there
 is in the sample if a hash of its id and text lies below its probability.
 
 Topics come from the texts: term vectors (tokens of three letters or more, hashed
-to WIDTH buckets; logarithmic counts times inverse document frequency) are clustered by spherical k-means, TOPICS
-clusters in each language with LEAST documents in the sample that the clusters are fitted on; that
-sample is bounded by SAMPLE documents drawn by hash.  Every document is then given the nearest
+to WIDTH buckets; logarithmic counts times inverse document frequency) are clustered by spherical k-means over all
+documents, TOPICS clusters in each language with LEAST documents and one in MOST_LANGS of all (another has one topic).
+A round is one pass that sums the vectors by cluster; every document is then given the nearest
 cluster.  A topic is named ``language/number``, so that a language's topics share out its weight.
 
 Raking has one form for any number of sources: a cell's weight is tokens * a[source] * f[topic].
@@ -36,7 +36,7 @@ from lectern.llm.common import hot_join, session, staged, table
 MODEL = "byte_bpe_50k.tiktoken"
 #: A run of white space this long is set apart, as the library's pattern cannot pass it.
 BLANK_RUN = 10_000
-TOPICS, WIDTH, SAMPLE, LEAST, ROUNDS = 8, 1024, 4000, 40, 15
+TOPICS, WIDTH, LEAST, MOST_LANGS, ROUNDS, BITS = 8, 1024, 40, 100, 15, 24
 TEMPERING, KEEP, SEED = {"source": 0.7, "lang": 0.7, "topic": 0.0}, 0.8, 7
 SWEEPS, ENOUGH, STALL, MOST_TOPICS = 200, 1e-6, 10, 1_000_000
 MARGINS = ("source", "lang", "topic")
@@ -104,56 +104,198 @@ def unit(x):
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def clusters(counts, k: int, seed: int = SEED):
-    """(inverse document frequencies, unit centres) by spherical k-means; at most ``k`` centres."""
-    import numpy as np
+class Sparse:
+    """Rows of term counts, each as bytes of its buckets (two a term) and then their counts (four a term)."""
 
-    r = np.random.default_rng(seed)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-    x = unit(np.log1p(counts) * idf)
-    centres = x[[int(r.integers(len(x)))]]
-    while len(centres) < k:  # each next centre is drawn by the distance to those there are
-        far = np.clip(1 - (x @ centres.T).max(axis=1), 0, None) ** 2
-        if far.sum() <= 1e-9:
-            break
-        centres = np.vstack([centres, x[int(r.choice(len(x), p=far / far.sum()))]])
-    for _ in range(ROUNDS):
-        near = np.argmax(x @ centres.T, axis=1)
-        sums = np.stack([x[near == i].sum(axis=0) for i in range(len(centres))])
-        new = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, unit(sums), centres)
-        if np.allclose(new, centres):
-            break
-        centres = new
-    return idf, centres
+    def __init__(self, rows: list[bytes]):
+        import numpy as np
+
+        sizes = np.fromiter((len(r) // 6 for r in rows), np.int64, len(rows))
+        self.n, self.rows = len(rows), np.repeat(np.arange(len(rows)), sizes)
+        self.buckets = np.frombuffer(b"".join(r[: len(r) // 3] for r in rows), "<u2").astype(np.int64)
+        self.logs = np.log1p(np.frombuffer(b"".join(r[len(r) // 3 :] for r in rows), "<u4"))
+
+    @staticmethod
+    def packed(counts) -> list[bytes]:
+        import numpy as np
+
+        at = [np.flatnonzero(row) for row in counts]
+        return [b.astype("<u2").tobytes() + row[b].astype("<u4").tobytes() for b, row in zip(at, counts, strict=True)]
+
+    def weighted(self, idf):
+        """(weights of the terms, length of each row)."""
+        import numpy as np
+
+        w = self.logs * idf[self.buckets]
+        return w, np.sqrt(np.bincount(self.rows, w * w, self.n))
+
+    def scores(self, w, centres):
+        """Dot product of each row with each centre; a row's sums do not depend on the rows beside it."""
+        import numpy as np
+
+        return np.stack([np.bincount(self.rows, w * c[self.buckets], self.n) for c in centres], axis=1)
 
 
 def _named(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
 
-def topic_model(docs: DataFrame, tokens: tuple[str, str], sample: int = SAMPLE, seed: int = SEED) -> dict:
-    """language -> (inverse document frequencies, centres), fitted on about ``sample`` documents drawn by hash."""
-    import numpy as np
+def topic_model(docs: DataFrame, tokens: tuple[str, str], seed: int = SEED) -> dict:
+    """language -> (inverse document frequencies, centres), fitted on all documents."""
+    return clustered(staged(read(docs.select("doc_id", "text", "lang", F.lit("").alias("source")), tokens)), seed)
 
-    session(docs)
-    total = docs.count()
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) * F.lit(2.0**-53)
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text"), _named("lang")).where(drawn * F.lit(float(max(total, 1))) < sample)
+
+def _blocks(rows: DataFrame, idf: dict) -> DataFrame:
+    """(lang, sizes, draws, buckets, weights): rows of one language of an Arrow batch each, without those that have no terms.
+
+    Weights are those of vectors of length one, times 2 ** BITS and rounded, so that sums of them are whole numbers.
+    """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        terms = Terms(*tokens)
         for batch in batches:
-            held = [x.tobytes() for x in terms.read([t or "" for t in batch.column("text").to_pylist()])[1].astype("<u4")]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(held, pa.binary())], ["lang", "counts"])
+            langs, terms, draws = np.array(batch.column("lang").to_pylist(), object), batch.column("terms").to_pylist(), batch.column("draw").to_numpy()
+            for lang in sorted(set(langs.tolist()) & set(idf)):
+                at = np.flatnonzero(langs == lang)
+                some = Sparse([terms[i] for i in at])
+                w, length = some.weighted(idf[lang])
+                live = length > 0
+                held = live[some.rows]
+                w = np.rint(w[held] / length[some.rows[held]] * 2.0**BITS)
+                sizes = np.bincount(some.rows[held], minlength=some.n)[live]
+                body = [sizes.astype("<i4"), draws[at[live]].astype("<i8"), some.buckets[held].astype("<u2"), w.astype("<i4")]
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], ["lang", "sizes", "draws", "buckets", "weights"])
+
+    return rows.select("lang", "terms", F.xxhash64("doc_id", "whole").alias("draw")).mapInArrow(run, "lang string, sizes binary, draws binary, buckets binary, weights binary")
+
+
+def _read_blocks(batches, langs):
+    """(language, draws, matrix of rows) of each block of ``_blocks`` of one of ``langs``."""
+    import numpy as np
+
+    for batch in batches:
+        for lang, sizes, draws, buckets, weights in zip(*(batch.column(c) for c in ("lang", "sizes", "draws", "buckets", "weights")), strict=True):
+            if (lang := lang.as_py()) in langs:
+                sizes, draws = np.frombuffer(sizes.as_buffer(), "<i4"), np.frombuffer(draws.as_buffer(), "<u8")
+                x = np.zeros((len(sizes), WIDTH))
+                x[np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(buckets.as_buffer(), "<u2")] = np.frombuffer(weights.as_buffer(), "<i4")
+                yield lang, draws, x
+
+
+def _summed(parts):
+    """For mapInArrow: arrays (kinds, WIDTH) of whole numbers by language, added up in a task."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: dict = {}
+    for lang, here in parts:
+        held[lang] = held[lang] + here if lang in held else here
+    for lang, sums in held.items():
+        k, at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[k, at], pa.int64())], ["lang", "k", "at", "n"])
+
+
+def _collected(rows: DataFrame, run, langs) -> dict:
+    """language -> array (TOPICS, WIDTH): what ``run`` (``_summed``) makes of ``rows``, over all tasks."""
+    import numpy as np
+
+    made = rows.mapInArrow(run, "lang string, k int, at int, n long").groupBy("lang", "k", "at").agg(F.sum("n").alias("n")).toArrow()  # a row a centre and bucket
+    out = {lang: np.zeros((TOPICS, WIDTH), np.int64) for lang in langs}
+    for lang, k, at, n in zip(*(made.column(c).to_pylist() for c in ("lang", "k", "at", "n")), strict=True):
+        out[lang][k, at] = n
+    return out
+
+
+def _frequencies(rows: DataFrame, sizes: dict) -> dict:
+    """language -> inverse document frequencies over all rows of each language of ``sizes`` (language -> rows)."""
+    import numpy as np
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                langs, terms = np.array(batch.column("lang").to_pylist(), object), batch.column("terms").to_pylist()
+                for lang in set(langs.tolist()) & set(sizes):
+                    yield lang, np.bincount(Sparse([terms[i] for i in np.flatnonzero(langs == lang)]).buckets, minlength=WIDTH)[None, :]
 
-    rows = some.select("lang", "text").mapInArrow(run, "lang string, counts binary").limit(2 * sample).collect()  # bounded by the sample
-    held: dict[str, list] = {}
-    for r in rows:
-        held.setdefault(r["lang"], []).append(np.frombuffer(r["counts"], "<u4"))
-    order = lambda xs: np.array(sorted(xs, key=lambda x: x.tobytes()), float)
-    return {lang: clusters(order(xs), TOPICS, seed) for lang, xs in sorted(held.items()) if len(xs) >= LEAST}
+        yield from _summed(parts())
+
+    held = _collected(rows.select("lang", "terms"), run, sizes)
+    return {lang: np.log((1 + sizes[lang]) / (1 + df[0])) for lang, df in held.items()}
+
+
+def _drawn(blocks: DataFrame, centres: dict, seed: int) -> dict:
+    """language -> vector of one row, drawn from all by the squared distance to the nearest of the centres there are.
+
+    Each row draws an exponential time whose rate is its weight, from a hash of its id and text; the first one is the draw.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        best: dict[str, tuple] = {}
+        for lang, draws, x in _read_blocks(batches, centres):
+            near = (x @ centres[lang].T).max(axis=1) / 2.0**BITS if len(centres[lang]) else np.zeros(len(draws))
+            weight = np.round(np.clip(1 - near, 0, None), 6) ** 2
+            live = np.flatnonzero(weight > 0)
+            mixed_ = (draws[live] ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            u = (((mixed_ ^ (mixed_ >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(11)) + np.uint64(1)) * 2.0**-53
+            times = -np.log(u) / weight[live]
+            for i in live[times == times.min()] if len(live) else []:
+                row = x[i].astype("<i4").tobytes()
+                best[lang] = min(best.get(lang, (np.inf, b"")), (float(times.min()), row))
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([t for t, _ in best.values()], pa.float64()), pa.array([r for _, r in best.values()], pa.binary())], ["lang", "time", "row"])
+
+    import numpy as np
+
+    made = blocks.mapInArrow(run, "lang string, time double, row binary").groupBy("lang").agg(F.min(F.struct("time", "row")).alias("x"))
+    return {r["lang"]: unit(np.frombuffer(r["x"]["row"], "<i4").astype(float)) for r in made.collect()}  # a row a language
+
+
+def clustered(rows: DataFrame, seed: int = SEED) -> dict:
+    """language -> (inverse document frequencies, unit centres) by spherical k-means over all of ``rows`` (as of ``read``).
+
+    Every count, draw and sum is over all rows, and does not depend on how they are dealt out.
+    """
+    import numpy as np
+
+    total = rows.count()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= max(LEAST, total / MOST_LANGS)).collect()}  # at most MOST_LANGS rows
+    if not sizes:
+        return {}
+    idf = _frequencies(rows, sizes)
+    blocks = staged(_blocks(rows, idf))
+    centres = {lang: np.empty((0, WIDTH)) for lang in sizes}
+    open_ = dict(centres)
+    for k in range(TOPICS):
+        for lang, row in (drawn := _drawn(blocks, open_, seed + k)).items():
+            centres[lang] = np.vstack([centres[lang], row])
+        open_ = {lang: centres[lang] for lang in drawn}
+        if not open_:
+            break
+    moving = {lang: c for lang, c in centres.items() if len(c)}
+    for _ in range(ROUNDS):
+        if not moving:
+            break
+
+        def run(batches, at=dict(moving)):
+            def parts():
+                for lang, _, x in _read_blocks(batches, at):
+                    near = np.argmax(np.round(x @ at[lang].T / 2.0**BITS, 9), axis=1)
+                    yield lang, ((np.arange(TOPICS)[:, None] == near).astype(float) @ x).astype(np.int64)  # whole numbers below 2 ** 53: exact
+
+            yield from _summed(parts())
+
+        for lang, sums in _collected(blocks, run, moving).items():
+            sums = sums[: len(centres[lang])].astype(float)
+            new = np.where(sums.any(axis=1, keepdims=True), unit(sums), centres[lang])
+            same = np.allclose(new, centres[lang])
+            centres[lang] = moving[lang] = new
+            if same:
+                del moving[lang]
+    return {lang: (idf[lang], c) for lang, c in sorted(centres.items()) if len(c)}
 
 
 def nearest(counts, model):
@@ -171,29 +313,47 @@ def _identity(docs: DataFrame) -> list[Column]:
     return [docs["doc_id"].alias("doc_id"), _named("source"), _named("lang"), F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("whole")]
 
 
-def keyed(docs: DataFrame, tokens: tuple[str, str], model: dict) -> DataFrame:
-    """(doc_id, source, lang, whole, topic, n_tokens) of every row."""
+def read(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
+    """(doc_id, source, lang, whole, n_tokens, terms) of every row; ``terms`` are as ``Sparse`` reads them."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         terms = Terms(*tokens)
         for batch in batches:
             coded = batch.column("text").dictionary_encode()  # equal texts are read once
             sizes, counts = terms.read(coded.dictionary.to_pylist())
-            at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            topics = np.empty(len(at), object)
-            for lang in set(langs):
-                mine = np.flatnonzero(langs == lang)
-                topics[mine] = [f"{lang}/{k}" for k in nearest(counts[at[mine]], model.get(lang))]
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            held = pa.array(Sparse.packed(counts), pa.binary()).take(coded.indices)
             cols = [batch.column(c) for c in ("doc_id", "source", "lang", "whole")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(topics, pa.string()), pa.array(sizes[at], pa.int64())], ["doc_id", "source", "lang", "whole", "topic", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes[at], pa.int64()), held], ["doc_id", "source", "lang", "whole", "n_tokens", "terms"])
 
     session(docs)
     doc, source, lang, whole = _identity(docs)
     rows = docs.select(doc.cast("long").alias("doc_id"), source, lang, whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, whole string, n_tokens long, terms binary")
+
+
+def keyed(rows: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, source, lang, whole, topic, n_tokens) of every row of ``read``: topics are the nearest clusters, as of ``nearest``."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            langs, terms = np.array(batch.column("lang").to_pylist(), object), batch.column("terms").to_pylist()
+            topics = np.empty(len(langs), object)
+            for lang in set(langs.tolist()):
+                mine, near = np.flatnonzero(langs == lang), None
+                if lang in model:
+                    idf, centres = model[lang]
+                    some = Sparse([terms[i] for i in mine])
+                    near = np.argmax(np.round(some.scores(some.weighted(idf)[0], centres), 9), axis=1)
+                topics[mine] = [f"{lang}/{k}" for k in (np.zeros(len(mine), np.int64) if near is None else near)]
+            cols = [batch.column(c) for c in ("doc_id", "source", "lang", "whole")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(topics, pa.string()), batch.column("n_tokens")], ["doc_id", "source", "lang", "whole", "topic", "n_tokens"])
+
     return rows.mapInArrow(run, "doc_id long, source string, lang string, whole string, topic string, n_tokens long")
 
 
@@ -307,7 +467,8 @@ def calibrated(weights: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def mixed(docs: DataFrame, tokens: tuple[str, str], targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """(doc_id, source, lang, whole, topic, n_tokens, rate, probability, sampled, gap) of every row."""
-    rows = staged(keyed(docs, tokens, topic_model(docs, tokens, seed=seed)))
+    spread = staged(read(docs, tokens))
+    rows = staged(keyed(spread, clustered(spread, seed)))
     sums = staged(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")))
     cells = sums.select(*MARGINS, "n")
     weights, gap = fitted(cells, targets or default_targets(cells), strict=targets is not None)

@@ -294,6 +294,23 @@ def test_topics_follow_the_texts(spark):
     assert mixing.topic_model(docs, TOKENS)["en"][1].tolist() == model["en"][1].tolist()
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """Inverse document frequencies are those of all 6,000 texts, centres a fixed point over all, however the rows are dealt."""
+    r = random.Random(4)
+    some = "ship harbour sailor kitchen butter sugar planet telescope galaxy orbit".split()
+    texts = [" ".join(r.choices(some, k=4)) for _ in range(6000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9000 + i, t, "fr") for i, t in enumerate(texts[:39])], "doc_id long, text string, lang string")
+    model, other = mixing.topic_model(docs.repartition(5), TOKENS), mixing.topic_model(docs.coalesce(1), TOKENS)
+    assert list(model) == ["en"] and model["en"][1].tolist() == other["en"][1].tolist()
+    counts = mixing.Terms(*TOKENS).read(texts)[1]
+    idf, centres = model["en"]
+    assert idf.tolist() == pytest.approx(np.log(6001 / (1 + (counts > 0).sum(axis=0))).tolist())
+    x = mixing.unit(np.log1p(counts) * idf)
+    near = np.argmax(np.round(x @ centres.T, 9), axis=1)
+    moved = np.array([mixing.unit(x[near == k].sum(axis=0)) for k in range(len(centres))])
+    assert len(centres) == mixing.TOPICS and (moved * centres).sum(axis=1).min() > 0.98
+
+
 def brute_probabilities(source, topic, n_tokens, keep=mixing.KEEP):
     """(probability of each row, gaps of the sweeps): cells in arrays, plain sweeps, a factor by bisection."""
     sources, topics = sorted(set(source)), sorted(set(topic))
