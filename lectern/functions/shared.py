@@ -7,6 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def bounded(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> SparkSession:
+    """The session, with bounds of Arrow batches; a session that sets its own tighter ones keeps them."""
+    for name, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not held or not held.isdigit() or not 0 < int(held) <= bound:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the cluster's shared folder.
 

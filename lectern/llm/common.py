@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.binding import let  # noqa: F401  for the other modules
-from lectern.functions.shared import remove, shared_dir, staged  # noqa: F401
+from lectern.functions.shared import bounded, remove, shared_dir, staged  # noqa: F401
 
 #: Fixed value: the characters between words (blank, tab, newline, VT, FF, CR).
 BLANKS = " \t\n\x0b\f\r"
@@ -23,12 +23,7 @@ HOT = 10_000
 
 def session(docs: DataFrame, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> SparkSession:
     """The session, with bounds of Arrow batches; a session that sets its own tighter ones keeps them."""
-    spark = docs.sparkSession
-    for name, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        held = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
-        if not held or not held.isdigit() or not 0 < int(held) <= bound:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))
-    return spark
+    return bounded(docs.sparkSession, rows, size)
 
 
 def release(spark: SparkSession) -> None:

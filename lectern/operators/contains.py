@@ -1,85 +1,89 @@
-"""Which terms of a table occur in which texts, as substrings: an equi-join on grams, then verification.
+"""Which terms of a table occur in which texts, as substrings: blocks of texts against automata of blocks of terms.
 
-A term is keyed by the one of its grams of three characters (the term itself if shorter) that fewest
-texts have.  A text that contains the term has that gram, so the two meet in an equi-join; no text
-is compared with a term that it has no such gram of.  The terms that a text has met go to it in blocks,
-and an automaton of a block's terms decides in one pass over the whole text.
+Texts are packed into blocks in the partition they lie in, and every block of texts meets every block of
+terms as one row: an automaton of the terms decides in one pass over the texts, whatever the terms'
+number.  No text, gram or pair is shuffled or written; what leaves a task is each text's list of terms.
 
-Grams of texts pass a fixed bit map of 2^16 places before they are exploded, so that what is shuffled
-follows the terms' grams and not the texts' length; the map does not grow with the data.
+A block of terms is bounded by BLOCK terms and CHARS characters, and at most PASS blocks are broadcast at
+once; a table of more terms is taken in several passes over the texts.  So tasks hold a block of each
+side, and terms in the thousands, or tens of thousands, cost one reading of the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.binding import let
-from lectern.functions.shared import staged
+from lectern.functions.shared import bounded, staged
 
-GRAM, PLACES = 3, 1 << 16
-#: Terms of a block, about: terms are dealt by hash to so many blocks that a text's list stays near this.
-BLOCK = 4096
+#: Terms of a block, about (they are dealt by hash), and characters of a block of terms or texts; blocks broadcast at once.
+BLOCK, CHARS, PASS = 1 << 16, 1 << 20, 64
 
 
-def grams(x: Column, sizes: list[int]) -> Column:
-    """Distinct runs of characters of the given sizes."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """(keys, texts): arrays of about CHARS bytes of texts (key, _text)."""
 
-    def of_size(a: Column, n: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.concat(*[F.get(a, i + j) for j in range(n)]))
-        return F.when(F.size(a) >= n, runs).otherwise(F.array().cast("array<string>"))
-
-    return let(F.filter(F.split(x, ""), lambda c: c != ""), lambda a: F.array_distinct(F.concat(*[of_size(a, n) for n in sizes])))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy()) // CHARS
+            ends = pa.array([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, batch.column(c)) for c in ("key", "_text")], ["keys", "texts"])
 
-def _places(g: Column) -> Column:
-    return F.pmod(F.xxhash64(g), F.lit(PLACES))
+    return texts.mapInArrow(run, f"keys array<{texts.schema['key'].dataType.simpleString()}>, texts array<string>")
 
 
-def _found(met: DataFrame) -> DataFrame:
-    """(key, term) of rows (key, _text, _terms): one automaton of a row's terms, one pass over its text, whatever their number."""
+def _found(met: DataFrame, kind: str) -> DataFrame:
+    """(key, terms) of rows (_b, keys, texts, _terms): one pass of the block's automaton over each text; texts without a term are left out."""
 
     def run(batches):
         import ahocorasick
         import pyarrow as pa
 
+        at, machine = None, None
         for batch in batches:
-            for at, (text, terms) in enumerate(zip(batch.column("_text"), batch.column("_terms"), strict=True)):
-                machine = ahocorasick.Automaton()
-                for t in terms.as_py():
-                    machine.add_word(t, t)
-                machine.make_automaton()
-                hits = sorted({t for _, t in machine.iter(text.as_py())})
-                if hits:
-                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([at] * len(hits))), pa.array(hits, pa.string())], ["key", "term"])
-
-    return met.mapInArrow(run, f"key {met.schema['key'].dataType.simpleString()}, term string")
+            for i, b in enumerate(batch.column("_b").to_pylist()):
+                if b != at:
+                    at, machine = b, ahocorasick.Automaton()
+                    for t in batch.column("_terms")[i].as_py():
+                        machine.add_word(t, t)
+                    machine.make_automaton()
+                hits = [list({t for _, t in machine.iter(text)}) for text in batch.column("texts")[i].as_py()]
+                rows = [k for k, h in enumerate(hits) if h]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values.take(pa.array(rows)), pa.array([hits[k] for k in rows], pa.list_(pa.string()))], ["key", "terms"])
+
+    return met.select("_b", "keys", "texts", "_terms").mapInArrow(run, f"key {kind}, terms array<string>")
+
+
+def lists(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str, block: int = BLOCK) -> DataFrame:
+    """(key, terms): as ``contained``, with an array of terms for each row and block of terms it has some of."""
+    spark = bounded(rows.sparkSession)
+    texts = rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("_text")).where("key is not null and _text <> ''")
+    kind = texts.schema["key"].dataType.simpleString()
+    held = staged(terms.select(F.lower(F.col(term)).alias("term")).where("term <> ''").distinct())
+    n, size = held.agg(F.count("*"), F.sum(F.length("term"))).first()
+    blocks = max(-(-n // block), -(-(size or 0) // CHARS))
+    if not blocks:
+        return spark.createDataFrame([], f"key {kind}, terms array<string>")
+    wanted = held.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("_b")).agg(F.collect_list("term").alias("_terms"))
+    found, packs = None, _packed(texts)
+    for first in range(0, blocks, PASS):
+        last = min(first + PASS, blocks) - 1
+        asked = packs.select(F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("_b"), "keys", "texts")
+        some = _found(asked.join(F.broadcast(wanted.where(F.col("_b").between(first, last))), "_b"), kind)
+        found = some if found is None else found.union(some)
+    return found
 
 
 def contained(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str, block: int = BLOCK) -> DataFrame:
     """(key, term): the distinct terms, in lower case, that occur in each row's lower-case text.
 
     Null and empty terms, null texts and null keys give nothing; a repeated row gives its terms again.
-    Terms, their grams and the texts' grams that pass the map are staged: texts are cut into grams once.
     """
-    wanted = terms.select(F.lower(F.col(term)).alias("term")).where("term <> ''").distinct()
-    held = staged(wanted.withColumn("size", F.least(F.length("term"), F.lit(GRAM))))
-    sizes = sorted(r["size"] for r in held.select("size").distinct().collect())  # at most three
-    texts = rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("_text")).where("key is not null and _text <> ''")
-    if not sizes:
-        return texts.select("key", F.lit("").alias("term")).where(F.lit(False)).withColumnRenamed("key", key)
-    own = F.when(F.col("size") == GRAM, grams(F.col("term"), [GRAM])).otherwise(F.array("term"))
-    of_terms = held.select("term", F.explode(own).alias("gram"))
-    bits = {r["at"] for r in of_terms.select(_places(F.col("gram")).cast("int").alias("at")).distinct().collect()}  # at most PLACES
-    words = [sum(1 << j for j in range(32) if 32 * i + j in bits) for i in range(PLACES // 32)]
-    chart = F.from_json(F.lit(str(words)), "array<bigint>")
-    open_ = lambda g: F.get(chart, (_places(g) / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_places(g), F.lit(32)).cast("int"))) != 0
-    in_texts = staged(texts.select("key", F.explode(F.filter(grams(F.col("_text"), sizes), open_)).alias("gram")))
-
-    counts = in_texts.groupBy("gram").agg(F.count("*").alias("texts"))
-    best = staged(of_terms.join(counts, "gram").groupBy("term").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram")))
-    blocks = max(1, -(-best.count() // block))
-    lists = best.groupBy("gram", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("_b")).agg(F.collect_list("term").alias("_terms"))
-    met = in_texts.join(lists, "gram").groupBy("key", "_b").agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_terms"))  # twice only where a row is repeated
-    found = _found(texts.join(met.select("key", "_terms"), "key").select("key", "_text", "_terms"))
-    return found.withColumnRenamed("key", key)
+    return lists(rows, key, text, terms, term, block).select(F.col("key").alias(key), F.explode("terms").alias("term"))

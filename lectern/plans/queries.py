@@ -225,8 +225,8 @@ SELECT doc_id, count(*) AS hits, md5(string_agg(term, ' ' ORDER BY term)) AS ter
 def term_containment(s, d):
     """All words of ``benchmark`` against all ``documents``."""
     terms = table(s, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term"))
-    hits = contains.contained(docs(s, d), "doc_id", "text", terms, "term")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ")).alias("terms"))
+    hits = contains.lists(docs(s, d), "doc_id", "text", terms, "term")
+    return hits.groupBy(F.col("key").alias("doc_id")).agg(F.sum(F.size("terms")).alias("hits"), F.md5(F.array_join(F.sort_array(F.flatten(F.collect_list("terms"))), " ")).alias("terms"))
 
 
 _WEIGHT = "CASE event_type WHEN 'complete' THEN 1.0::DOUBLE WHEN 'play' THEN 0.5::DOUBLE WHEN 'skip' THEN -0.4::DOUBLE ELSE 0::DOUBLE END"

@@ -32,3 +32,22 @@ def test_plan_has_no_nested_loop(spark, data):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert df.agg(F.sum("hits")).first()[0] > 0
+
+
+def test_texts_are_not_shuffled(spark, data):
+    """What is exchanged are terms and lists of found terms, by text: no text, no gram, no pair."""
+    from lectern.plans.queries import docs
+
+    terms = spark.createDataFrame([("the",), ("ment",), ("e",)], "t string")
+    found = contains.contained(docs(spark, data), "doc_id", "text", terms, "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert "SortMergeJoin" not in plan and len(exchanged) == 1 and "key" not in exchanged[0]  # the blocks of terms
+
+
+def test_terms_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(contains, "PASS", 2)
+    rows = spark.createDataFrame([(i, f"x{i} y{i % 7} z") for i in range(50)], "id long, t string")
+    terms = [f"{c}{i}" for c in "xy" for i in range(10)]
+    got = contains.contained(rows, "id", "t", spark.createDataFrame([(t,) for t in terms], "w string"), "w", 4)
+    assert sorted((x["id"], x["term"]) for x in got.collect()) == sorted((i, t) for i in range(50) for t in terms if t in f"x{i} y{i % 7} z")
