@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.shared import bounded
 from lectern.operators.retrieve import top_k
 
 #: Vectors in a block.
 BLOCK = 2048
+#: Queries of a block that are compared at once, and rows and bytes of an Arrow batch: they bound a worker's memory, whatever the input's size.
+STRIP, ROWS, BYTES = 256, 500, 8 << 20
 #: Similarities are compared at so many decimals; ties go to the smaller id.
 DECIMALS = 6
 _PACKED = "list int, ids array<bigint>, size int, vectors binary"
@@ -47,6 +50,7 @@ def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         if ids:
             yield out(name, ids, vectors)
 
+    bounded(rows.sparkSession, ROWS, BYTES)
     return rows.select(F.col("list").cast("int").alias("list"), F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, _PACKED)
 
 
@@ -58,18 +62,30 @@ def best_of(met: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for ids, size, body, q_ids, q_size, q_body in zip(*(batch.column(c).to_pylist() for c in ("ids", "size", "vectors", "q_ids", "q_size", "q_vectors")), strict=True):
-                ids, q_ids = np.array(ids, np.int64), np.array(q_ids, np.int64)
-                if size == q_size:
-                    scores = np.frombuffer(q_body).reshape(-1, size) @ np.frombuffer(body).reshape(-1, size).T
-                else:
-                    scores = np.zeros((len(q_ids), len(ids)))
+            columns = [batch.column(c) for c in ("ids", "size", "vectors", "q_ids", "q_size", "q_vectors")]
+            for i in range(len(batch)):  # one pair of blocks at a time, read where it lies
+                ids, size, body, q_ids, q_size, q_body = (c[i] for c in columns)
+                ids, q_ids = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, q_ids))
                 order = np.argsort(ids, kind="stable")
-                near = np.argsort(-np.round(scores[:, order], DECIMALS), axis=1, kind="stable")[:, :k]
-                kept = np.take_along_axis(scores[:, order], near, axis=1)
-                arrays = [np.repeat(q_ids, near.shape[1]), ids[order][near].ravel(), kept.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1]), pa.array(arrays[2])], ["q", "c", "s"])
-
+                fits = size.as_py() == q_size.as_py()
+                if fits:
+                    x, q = (np.frombuffer(v.as_buffer()).reshape(len(n), -1) for v, n in ((body, ids), (q_body, q_ids)))
+                    x = x[order]
+                for at in range(0, len(q_ids), STRIP):
+                    scores = q[at : at + STRIP] @ x.T if fits else np.zeros((len(q_ids[at : at + STRIP]), len(ids)))
+                    keys = np.where(np.isnan(scores), -np.inf, np.round(scores, DECIMALS))
+                    if k < len(ids):  # all that are no worse than the k-th best, in order of their ids
+                        least = np.partition(keys, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                        rows, cols = np.nonzero(keys >= least)
+                    else:
+                        rows, cols = (x_.ravel() for x_ in np.indices(keys.shape))
+                    by = np.lexsort((cols, -keys[rows, cols], rows))
+                    rows, cols = rows[by], cols[by]
+                    near = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+                    rows, cols = rows[near], cols[near]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + rows]), pa.array(ids[order][cols]), pa.array(scores[rows, cols])], ["q", "c", "s"])
+
+    bounded(met.sparkSession, ROWS, BYTES)
     return met.select("ids", "size", "vectors", "q_ids", "q_size", "q_vectors").mapInArrow(run, "q long, c long, s double")
 
 

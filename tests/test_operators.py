@@ -191,3 +191,23 @@ def test_whole_run(spark):
     assert all(r["title"].endswith(": Audio Brief") and r["qa_status"] in ("verified", "flagged") and r["duration_secs"] >= 60 for r in got)
     assert {r["arxiv_id"] for r in got} <= {r["arxiv_id"] for r in candidates(spark).collect()}
     assert episodes(candidates(spark).limit(0), None, run, now()).count() == 0
+
+
+def test_dense_topk_in_strips_with_bounded_batches(spark, monkeypatch):
+    """Few queries are compared at once and Arrow batches hold few blocks; ties go to the smaller ids as before."""
+    import numpy as np
+
+    from lectern.operators import dense
+
+    monkeypatch.setattr(dense, "STRIP", 3)
+    r = np.random.default_rng(3)
+    x = r.integers(-1, 2, (60, 3)).astype(float) + 0.0
+    held = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(r.permutation(60), x, strict=True)], "vec_id long, v array<double>")
+    rows = {i["vec_id"]: np.array(i["v"]) for i in held.collect()}
+    unit = {i: v / np.linalg.norm(v) if v.any() else v for i, v in rows.items()}
+    for k in (4, 100):
+        got = {(t["q"], t["rank"]): t["c"] for t in dense.dense_topk(held, held.where("vec_id % 5 = 0"), k, 16).collect()}
+        for q in range(0, 60, 5):
+            best = sorted(rows, key=lambda c, q=q: (-round(float(unit[q] @ unit[c]), 6) + 0.0, c))[:k]
+            assert [got[q, n + 1] for n in range(len(best))] == best
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= dense.BYTES
