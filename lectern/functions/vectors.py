@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.binding import let
-from lectern.functions.text import embed_tokens, hash_bucket
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -27,10 +25,27 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_embedding(text: Column, size: int = 48) -> Column:
     """Counts of hashed tokens, scaled to length one; all zeros without tokens.
 
-    A token's bucket becomes one letter of a string; how much shorter the string is without a letter is its count.
+    A batch of texts is counted at once in a task's Python; a token's bucket (as of ``hash_bucket``) is kept for the next time it comes.
     """
     if not 0 < size <= 80:
-        raise ValueError("a bucket is written as one printable character, of which there are 80 from '0'")
-    letters = F.array_join(F.transform(embed_tokens(text), lambda t: F.char(hash_bucket(t, size) + 48)), "")
-    counts = let(letters, lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(chr(48 + k))))).cast("double") for k in range(size)]))
-    return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))))
+        raise ValueError("an embedding has 1 to 80 buckets")
+
+    @F.arrow_udf("array<double>")
+    def embedded(lower: pa.Array) -> pa.Array:
+        import functools
+        import hashlib
+        import re
+
+        import numpy as np
+
+        bucket = functools.lru_cache(1 << 16)(lambda token: int(hashlib.sha256(token.encode()).hexdigest()[:8], 16) % size)
+        tokens = re.compile("[a-z0-9]+").findall
+        at = [[bucket(t) for t in tokens(x)] for x in lower.to_pylist()]
+        n = np.fromiter(map(len, at), np.int64, len(at))
+        places = np.repeat(np.arange(len(at)) * size, n) + np.fromiter((b for row in at for b in row), np.int64, int(n.sum()))
+        counts = np.bincount(places, minlength=len(at) * size).reshape(-1, size).astype(float)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), pa.array(unit.ravel()))
+
+    return embedded(F.lower(F.coalesce(text, F.lit(""))))

@@ -53,7 +53,7 @@ def term_map(x: Column) -> Column:
         pairs = let(starts, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), sizes(at)))
         return F.when(F.size(s) == 0, F.create_map().cast("map<string,int>")).otherwise(pairs)
 
-    return let(F.array_sort(sparse_tokens(x)), counted)
+    return let(F.sort_array(sparse_tokens(x)), counted)
 
 
 def sparse_similarity(a: Column, b: Column) -> Column:
@@ -63,16 +63,17 @@ def sparse_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, F.sqrt(square(a)) * F.sqrt(square(b))), F.lit(0.0))
 
 
-def scored(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def scored(chunks: DataFrame, questions: DataFrame, held: Column | None = None) -> DataFrame:
     """Chunks of each paper with the ``score`` for its question.
 
     ``chunks``: paper, c (orders ties), section, content, embedding.  ``questions``: paper, question, vector.
     A paper's chunks are compared by vectors only if all have one and the question has, too; one
     chunk without makes the whole paper's comparison sparse.  That flag is a sum by paper, without
-    the texts; similarities are made in the row in which a chunk has met its question.
+    the texts; similarities are made in the row in which a chunk has met its question.  Where vectors are
+    made on the way, ``held`` tells whether a chunk gets one, so that they are not made for the flag, too.
     """
     present = lambda v: F.coalesce(F.size(v) > 0, F.lit(False))
-    whole = chunks.groupBy("paper").agg(F.bool_and(present(F.col("embedding"))).alias("_whole"))
+    whole = chunks.groupBy("paper").agg(F.bool_and(present(F.col("embedding")) if held is None else held).alias("_whole"))
     asked = questions.join(whole, "paper").withColumn("dense", F.col("_whole") & present(F.col("vector"))).drop("_whole")
     asked = asked.withColumn("_terms", F.when(~F.col("dense"), term_map(F.col("question"))))
     met = chunks.join(asked, "paper")

@@ -398,12 +398,12 @@ def retrieve_mode_switch(s, d):
     missing = (F.col("paper") % 2 == 1) & (F.col("c") == 0)
     held = lines.withColumn("embedding", F.when(missing, F.array().cast("array<double>")).otherwise(vectors.hash_embedding(F.col("content"))))
     asked = papers(s, d).select(F.col("id").alias("paper"), F.col("title").alias("question"), vectors.hash_embedding(F.col("title")).alias("vector"))
-    top = _rounded_top(held, asked, 5)
+    top = _rounded_top(held, asked, 5, ~missing)
     return top.select("paper", F.col("c").cast("long").alias("c"), F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-def _rounded_top(chunks_, asked, k):
-    scored = retrieve.scored(chunks_, asked).withColumn("key", F.round("score", 6))
+def _rounded_top(chunks_, asked, k, present=None):
+    scored = retrieve.scored(chunks_, asked, present).withColumn("key", F.round("score", 6))
     return retrieve.top_k(scored, "paper", "key", "c", k)
 
 

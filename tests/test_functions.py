@@ -138,3 +138,14 @@ def test_spread(spark, parts):
     assert order == sorted(order) and order[0] >= 0
     assert max(map(order.count, set(order))) <= max(3000 * 6 / parts, 40)
     assert spark.range(1).select(spread(rows.limit(0), F.lit(1), 3).alias("r")).first()["r"] == -1
+
+
+def test_hash_embedding_is_made_once_a_chunk(spark, data):
+    """One evaluation for the chunks and one for the questions: none for the flag that every chunk has a vector."""
+    from lectern.plans.queries import QUERIES
+
+    plan = QUERIES["retrieve_mode_switch"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "é ?", "A b, a", "K \u0130x " + "word " * 3000])], "i int, t string")
+    sizes = [(r["i"], round(sum(x * x for x in r["v"]), 9)) for r in rows.select("i", vectors.hash_embedding(F.col("t")).alias("v")).collect()]
+    assert sorted(sizes) == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 1.0), (4, 1.0)]
