@@ -5,6 +5,9 @@ vector v and keeps the positions whose vector has odd inner product with v.  The
 ``radius`` positions where two fingerprints differ span a proper subspace, so some v is
 orthogonal to all of them and the pair meets in that table: no pair is missed.
 
+A radius above RADIUS is covered in halves: of the positions where two fingerprints differ, one half
+of all positions holds at most half, so tables over each half at half the radius miss no pair (7 bits: 30 tables).
+
 A bucket of over ``split_above`` fingerprints is dealt out again by a second family over the
 positions its table left out.  Two levels fix all but about 15 of 64 bits, so that no group
 can grow with the corpus.  Copies are joined to one fingerprint before any table is made.
@@ -30,6 +33,14 @@ def covering_masks(positions: list[int], radius: int) -> list[int]:
     ]
 
 
+def tables(positions: list[int], radius: int) -> list[int]:
+    """Masks that cover ``radius``, in halves of the positions above RADIUS."""
+    if radius <= RADIUS:
+        return covering_masks(positions, radius)
+    half = len(positions) // 2
+    return [m for part in (positions[:half], positions[half:]) for m in tables(part, radius // 2)]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -166,7 +177,7 @@ _EDGES = "kind int, t int, bucket long, a long, b long"
 def links(reps: DataFrame, radius: int = RADIUS, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints (distinct ``fp``) linked within ``radius``."""
     spark = reps.sparkSession
-    first = covering_masks(list(range(BITS)), radius)
+    first = tables(list(range(BITS)), radius)
     keyed = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bucket")) for k, m in enumerate(first)])).alias("x"))
     dealt = keyed.select("fp", "x.t", "x.bucket").repartition("t", "bucket").sortWithinPartitions("t", "bucket")
     found = staged(dealt.mapInArrow(_bucket_edges(radius, split_above), _EDGES))
@@ -176,7 +187,7 @@ def links(reps: DataFrame, radius: int = RADIUS, split_above: int = SPLIT_ABOVE)
         return edges
     finer = []
     for k, m in enumerate(first):
-        rest = covering_masks([p for p in range(BITS) if not m >> p & 1], radius)
+        rest = tables([p for p in range(BITS) if not m >> p & 1], radius)
         finer.append(F.array(*[F.struct(F.lit(k * 1000 + j).alias("t2"), F.col("a").bitwiseAND(F.lit(signed(m | r))).alias("b2")) for j, r in enumerate(rest)]))
     again = large.select(F.col("a").alias("fp"), F.explode(F.element_at(F.array(*finer), F.col("t") + 1)).alias("x"))
     dealt = again.select("fp", F.col("x.t2").alias("t"), F.col("x.b2").alias("bucket")).repartition("t", "bucket").sortWithinPartitions("t", "bucket")

@@ -97,3 +97,24 @@ def test_minima_agree_as_sets_do():
         mins = [nearcopies.short_minima(nearcopies.minima(x, masks, factors), factors) for x in (a, b)]
         assert abs(nearcopies.agreeing(*mins) - nearcopies.jaccard(np.sort(a), np.sort(b))) < 0.15
     assert nearcopies.short_minima(nearcopies.minima(a[:0], masks, factors), factors) == b""
+
+
+def test_fingerprints_propose_before_minima(frame):
+    """The first round's pairs are those of SimHash: they join exactly the sets that RADIUS bits link, further than op5's."""
+    rows = edited_rows()
+    prints = nearcopies.sketched(frame(rows)).select("set_id", "fp", "size", "doc_id").collect()
+    fps = {r["set_id"]: r["fp"] % (1 << 64) for r in prints}
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in prints} == {d: simhash.of_hashes(nearcopies.shingles(t)) for d, t in rows}
+    pairs = {(r["c"], r["m"]) for r in nearcopies.linked(nearcopies.sketched(frame(rows)), 0.0).collect()}
+    within = lambda bits: roots(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= bits)
+    joined = roots(sorted(fps), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    assert joined == within(nearcopies.RADIUS) and len(set(joined.values())) < len(set(within(simhash.RADIUS).values()))
+
+
+def test_tables_in_halves_miss_no_pair():
+    r = np.random.default_rng(8)
+    masks = simhash.tables(list(range(64)), 7)
+    assert len(masks) == 30
+    for _ in range(2000):
+        x = sum(1 << int(p) for p in r.permutation(64)[:7])
+        assert any(not x & m for m in masks)
