@@ -14,31 +14,36 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+def _small_star(down: DataFrame) -> DataFrame:
+    """Of edges with a > b, repeats included; its result has none."""
+    met = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
+    ends = F.explode(F.array(F.col("a"), F.col("b")))
+    return met.select(ends.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _crossed(edges: DataFrame) -> bool:
+    """Whether edges with a > b are no stars yet: a node has two lesser ones, or is both a leaf and a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("leaf")))
+    seen = ends.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least"))
+    return seen.where("n > 1 or (n = 1 and least = 0)").agg(F.count("*")).first()[0] > 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the least node reachable.
 
     No edges give no rows.  The hub of a large star is a hot key of the joins; the side of the minima has one row
-    a key, so that adaptive execution can deal a hub's edges out to many tasks.  Every round reads and writes only the edge table; nothing goes to the
-    driver but a count and a checksum.
+    a key, so that adaptive execution can deal a hub's edges out to many tasks.  Every round reads and writes only the edge table, in five
+    exchanges and one for the test of its result, as a run on few edges costs as much as it has tasks; nothing goes to the driver but a count.
     """
-    spark = edges.sparkSession
-    seen, path = None, shared_dir(spark)
-    current = staged(edges.select("a", "b").where("a <> b").distinct(), path)
+    spark, path, current = edges.sparkSession, None, edges.select("a", "b").where("a <> b")
     while True:
-        count, check = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if not count or (count, check) == seen:
-            break
-        seen, after = (count, check), shared_dir(spark)
+        after = shared_dir(spark)
         current = staged(_small_star(_large_star(current)), after)
-        remove(spark, path)
+        if path:
+            remove(spark, path)
         path = after
+        if not _crossed(current):
+            break
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

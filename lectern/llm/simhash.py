@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     session(docs)
     prints = staged(with_fingerprints(docs))
     reps = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    roots = components(links(reps, radius))
+    roots = components(staged(links(reps, radius).distinct()))
     grouped = staged(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     ids = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     named = hot_join(grouped.select("fp", "root", F.col("n").alias("rows")), ids, ["root"], grouped.count())
