@@ -1,7 +1,8 @@
 """Content-addressed store of token ids.
 
-Whole texts are encoded by the library, with any of its vocabularies; a rolling hash of the last WINDOW ids cuts each document's ids into chunks, and
-every distinct chunk is stored once under the SHA-256 of its bytes.  Layout of a store:
+Whole texts are encoded by the library, with any of its vocabularies (``Encoder``: runs of text that occur again are encoded once where the vocabulary's
+own pre-tokeniser allows it); a rolling hash of the last WINDOW ids cuts each document's ids into chunks, and every distinct chunk is stored once under
+the SHA-256 of its bytes.  Layout of a store:
 
 * ``objects``: ``key`` (digest), ``ids`` (little-endian unsigned integers of ``width`` bytes).
 * ``recipes``: in ascending doc_id order, one row a document: ``part``, ``doc_id``, ``row``,
@@ -32,12 +33,31 @@ WINDOW, CUT_BITS, SHORTEST, LONGEST = 16, 9, 128, 4096
 PAGE = 1 << 16
 #: Rows and bytes of an Arrow batch, and bytes given to the library at once.
 BATCH, BATCH_BYTES, CALL_BYTES = 2000, 6 << 20, 1 << 20
+#: Runs whose ids a worker keeps, the most characters of such a run, and of how many texts of a batch one is encoded whole for comparison.
+KEPT, KEPT_CHARS, COMPARED = 400_000, 64, 256
+#: Fixed value: the one pre-tokenisation for which cutting texts to runs is proved.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file has what ``Encoder`` needs to cut texts to runs."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    loose = [t for t in spec["added_tokens"] if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+    plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and model.get("type") == "BPE" and not model.get("dropout")
+    return plain and not loose and {k: pre.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
 
 
 class Encoder:
-    """The tokenizers library on whole texts; equal texts of one batch are encoded once."""
+    """The tokenizers library on whole texts; runs that occur again are encoded once.
+
+    ``runs_of`` cuts texts only where the byte-level pre-tokeniser always cuts, and the model sees
+    each of its pieces apart, so a text's ids are those of its runs, one after the other.  Any
+    other kind of tokenizer (``byte_level``) gets the texts as they are.  One text in COMPARED is
+    encoded whole besides, and must have the same ids.
+    """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -45,6 +65,12 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.runs_apart = byte_level(spec)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
 
     def _calls(self, texts: list[str]):
         """Slices of ``texts`` of about CALL_BYTES, which bound what the library holds besides ids."""
@@ -67,11 +93,103 @@ class Encoder:
         """(ids of all texts as one uint32 array, number of ids of each) of an Arrow string array without nulls."""
         import numpy as np
 
-        coded = texts.dictionary_encode()
-        lists = self.encode(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy(zero_copy_only=False).tolist()
-        ids = np.concatenate([np.array([], np.uint32), *[lists[i] for i in at]])
-        return ids, np.array([len(lists[i]) for i in at], np.int64)
+        if not self.runs_apart:
+            coded = texts.dictionary_encode()
+            lists = self.encode(coded.dictionary.to_pylist())
+            at = coded.indices.to_numpy(zero_copy_only=False).tolist()
+            ids = np.concatenate([np.array([], np.uint32), *[lists[i] for i in at]])
+            return ids, np.array([len(lists[i]) for i in at], np.int64)
+        runs, bounds = runs_of(texts, self.added)
+        coded = runs.dictionary_encode()
+        bodies = self._bodies(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.append(0, np.cumsum(n))
+        place = np.repeat(begin - ends[:-1], n)
+        place += np.arange(len(place))
+        ids, ends = np.frombuffer(b"".join(bodies), np.uint32)[place], ends[bounds]
+        for i, whole in zip(range(0, len(texts), COMPARED), self.encode(texts[::COMPARED].to_pylist()), strict=True):
+            if not np.array_equal(ids[ends[i] : ends[i + 1]], whole):
+                raise ValueError("the ids of a text are not those of its runs")
+        return ids, np.diff(ends)
+
+    def _bodies(self, runs: list[str]) -> list[bytes]:
+        """The ids of each of different runs, as bytes of uint32; those of the first KEPT short ones are kept."""
+        bodies = list(map(self.known.get, runs))
+        missing = [i for i, b in enumerate(bodies) if b is None]
+        new = [runs[i] for i in missing]
+        lined = [len(self.line_end) == 1 and own_line(r) for r in new]
+        in_lines = iter(self._lines([r for r, x in zip(new, lined, strict=True) if x]))
+        alone = iter(self.encode([r for r, x in zip(new, lined, strict=True) if not x]))
+        for i, r, x in zip(missing, new, lined, strict=True):
+            bodies[i] = next(in_lines) if x else next(alone).tobytes()
+            if len(self.known) < KEPT and len(r) <= KEPT_CHARS:
+                self.known[r] = bodies[i]
+        return bodies
+
+    def _lines(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs for which ``own_line`` holds, as bytes: many to a text, a line end between them."""
+        import numpy as np
+
+        out = []
+        for part in self._calls(runs):
+            ids = self.encode(["\n".join(part)])[0]
+            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids)) * 4
+            body, at = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("line ends are not pieces of their own")
+            for end in ends.tolist():
+                out.append(body[at:end])
+                at = end + 4
+        return out
+
+
+def own_line(run: str) -> bool:
+    """Whether a run keeps its pieces between two line ends, which are pieces of their own there: it has none, and no white space at its ends but a blank at its head."""
+    rest = run[1:] if run[:1] == " " else run
+    return rest != "" and rest == rest.strip(" \t\n\v\f\r") and "\n" not in rest and (rest.isascii() or rest == rest.strip().strip("\u180e"))
+
+
+def runs_of(texts, added: list[str]):
+    """(runs of an Arrow string array without nulls, in order; at which run each text begins, and the number of runs).
+
+    A cut is made where no alternative of the byte-level pattern can match on both sides: between
+    ASCII letters, digits and signs (the apostrophe, of contractions, is no sign here); before
+    white space that stands alone between two characters that are none; and behind it, unless it is
+    the blank, which goes with what follows.  The alternative that looks ahead looks past several
+    white spaces, which are never cut.  If a text has an ``added`` token, only blanks are cut at.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.cast(pa.string())
+    _, offsets, data = texts.buffers()
+    starts = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    low, high = int(starts[0]), int(starts[-1])
+    # Three more bytes on both sides, line ends, so that every byte has neighbours.
+    body = np.full(high - low + 6, 10, np.uint8)
+    body[3:-3] = np.frombuffer(data or b"", np.uint8)[low:high]
+    starts = starts - low + 3
+    first = np.zeros(len(body) + 1, bool)
+    first[starts] = True
+    # White space of several bytes: all of it ends in 80 to 8F, 9F, A0, A8, A9 or AF after C2, 80, 81, 9A or A0, and begins with C2 or E1 to E3.
+    blank, ends, before, begins = (np.isin(np.arange(256), [*x]) for x in ((*range(9, 14), *range(28, 33)), (*range(0x80, 0x90), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF), (0xC2, 0x80, 0x81, 0x9A, 0xA0), (0xC2, 0xE1, 0xE2, 0xE3)))
+    at = np.flatnonzero((body == 32) | (body == 10))[3:-3]
+    last, following = body[at - 1], body[at + 1]
+    spaced = blank[last] | (ends[last] & before[body[at - 2]]) | blank[following] | begins[following]
+    at = at[~(spaced | first[at] | first[at + 1])]
+    cuts = [at[body[at] == 32]]
+    if not any(pc.any(pc.match_substring(texts, t)).as_py() for t in added):
+        line = at[body[at] == 10]
+        kind = np.array([0 if chr(c) in "'" or not 32 < c < 127 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)[body]
+        change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] * kind[:-1] > 0)) + 1
+        cuts += [line, line + 1, change[~first[change]]]
+    at = np.sort(np.concatenate(cuts))
+    bounds = np.sort(np.concatenate([starts, at]).astype(np.int32), kind="stable")
+    runs = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(body)])
+    return runs, np.searchsorted(at, starts) + np.arange(len(starts))
 
 
 def shared_encoder(path: str) -> Encoder:

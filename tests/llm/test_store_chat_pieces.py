@@ -49,6 +49,62 @@ def test_encoder_equals_library(library, monkeypatch):
             assert (ids.tolist(), counts.tolist()) == (sum(expected, []), list(map(len, expected)))
 
 
+def test_runs_have_the_ids_of_whole_texts(library):
+    """Blanks, signs, digits, contractions and white space of all kinds, where runs are cut."""
+    r = random.Random(5)
+    spaces = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b"]
+    signs = ["a", "it", "'s", "'", "n't", "'ll", "1", "23", "é", "ß", "_", "!!", "the", "日本", "²", "\0", "😀", "ш", "я", "٣", "\u0301", "$", "</s>", "“x”", "à"]
+    encoder = tokenstore.Encoder(BPE)
+    assert encoder.runs_apart
+    for k in range(100):
+        some = [*signs, "<|endoftext|>", "<|endoftext"] if k % 4 == 0 else signs
+        texts = ["".join(r.choice(spaces if r.random() < k % 5 / 8 else [" "] if r.random() < 0.4 else some) for _ in range(r.randint(0, 14))) for _ in range(40)]
+        array = pa.array(["x y", *texts, "z"], pa.string()).slice(1, 40)
+        runs, bounds = tokenstore.runs_of(array, encoder.added)
+        assert ["".join(runs.to_pylist()[a:b]) for a, b in itertools.pairwise(bounds.tolist())] == texts
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        ids, counts = encoder.encode_flat(array)
+        assert (ids.tolist(), counts.tolist()) == (sum(expected, []), list(map(len, expected)))
+
+
+def test_runs_that_occur_again_are_encoded_once():
+    given = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    encoder = tokenstore.Encoder(BPE)
+    encoder.library = Counted(encoder.library)
+    texts = pa.array([f"word{i % 7}, other words of text {i % 11}.\nA line" for i in range(2000)], pa.string())
+    encoder.encode_flat(texts)
+    compared = sum(map(len, texts[:: tokenstore.COMPARED].to_pylist()))
+    assert sum(map(len, given)) - compared < 200
+    given.clear()
+    encoder.encode_flat(texts)
+    assert sum(map(len, given)) == compared
+
+
+def test_only_the_proved_pre_tokenisation_is_cut():
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tokenstore.byte_level(spec)
+    assert not tokenstore.Encoder(vocabularies.path("word_bpe_49k.json")).runs_apart
+    token = spec["added_tokens"][0]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}, {"added_tokens": [{**token, "content": "a b"}]}, {"added_tokens": [{**token, "rstrip": True}]}):
+        assert not tokenstore.byte_level({**spec, **change})
+    encoder = tokenstore.Encoder(BPE)
+    encoder.known["wrong"] = b"\1\0\0\0"
+    with pytest.raises(ValueError, match="not those of its runs"):
+        encoder.encode_flat(pa.array(["wrong"]))
+
+
 def test_store_of_another_vocabulary(spark, odd):
     """The store takes its ids from the vocabulary file that it is given, whatever its pre-tokenisation."""
     from tokenizers import Tokenizer
