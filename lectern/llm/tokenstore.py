@@ -101,18 +101,18 @@ class Encoder:
             return ids, np.array([len(lists[i]) for i in at], np.int64)
         runs, bounds = runs_of(texts, self.added)
         coded = runs.dictionary_encode()
-        bodies = self._bodies(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+        bodies = self._bodies(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, bodies), np.int32, len(bodies)) // 4
         at = coded.indices.to_numpy(zero_copy_only=False)
-        n, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
-        ends = np.append(0, np.cumsum(n))
+        n, begin = sizes[at], (np.cumsum(sizes, dtype=np.int32) - sizes)[at]
+        ends = np.append(np.int32(0), np.cumsum(n, dtype=np.int32))  # ids are no more than bytes, whose offsets have 32 bits
         place = np.repeat(begin - ends[:-1], n)
-        place += np.arange(len(place))
+        place += np.arange(len(place), dtype=np.int32)
         ids, ends = np.frombuffer(b"".join(bodies), np.uint32)[place], ends[bounds]
         for i, whole in zip(range(0, len(texts), COMPARED), self.encode(texts[::COMPARED].to_pylist()), strict=True):
             if not np.array_equal(ids[ends[i] : ends[i + 1]], whole):
                 raise ValueError("the ids of a text are not those of its runs")
-        return ids, np.diff(ends)
+        return ids, np.diff(ends).astype(np.int64)
 
     def _bodies(self, runs: list[str]) -> list[bytes]:
         """The ids of each of different runs, as bytes of uint32; those of the first KEPT short ones are kept."""
